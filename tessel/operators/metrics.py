@@ -103,7 +103,7 @@ def metrics_by_group(df: DataFrame, fields: Sequence[str], y_true: str = "y_true
     d = df.select(*[F.coalesce(F.col(f).cast("string"), F.lit(MISSING)).alias(f) for f in fields],
                   F.col(y_true).cast("string").alias("y_true"),
                   F.coalesce(F.col(y_pred).cast("string"), F.lit(NO_PRED)).alias("y_pred"))
-    g = d.groupingSets([[f] for f in fields], *fields, "y_true", "y_pred").agg(
+    g = d.groupingSets([[f, "y_true", "y_pred"] for f in fields], *fields, "y_true", "y_pred").agg(
         F.count(F.lit(1)).alias("cnt"), *[F.grouping(f).alias(f"__g{i}") for i, f in enumerate(fields)])
     field_name = F.lit(None).cast("string")
     value = F.lit(None).cast("string")

@@ -1,3 +1,4 @@
 """Import every catalogue module so that its queries register."""
 
 from tessel.plans import catalog_core  # noqa: F401
+from tessel.plans import catalog_balance  # noqa: F401
