@@ -46,3 +46,14 @@ def labelled_docs(spark: SparkSession, sf_dir: str, label_view: str = "quality",
     labels = read_table(spark, sf_dir, "labels").select("doc_id", label_view)
     return (docs.join(labels, "doc_id", "left")
             .select(*cols, label_expr(label_view).alias("label")))
+
+
+def actor_docs(spark: SparkSession, sf_dir: str, label_view: str = "quality") -> DataFrame:
+    """Labelled documents with the actor fields of the ideology view: ``crawl``
+    (one crawl per source and language, ``<source>-<lang>``) and ``domain``
+    (a site domain, present for fr/de documents only, so that resolution
+    falls back to the crawl for the others)."""
+    d = labelled_docs(spark, sf_dir, label_view)
+    return (d.withColumn("crawl", F.concat_ws("-", "source", "modality"))
+            .withColumn("domain", F.when(F.col("modality").isin("fr", "de"),
+                                         F.concat_ws(".", "source", "modality", F.lit("example.org")))))
