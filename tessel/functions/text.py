@@ -117,15 +117,23 @@ def word_tokens(col) -> Column:
     return F.regexp_extract_all(F.lower(_c(col)), F.lit(WORD_RE), 0)
 
 
+def _ngrams(tok: Column, n: int) -> Column:
+    """Space-joined n-grams of an array: ``zip_with`` over shifted slices, so
+    the lambda sees only its own arguments (a lambda that reads the outer
+    array would re-evaluate it per element, quadratic in document length)."""
+    m = F.size(tok) - (n - 1)
+    out = F.slice(tok, 1, F.greatest(m, F.lit(1)))
+    for j in range(1, n):
+        out = F.zip_with(out, F.slice(tok, j + 1, F.greatest(m, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(tok) >= n, out).otherwise(F.array().cast("array<string>"))
+
+
 def word_ngrams(tokens, n_max: int = 2) -> Column:
     """Unigrams followed by space-joined n-grams up to ``n_max``."""
     tok = _c(tokens)
     out = tok
     for n in range(2, n_max + 1):
-        grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(tok) - (n - 1), F.lit(0))),
-            lambda i: F.array_join(F.slice(tok, i, n), " "))
-        out = F.concat(out, F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>")))
+        out = F.concat(out, _ngrams(tok, n))
     return out
 
 
@@ -133,9 +141,7 @@ def shingles(col, k: int = 3) -> Column:
     """Every ``k`` consecutive whitespace tokens joined by a space; texts with
     fewer than ``k`` tokens yield an empty array."""
     tok = F.filter(F.split(_c(col), WS), lambda x: x != "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tok) - (k - 1), F.lit(1))),
-                        lambda i: F.array_join(F.slice(tok, i, k), " "))
-    return F.when(F.size(tok) >= k, grams).otherwise(F.array().cast("array<string>"))
+    return _ngrams(tok, k)
 
 
 def norm_title(col) -> Column:

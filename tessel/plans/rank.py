@@ -65,3 +65,24 @@ def bucketed_rank(df: DataFrame, group_cols: Sequence[str], order_col: str,
                              F.col("__woff") + F.coalesce(F.sum(weight_col).over(wrun), F.lit(0)))
         out = out.drop("__woff")
     return out.drop(b, "__off")
+
+
+def top_k(df: DataFrame, value_col: str, tie_col: str, k: int) -> DataFrame:
+    """Exact top-``k`` rows by ``value_col`` desc, then ``tie_col`` asc, without
+    gathering candidates into one task.
+
+    A histogram of ``value_col`` (one row per distinct value) finds the cut
+    value ``cv`` and how many rows ``need`` to take at it; rows above the cut
+    pass a filter, rows at the cut are ranked by ``tie_col`` with the bucketed
+    rank (buckets = leading characters, which preserve string order).
+    """
+    hist = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.orderBy(F.desc(value_col)).rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("__before", F.coalesce(F.sum("__c").over(w), F.lit(0)))
+    cut = hist.where((F.col("__before") < k) & (F.col("__before") + F.col("__c") >= k))
+    cv = cut.select(value_col).scalar()
+    need = cut.select((F.lit(k) - F.col("__before")).alias("n")).scalar()
+    above = df.where(cv.isNull() | (F.col(value_col) > cv))
+    ties = df.where(F.col(value_col) == cv).withColumn("__tk", F.col(tie_col).cast("string"))
+    ranked = bucketed_rank(ties, [], "__tk", tie_col, rank_col="__r", n_col=None)
+    return above.unionByName(ranked.where(F.col("__r") <= need).drop("__r", "__tk"))

@@ -62,3 +62,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for materialised tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def materialize(df):
+    """Cut a long or widely reused lineage: a reliable checkpoint into the
+    shared ``spark.checkpoint.dir`` (survives executor loss, unlike a local
+    checkpoint). Downstream plans — and the scalar subqueries inside them —
+    then start from the written data instead of re-deriving it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
