@@ -4,3 +4,4 @@ from tessel.plans import catalog_core  # noqa: F401
 from tessel.plans import catalog_balance  # noqa: F401
 from tessel.plans import catalog_actors  # noqa: F401
 from tessel.plans import catalog_similarity  # noqa: F401
+from tessel.plans import catalog_cleaning  # noqa: F401
