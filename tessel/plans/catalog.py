@@ -6,3 +6,4 @@ from tessel.plans import catalog_actors  # noqa: F401
 from tessel.plans import catalog_similarity  # noqa: F401
 from tessel.plans import catalog_cleaning  # noqa: F401
 from tessel.plans import catalog_tei  # noqa: F401
+from tessel.plans import catalog_experiments  # noqa: F401
