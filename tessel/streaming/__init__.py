@@ -1,0 +1 @@
+"""Structured Streaming entry point for the stateless prepare transforms."""

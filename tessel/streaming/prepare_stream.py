@@ -1,0 +1,24 @@
+"""The row-level prepare transforms (length, tokens, modality, label map,
+unlabelled drop) are stateless, so they apply to a streaming DataFrame as
+they are. Dedup and split need the whole table and run in ``foreachBatch``
+against the written view, not as streaming state."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessel.plans.prepare import PrepareParams, filtered_docs
+
+
+def stream_filtered(spark: SparkSession, source: DataFrame, p: PrepareParams | None = None) -> DataFrame:
+    """Apply the stateless prepare filters to a streaming ``source`` with the
+    document-row columns (``id, text, modality, source, label_raw, label``)."""
+    return filtered_docs(source, p or PrepareParams(), spark)
+
+
+def start_to_parquet(spark: SparkSession, source: DataFrame, path: str, checkpoint: str,
+                     p: PrepareParams | None = None):
+    """Start the query appending filtered rows to ``path`` (exactly-once via the
+    file sink and ``checkpoint`` in shared storage)."""
+    return (stream_filtered(spark, source, p).writeStream.format("parquet")
+            .option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start())
