@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType
 __all__ = [
     "norm_label", "norm_key", "norm_key_ws", "collapse_ws", "dedup_text_key",
     "norm_text", "token_count", "word_tokens", "word_ngrams", "shingles",
-    "norm_title", "dup_suffix", "url_domain",
+    "norm_title", "dup_suffix", "url_domain", "ws_tokens", "shingles_of_tokens",
 ]
 
 WS = r"(?U)\s+"
@@ -137,11 +137,22 @@ def word_ngrams(tokens, n_max: int = 2) -> Column:
     return out
 
 
+def ws_tokens(col) -> Column:
+    """Python ``str.split()`` tokens."""
+    return F.filter(F.split(_c(col), WS), lambda x: x != "")
+
+
 def shingles(col, k: int = 3) -> Column:
     """Every ``k`` consecutive whitespace tokens joined by a space; texts with
-    fewer than ``k`` tokens yield an empty array."""
-    tok = F.filter(F.split(_c(col), WS), lambda x: x != "")
-    return _ngrams(tok, k)
+    fewer than ``k`` tokens yield an empty array. For large tables prefer
+    projecting :func:`ws_tokens` first and calling :func:`shingles_of_tokens`:
+    expressions with lambdas run interpreted, without common-subexpression
+    elimination, so an inline token expression is re-evaluated per use."""
+    return _ngrams(ws_tokens(col), k)
+
+
+def shingles_of_tokens(tokens, k: int = 3) -> Column:
+    return _ngrams(_c(tokens), k)
 
 
 def norm_title(col) -> Column:

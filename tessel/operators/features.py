@@ -21,8 +21,9 @@ from tessel.session import materialize
 
 
 def doc_terms(df: DataFrame, id_col: str = "id", text_col: str = "text", n_max: int = 2) -> DataFrame:
-    toks = word_tokens(text_col)
-    return (df.select(F.col(id_col).alias("id"), F.explode(word_ngrams(toks, n_max)).alias("term"))
+    # tokens in their own projection (see functions.text.shingles)
+    t = df.select(F.col(id_col).alias("id"), word_tokens(text_col).alias("__tok"))
+    return (t.select("id", F.explode(word_ngrams("__tok", n_max)).alias("term"))
             .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 

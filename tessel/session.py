@@ -71,3 +71,15 @@ def materialize(df):
     then start from the written data instead of re-deriving it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, key: str):
+    """Give CPU-heavy per-row work (tokenising, shingling, parsing) at least
+    ``defaultParallelism`` tasks. A scan already split that finely (any large
+    input) is returned unchanged; a small input that arrives as one split
+    (one parquet row group) is hash-repartitioned by ``key`` — deterministic,
+    so a recomputed partition after an executor loss holds the same rows."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
