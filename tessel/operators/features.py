@@ -31,7 +31,9 @@ def fit_vocabulary(terms: DataFrame, n_docs, min_df: int = 5, max_features: int
     """``(term, df, ctf, idf, term_id)``; ``n_docs`` is a Column (e.g. a scalar subquery)."""
     stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
     eff_min = F.least(F.lit(int(min_df)), F.greatest(F.lit(1), n_docs))
-    v = stats.where(F.col("df") >= eff_min)
+    # candidates are read several times by the cut (histogram, cut value,
+    # ties): write them once
+    v = materialize(stats.where(F.col("df") >= eff_min))
     if max_features:
         v = top_k(v, "ctf", "term", int(max_features))
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
