@@ -91,3 +91,11 @@ def run_report(runs: DataFrame, status_col: str = "status", id_col: str = "run_i
                     F.sum(F.when(F.col(status_col) == "success", 1).otherwise(0)).cast("bigint").alias("n_success"),
                     F.sum(F.when(F.col(status_col) != "success", 1).otherwise(0)).cast("bigint").alias("n_failed"),
                     F.array_join(F.array_sort(F.collect_list(F.when(F.col(status_col) != "success", F.col(id_col)))), ",").alias("failed_ids"))
+
+
+def merge_maps(*maps):
+    """Right-most map wins on a shared key (dict-merge semantics), built-ins only."""
+    out = maps[0]
+    for m in maps[1:]:
+        out = F.map_zip_with(out, m, lambda k, v1, v2: F.coalesce(v2, v1))
+    return out

@@ -8,3 +8,4 @@ from tessel.plans import catalog_cleaning  # noqa: F401
 from tessel.plans import catalog_tei  # noqa: F401
 from tessel.plans import catalog_experiments  # noqa: F401
 from tessel.plans import catalog_models  # noqa: F401
+from tessel.plans import catalog_sinks  # noqa: F401

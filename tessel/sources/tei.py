@@ -27,7 +27,7 @@ PARSED = StructType([
     StructField("id", StringType()), StructField("terms", MapType(StringType(), ArrayType(StringType()))),
     StructField("text", StringType()), StructField("url", StringType()), StructField("md5_text", StringType()),
     StructField("chars", IntegerType()), StructField("langs", ArrayType(StringType())),
-    StructField("_corrupt", BooleanType()),
+    StructField("head_p_len", IntegerType()), StructField("_corrupt", BooleanType()),
 ])
 _MD5_RE = re.compile(r"md5_text=([0-9a-fA-F]{32})")
 _CHARS_RE = re.compile(r"chars=(\d+)")
@@ -50,7 +50,7 @@ def _parse_one(rec: str | None):
         root = ET.fromstring(body + close)
     except ET.ParseError:
         return {"id": None, "terms": None, "text": None, "url": None, "md5_text": None,
-                "chars": None, "langs": None, "_corrupt": True}
+                "chars": None, "langs": None, "head_p_len": None, "_corrupt": True}
     doc_id = (root.get(XML_ID) or "").strip() or (root.get("n") or "").strip() or None
     if doc_id is None:
         doc_id = "doc_" + hashlib.md5(body.encode("utf-8", "ignore")).hexdigest()[:16]
@@ -79,8 +79,17 @@ def _parse_one(rec: str | None):
             text_el = el
     src = text_el if text_el is not None else root
     text = " ".join(p for p in (s.strip() for s in src.itertext()) if p)
+    # header-text length: first <head> of text/body/div plus direct text of every <p> under text/body
+    head_p = 0
+    if text_el is not None:
+        body = next((e for e in text_el if _local(e.tag) == "body"), None)
+        if body is not None:
+            div = next((e for e in body if _local(e.tag) == "div"), None)
+            head = next((e for e in div if _local(e.tag) == "head"), None) if div is not None else None
+            head_p += len(head.text or "") if head is not None else 0
+            head_p += sum(len(e.text or "") for e in body.iter() if _local(e.tag) == "p")
     return {"id": doc_id, "terms": terms, "text": text, "url": url, "md5_text": md5_text,
-            "chars": chars, "langs": langs, "_corrupt": False}
+            "chars": chars, "langs": langs, "head_p_len": head_p, "_corrupt": False}
 
 
 @F.pandas_udf(PARSED)
@@ -102,7 +111,7 @@ def scan_tei(spark: SparkSession, path: str, corpus_id: str | None = None,
     return p.select(
         "id", "text",
         F.coalesce(first_term("modality"), F.lit(default_modality).cast("string"), F.lit("unknown")).alias("modality"),
-        "url", "md5_text", "chars", "langs", "terms",
+        "url", "md5_text", "chars", "langs", "terms", "head_p_len",
         F.lit(corpus_id).cast("string").alias("corpus_id"), "_corrupt")
 
 
