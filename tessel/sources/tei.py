@@ -99,6 +99,11 @@ def parse_tei(records: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(cols)
 
 
+# Deterministic in fact; flagged otherwise so the record filter below does not
+# become a second parse of every record.
+parse_tei = parse_tei.asNondeterministic()
+
+
 def scan_tei(spark: SparkSession, path: str, corpus_id: str | None = None,
              default_modality: str | None = None) -> DataFrame:
     """One row per ``<TEI>`` document: ``id, text, modality, url, md5_text,
