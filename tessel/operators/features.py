@@ -34,7 +34,8 @@ def fit_vocabulary(terms: DataFrame, n_docs, min_df: int = 5, max_features: int
     # candidates are read several times by the cut (histogram, cut value,
     # ties): write them once
     v = materialize(stats.where(F.col("df") >= eff_min))
-    if max_features:
+    # the cut only runs when there is something to cut (one count of a written table)
+    if max_features and v.count() > int(max_features):
         v = top_k(v, "ctf", "term", int(max_features))
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     # term ids by term order; the table is bounded by max_features
