@@ -116,7 +116,8 @@ def alpha_total(df: DataFrame, alpha: float, total: int, seed: int = 42,
     with replacement."""
     q = alpha_quotas(df, alpha, total, label_col).select(F.col(label_col).alias("__lq"), "quota")
     r = _ranked(df, seed, label_col, id_col)
-    rq = r.join(F.broadcast(q), r[label_col] == q["__lq"]).drop("__lq")  # one row per label
+    # one row per label, but the label count is data-dependent: AQE measures it
+    rq = r.join(q, r[label_col] == q["__lq"]).drop("__lq")
     keep = rq.where(F.col("__r") <= F.col("quota")).withColumn(id_col, F.col(id_col).cast("string"))
     need = (rq.where(F.col("__r") == 1).select(label_col, "__n", "quota")
             .withColumn("__need", F.greatest(F.col("quota") - F.col("__n"), F.lit(0))).drop("quota"))
@@ -133,7 +134,7 @@ def apply_balance(df: DataFrame, strategy: str = "none", seed: int = 42, label_c
         return df
     if s == "class_weights":
         w = class_weights(df, label_col).select(F.col(label_col).alias("__lw"), "weight")
-        return df.join(F.broadcast(w), df[label_col] == w["__lw"], "left").drop("__lw")
+        return df.join(w, df[label_col] == w["__lw"], "left").drop("__lw")
     if s == "cap_docs":
         return cap_docs(df, cap, seed, False, label_col, id_col)
     if s == "cap_docs_oversample":

@@ -42,9 +42,12 @@ def fit_vocabulary(terms: DataFrame, n_docs, min_df: int = 5, max_features: int
     return v.withColumn("idf", idf).withColumn("term_id", F.row_number().over(Window.orderBy("term")).cast("int"))
 
 
-def tfidf(terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(id, term, term_id, df, w)`` with ``w`` L2-normalised per document."""
-    v = F.broadcast(vocab.select("term", "term_id", "df", "idf"))
+def tfidf(terms: DataFrame, vocab: DataFrame, max_features: int | None = 50000) -> DataFrame:
+    """``(id, term, term_id, df, w)`` with ``w`` L2-normalised per document.
+    The vocabulary is broadcast only when ``max_features`` bounds its size."""
+    v = vocab.select("term", "term_id", "df", "idf")
+    if max_features:
+        v = F.broadcast(v)
     x = terms.join(v, "term").withColumn("__w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy("id")))
     return x.select("id", "term", "term_id", "df", (F.col("__w") / norm).alias("w"))
@@ -58,4 +61,4 @@ def tfidf_pipeline(df: DataFrame, id_col: str = "id", text_col: str = "text", mi
     terms = materialize(doc_terms(df, id_col, text_col, n_max))
     n_docs = terms.select(F.count_distinct("id")).scalar()
     vocab = materialize(fit_vocabulary(terms, n_docs, min_df, max_features))
-    return tfidf(terms, vocab), vocab
+    return tfidf(terms, vocab, max_features), vocab

@@ -61,7 +61,7 @@ def fit_predict(view: DataFrame, kind: str, min_df: int = 5, vocab_size: int = 5
     test = eval_df if eval_df is not None else view.where(F.col("split") == "job")
     if use_class_weights:
         w = class_weights(train).select(F.col("label").alias("__lw"), F.col("weight").alias("__w"))
-        train = train.join(F.broadcast(w), train["label"] == w["__lw"]).drop("__lw")  # one row per class
+        train = train.join(w, train["label"] == w["__lw"]).drop("__lw")  # one row per class; AQE decides
     else:
         train = train.withColumn("__w", F.lit(1.0))
     # the label index is fitted on train only; evaluation rows keep their raw label

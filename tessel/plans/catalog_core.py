@@ -163,7 +163,7 @@ def q_class_weights(spark, sf):
 
 
 @query("check_stats", f"""WITH {PREP}, c AS (SELECT label, count(*) AS n_docs FROM v WHERE split = 'train' GROUP BY label)
-SELECT label, n_docs, sum(n_docs) OVER () AS docs, count(*) OVER () AS n_labels FROM c""")
+SELECT label, n_docs, CAST(sum(n_docs) OVER () AS BIGINT) AS docs, count(*) OVER () AS n_labels FROM c""")
 def q_check_stats(spark, sf):
     return A.check_stats(_v(spark, sf).where("split = 'train'"))
 
