@@ -149,13 +149,29 @@ def q_typed_metrics(spark, sf):
     return raw.select(*[(F.col(c).try_cast("double") if flags[c] == 0 else F.col(c)).alias(c) for c in raw.columns])
 
 
-@query("metrics_tree", f"WITH {PREP}, {SWEEP} SELECT balance, model, run_id, accuracy, macro_f1 FROM sweep")
+@query("metrics_tree", f"""WITH {PREP}, {SWEEP}
+SELECT balance, model, run_id, accuracy, macro_f1, n_eval, n_train FROM sweep""")
 def q_metrics_tree(spark, sf):
+    """Write one metrics file and one sibling eval-meta file per run directory
+    (``balance=<b>/model=<m>/run_id=<r>/``), scan the tree recursively, derive dimensions
+    from the path, and left-join metrics with their eval meta on the directory."""
     root = scratch_path(spark, f"reports-{uuid.uuid4().hex[:12]}")
-    _sweep(spark, sf).select("balance", "model", "run_id", "accuracy", "macro_f1") \
-        .write.mode("overwrite").partitionBy("balance", "model").json(root)
-    schema = "run_id string, accuracy double, macro_f1 double"
-    t = (spark.read.schema(schema).option("recursiveFileLookup", True).json(root)
-         .select("*", F.col("_metadata.file_path").alias("path")))
-    dim = lambda k: F.regexp_extract("path", f"/{k}=([^/]+)/", 1)  # noqa: E731  (path -> dimensions)
-    return t.select(dim("balance").alias("balance"), dim("model").alias("model"), "run_id", "accuracy", "macro_f1")
+    sw = _sweep(spark, sf)
+    sw.select("balance", "model", "run_id", "accuracy", "macro_f1") \
+        .write.mode("overwrite").partitionBy("balance", "model", "run_id").json(f"{root}/metrics")
+    sw.select("balance", "model", "run_id", "n_eval", "n_train") \
+        .write.mode("overwrite").partitionBy("balance", "model", "run_id").json(f"{root}/meta_eval")
+
+    def scan(kind, schema):
+        t = (spark.read.schema(schema).option("recursiveFileLookup", True).json(f"{root}/{kind}")
+             .select("*", F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1).alias("path")))
+        dim = lambda k: F.regexp_extract("path", f"/{k}=([^/]+)", 1)  # noqa: E731  (path -> dimensions)
+        return t.select(dim("balance").alias("balance"), dim("model").alias("model"), dim("run_id").alias("run_id"),
+                        *schema_cols(schema))
+    m = scan("metrics", "accuracy double, macro_f1 double")
+    meta = scan("meta_eval", "n_eval bigint, n_train bigint")
+    return m.join(meta, ["balance", "model", "run_id"], "left")
+
+
+def schema_cols(schema: str):
+    return [c.strip().split(" ")[0] for c in schema.split(",")]
