@@ -31,9 +31,12 @@ def dedup_key(mode: str, id_col: str = "id", text_col: str = "text"):
 
 def keep_first(df: DataFrame, key, order_col: str, id_col: str = "id") -> DataFrame:
     """Keep, per key, the row with the smallest ``(order_col, id_col)``."""
-    winners = (df.select(key.alias("__k"), F.struct(F.col(order_col).alias("o"), F.col(id_col).alias("i")).alias("__s"))
-               .groupBy("__k").agg(F.min("__s").alias("__w"))
-               .select(F.col("__w.i").alias("__id")))
+    if order_col == id_col:  # fixed-width buffer: hash aggregation with map-side combine
+        winners = df.select(key.alias("__k"), F.col(id_col).alias("__i")).groupBy("__k").agg(F.min("__i").alias("__id"))
+    else:
+        winners = (df.select(key.alias("__k"), F.struct(F.col(order_col).alias("o"), F.col(id_col).alias("i")).alias("__s"))
+                   .groupBy("__k").agg(F.min("__s").alias("__w"))
+                   .select(F.col("__w.i").alias("__id")))
     return df.join(winners, df[id_col] == winners["__id"], "left_semi")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.operators import balance, dedup, filters, labels, split
+from tessel.session import materialize
 from tessel.sources.tables import labelled_docs
 
 
@@ -54,12 +55,26 @@ def filtered_docs(docs: DataFrame, p: PrepareParams, spark: SparkSession | None
 
 
 def split_view(d: DataFrame, p: PrepareParams) -> DataFrame:
-    """Dedup, global cap, actor filters, stratified split (adds ``split``)."""
-    d = dedup.dedup(d, p.dedup_on)
-    d = split.cap_rows(d, p.max_docs, p.seed)
-    d = filters.actor_include(d, p.actor_include, p.actor_col)
-    d = filters.min_docs_per_group(d, p.actor_col, p.actor_min_docs)
-    return split.stratified_split(d, p.train_prop, p.seed)
+    """Dedup, global cap, actor filters, stratified split (adds ``split``).
+
+    All of it runs on a narrow key table ``(id, label, actor, dedup key)``
+    computed in one pass over the text; the resulting ``(id, split)`` is
+    joined back to the full rows once at the end. The text is read twice
+    (keys, output) and shuffled once, instead of travelling through every
+    dedup, rank and window exchange.
+    """
+    on = (p.dedup_on or "none").strip().lower()
+    cols = ["id", "label"] + ([p.actor_col] if p.actor_col in d.columns and p.actor_col not in ("id", "label") else [])
+    narrow = d.select(*cols, *([dedup.dedup_key(on).alias("__k")] if on not in ("none", "", "no") else []))
+    # written once (narrow: ids, labels, digests), then read by every dedup / rank branch
+    narrow = materialize(narrow)
+    if "__k" in narrow.columns:
+        narrow = dedup.keep_first(narrow, F.col("__k"), "id", "id").drop("__k")
+    narrow = split.cap_rows(narrow, p.max_docs, p.seed)
+    narrow = filters.actor_include(narrow, p.actor_include, p.actor_col)
+    narrow = filters.min_docs_per_group(narrow, p.actor_col, p.actor_min_docs)
+    s = split.stratified_split(narrow, p.train_prop, p.seed).select(F.col("id").alias("__sid"), "split")
+    return d.join(s, d["id"] == s["__sid"]).drop("__sid")
 
 
 def prepare(spark: SparkSession, sf_dir: str, p: PrepareParams | None = None,
