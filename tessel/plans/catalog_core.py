@@ -15,6 +15,7 @@ from tessel.operators import split as S
 from tessel.plans import sql as Q
 from tessel.plans.prepare import PrepareParams, prepare, view_meta
 from tessel.plans.registry import query
+from tessel.session import materialize
 from tessel.sources.tables import labelled_docs, read_table
 
 PREP = Q.prepared()
@@ -34,6 +35,12 @@ def _v(spark, sf):
     return prepare(spark, sf)
 
 
+def _v_keys(spark, sf):
+    """The split view without text, written once: metric queries read it
+    several times (train counts, the majority subquery, job rows)."""
+    return materialize(prepare(spark, sf).select("id", "label", "source", "modality", "split"))
+
+
 @query("prepare_view", f"WITH {PREP} SELECT {SEL_V} FROM v")
 def q_prepare_view(spark, sf):
     return _v(spark, sf).select(*[c.strip() for c in SEL_V.split(",")])
@@ -217,12 +224,12 @@ def q_top_languages(spark, sf):
 
 @query("classification_report", f"WITH {PREP}, {Q.source_majority_pred()}, {Q.report()} SELECT * FROM rep")
 def q_classification_report(spark, sf):
-    return M.classification_report(M.source_majority_predictions(_v(spark, sf)))
+    return M.classification_report(M.source_majority_predictions(_v_keys(spark, sf)))
 
 
 @query("baseline_source_majority", f"WITH {PREP}, {Q.source_majority_pred()}, {Q.report()} {Q.summary()}")
 def q_baseline_source_majority(spark, sf):
-    rep = M.classification_report(M.source_majority_predictions(_v(spark, sf)))
+    rep = M.classification_report(M.source_majority_predictions(_v_keys(spark, sf)))
     return M.summary_metrics(rep)
 
 
@@ -231,7 +238,7 @@ gmaj AS (SELECT label AS majority FROM v WHERE split = 'train' GROUP BY label OR
 pred AS (SELECT v.label AS y_true, gmaj.majority AS y_pred FROM v, gmaj WHERE v.split = 'job'),
 {Q.report()} SELECT * FROM rep""")
 def q_baseline_majority(spark, sf):
-    return M.classification_report(M.baseline_majority(_v(spark, sf)))
+    return M.classification_report(M.baseline_majority(_v_keys(spark, sf)))
 
 
 _GROUP_FIELDS = ("modality", "source")
@@ -243,7 +250,7 @@ g AS (SELECT 'modality' AS group_field, coalesce(CAST(modality AS VARCHAR), '__m
       UNION ALL SELECT 'source', coalesce(CAST(source AS VARCHAR), '__missing__'), y_true, y_pred FROM j),
 {Q.report('g', ('group_field', 'group_value'))} SELECT * FROM rep""")
 def q_metrics_by_group(spark, sf):
-    v = _v(spark, sf)
+    v = _v_keys(spark, sf)
     p = M.source_majority_predictions(v).join(v.select("id", "modality"), "id")
     return M.metrics_by_group(p, list(_GROUP_FIELDS))
 

@@ -20,6 +20,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     b = (SparkSession.builder.master(master).appName(app_name)
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         # remove checkpoint files once their DataFrame is garbage-collected
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
