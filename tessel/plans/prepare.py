@@ -54,8 +54,8 @@ def filtered_docs(docs: DataFrame, p: PrepareParams, spark: SparkSession | None
     return filters.drop_unlabelled(d)
 
 
-def split_view(d: DataFrame, p: PrepareParams) -> DataFrame:
-    """Dedup, global cap, actor filters, stratified split (adds ``split``).
+def split_keys(d: DataFrame, p: PrepareParams) -> DataFrame:
+    """``(id, split)`` of the rows that survive dedup, cap and actor filters.
 
     All of it runs on a narrow key table ``(id, label, actor, dedup key)``
     computed in one pass over the text; the resulting ``(id, split)`` is
@@ -73,7 +73,13 @@ def split_view(d: DataFrame, p: PrepareParams) -> DataFrame:
     narrow = split.cap_rows(narrow, p.max_docs, p.seed)
     narrow = filters.actor_include(narrow, p.actor_include, p.actor_col)
     narrow = filters.min_docs_per_group(narrow, p.actor_col, p.actor_min_docs)
-    s = split.stratified_split(narrow, p.train_prop, p.seed).select(F.col("id").alias("__sid"), "split")
+    return split.stratified_split(narrow, p.train_prop, p.seed).select("id", "split")
+
+
+def split_view(d: DataFrame, p: PrepareParams) -> DataFrame:
+    """Dedup, global cap, actor filters, stratified split (adds ``split``),
+    computed by :func:`split_keys` and joined back to the full rows by id."""
+    s = split_keys(d, p).select(F.col("id").alias("__sid"), "split")
     return d.join(s, d["id"] == s["__sid"]).drop("__sid")
 
 
@@ -108,8 +114,7 @@ def view_meta(spark: SparkSession, sf_dir: str, p: PrepareParams | None = None)
     flags = d.select("id", "text", "label", ok_len.alias("f_len"), (ok_len & ok_tok).alias("f_tok"),
                      (ok_len & ok_tok & ok_lab).alias("f_lab"))
     kept = flags.where("f_lab").drop("f_len", "f_tok", "f_lab")
-    v = split.stratified_split(dedup.dedup(kept, p.dedup_on), p.train_prop, p.seed)
-    s = v.select("id", "split")
+    s = split_keys(kept, p)
     allrows = flags.join(s, "id", "left")
     return allrows.agg(
         F.count(F.lit(1)).alias("n_seen"),
