@@ -21,8 +21,12 @@ from tessel.session import materialize
 
 
 def doc_terms(df: DataFrame, id_col: str = "id", text_col: str = "text", n_max: int = 2) -> DataFrame:
-    # tokens in their own projection (see functions.text.shingles)
-    t = df.select(F.col(id_col).alias("id"), word_tokens(text_col).alias("__tok"))
+    # Cluster documents by id before exploding: the (id, term) aggregation is
+    # then local (hash partitioning on id satisfies it), so the text moves once
+    # instead of the much larger exploded n-gram rows. Tokens get their own
+    # projection (see functions.text.shingles).
+    d = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")).repartition("id")
+    t = d.select("id", word_tokens("__text").alias("__tok"))
     return (t.select("id", F.explode(word_ngrams("__tok", n_max)).alias("term"))
             .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
