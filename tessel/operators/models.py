@@ -78,14 +78,14 @@ def fit_predict(view: DataFrame, kind: str, min_df: int = 5, vocab_size: int = 5
     return pred.select("id", F.col("label").alias("y_true"), "y_pred")
 
 
-def bow_predict(view: DataFrame, label_col: str = "modality", num_features: int = 1 << 18) -> DataFrame:
+def bow_predict(view: DataFrame, label_col: str = "modality", num_features: int = 1 << 16) -> DataFrame:
     """Bag-of-words multinomial classifier (unigrams, hashed, exclusive classes)."""
     train = view.where(F.col("split") == "train")
     test = view.where(F.col("split") == "job")
     idx = StringIndexer(inputCol=label_col, outputCol="__y", stringOrderType="alphabetAsc").fit(train)
     tok = RegexTokenizer(inputCol="text", outputCol="__tok", pattern=WORD_PATTERN, gaps=False, toLowercase=True)
     tf = HashingTF(inputCol="__tok", outputCol="features", numFeatures=num_features)
-    lr = LogisticRegression(labelCol="__y", family="multinomial", maxIter=50, regParam=1e-4)
+    lr = LogisticRegression(labelCol="__y", family="multinomial", maxIter=30, regParam=1e-4)
     model = Pipeline(stages=[tok, tf, lr]).fit(idx.transform(train))
     back = IndexToString(inputCol="prediction", outputCol="y_pred", labels=idx.labels)
     return back.transform(model.transform(test)).select("id", F.col(label_col).alias("y_true"), "y_pred")
