@@ -35,6 +35,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -85,3 +86,22 @@ def spread(df, key: str):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessel`` importable in Python workers (pickled UDFs refer to it by
+    module): zip the package once per application and ``addPyFile`` it, which
+    distributes it to every executor."""
+    import shutil
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="tessel-pkg-", dir="/tmp")
+    archive = shutil.make_archive(os.path.join(out, "tessel"), "zip", os.path.dirname(pkg), "tessel")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
