@@ -79,3 +79,14 @@ def test_label_vote_conflict(spark):
     v = {r["actor_id"]: r for r in AC.label_vote(ac, raw).collect()}
     assert v["p"]["side_binary"] is None and v["p"]["global_five"] is None  # left + right conflict
     assert v["q"]["side_binary"] == "left" and v["q"]["global_five"] == "far_left"
+
+
+def test_tsv_roundtrip_keeps_tabs_quotes_newlines(spark):
+    from tessel.sources import tsv as TSV
+    rows = [("d1", "a", "a", "web", "web1", 'he said "hi"\tthen\nleft'), ("d2", "b", "b", "web", "web2", "plain"),
+            ("d3", "", "x", "web", "web1", "no label"), ("d4", "a", "a", "web", "web1", "  ")]
+    df = spark.createDataFrame(rows, "id string, label string, label_raw string, modality string, source string, text string")
+    path = tempfile.mkdtemp(prefix="tessel-tsv-", dir="/tmp") + "/view"
+    back = TSV.read_labelled_tsv(spark, TSV.write_view_tsv(df, path))
+    got = {r["id"]: r["text"] for r in back.collect()}
+    assert got == {"d1": 'he said "hi"\tthen\nleft', "d2": "plain"}  # empty label / blank text dropped
