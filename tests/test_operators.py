@@ -118,3 +118,15 @@ def test_shuffle_labels_keeps_histogram(spark):
     h1 = {r[0]: r[1] for r in s.groupBy("label").count().collect()}
     h2 = {r[0]: r[1] for r in s.groupBy("label_shuffled").count().collect()}
     assert h1 == h2 and s.count() == 500
+
+
+def test_alpha_total_row_count_and_quotas(spark):
+    df = spark.createDataFrame([(i, "a") for i in range(9)] + [(20 + i, "b") for i in range(2)], "id int, label string")
+    for alpha, total in ((0.0, 12), (0.5, 7), (1.0, 11)):
+        out = B.alpha_total(df, alpha, total, 42)
+        q = {r["label"]: r["quota"] for r in B.alpha_quotas(df, alpha, total).collect()}
+        got = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
+        assert out.count() == total and got == {k: v for k, v in q.items() if v > 0}
+        dups = out.where(F.col("id").contains("#dup")).groupBy("label").count().collect()
+        n = {"a": 9, "b": 2}
+        assert all(r["count"] == q[r["label"]] - n[r["label"]] for r in dups)
