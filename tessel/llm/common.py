@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], text_col: str = "text",
         if not n:
             continue
         col = batch.column(batch.schema.get_field_index(text_col))
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         at = 0
         while at < n:
             cum = np.cumsum(size[at:at + max_rows])
