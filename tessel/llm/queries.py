@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import packing, quality, secrets, topk
+from tessel.llm import lang_id, packing, quality, secrets, topk
 from tessel.llm.common import read_table
 from tessel.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
@@ -36,6 +36,14 @@ def id_fold(folds: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = lang_id.fit(docs.where(id_fold(4) != 2))
+    out = lang_id.main_language(lang_id.language_spans(docs.select("doc_id", "text"), model))
+    return out.select("doc_id", F.coalesce(id_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
+
+
 @query("op4_quality")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
