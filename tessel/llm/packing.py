@@ -37,60 +37,66 @@ SEQ_LEN = 2048
 END_ID = 1
 SHARD_PIECES = 8192
 #: Words kept in a worker's memory; beyond it the cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level BPE writes a byte: printable ones as themselves, the others
+    in order from code point 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in shown]
+    return {x: chr(x) for x in shown} | {x: chr(256 + i) for i, x in enumerate(rest)}
 
 
 class WordEncoder:
     """Token ids of white-space separated words, remembered as packed uint32.
 
     Valid for tokenizers that drop white space and never merge across it, so
-    that a text's ids are its words' ids in order. Distinct words go to the
-    tokenizer in bulk. Words of lower-case ASCII letters are sent as one text
-    with a one-token digit between them, and the ids are cut at that token.
+    that a text's ids are its words' ids in order. A word of ASCII or Latin-1
+    letters goes straight to the BPE model, in the spelling that the normaliser and
+    the byte-level step give it (checked against the whole tokenizer when
+    the encoder is made); a comma or full stop after a letter is a token run of its
+    own and is split off first. All other words pass the whole tokenizer.
     """
 
-    _plain = re.compile(rb"[a-z]+").fullmatch
+    _letters = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.bytes_as = _byte_letters()
         self.cache_words = cache_words
         self.cache: dict[bytes, bytes] = {}
-        sep = self.tok.encode("0", add_special_tokens=False).ids
-        self.sep = sep[0] if len(sep) == 1 else None
+        probe = ["Hello", "na\u00efve", "\u00c9T\u00c9", "stra\u00dfe", "x", "thingtionre"]
+        self.direct = all(self._word(w) == self._whole([w])[0] for w in probe) and all(
+            self._whole([w + m])[0] == self._word(w) + self._whole([m])[0] for w in probe for m in ".,")
+
+    def _word(self, word: str) -> bytes:
+        spelt = word.lower().encode().decode("latin-1").translate(self.bytes_as)
+        return np.array([t.id for t in self.model.tokenize(spelt)], dtype="<u4").tobytes()
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: set[bytes]) -> None:
-        cache = self.cache
-        plain, other = set(), []
+        cache, other = self.cache, []
+        marks = dict(zip((".", ","), self._whole([".", ","])))
         for w in words:
-            low = w.lower()
-            if self.sep is not None and self._plain(low):
-                plain.add(low)
-            elif self.sep is not None and low[-1:] in b".," and self._plain(low[:-1]):
-                plain.add(low[:-1])
-                plain.add(low[-1:])
-            else:
+            text = w.decode("utf-8", "replace")
+            stem, end = (text[:-1], text[-1]) if text[-1] in marks else (text, "")
+            if not (self.direct and self._letters(stem)):
                 other.append(w)
-        marks = {x for x in plain if x in (b".", b",")}
-        todo = [x for x in plain if x not in cache and x not in marks]
-        for at in range(0, len(todo), 2000):
-            part = todo[at:at + 2000]
-            ids = np.array(self.tok.encode(" 0 ".join(x.decode() for x in part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.sep), len(ids))
-            start = 0
-            for x, end in zip(part, ends.tolist()):
-                cache[x] = ids[start:end].tobytes()
-                start = end + 1
-        other += [x for x in marks if x not in cache]
+                continue
+            key = stem.lower().encode()
+            ids = cache.get(key)
+            if ids is None:
+                ids = cache[key] = self._word(stem)
+            cache[w] = ids + marks[end] if end else ids
         for at in range(0, len(other), 2000):
             part = other[at:at + 2000]
-            for x, e in zip(part, self.tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                cache[x] = np.array(e.ids, dtype="<u4").tobytes()
-        for w in words:
-            if w not in cache:
-                low = w.lower()
-                cache[w] = cache[low] if low in cache else cache[low[:-1]] + cache[low[-1:]]
+            cache.update(zip(part, self._whole([x.decode("utf-8", "replace") for x in part])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Per text its ids as little-endian uint32 bytes."""
@@ -106,6 +112,16 @@ class WordEncoder:
         return [b"".join(map(get, ws)) for ws in split]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker: its words serve all tasks that run in it."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64()), ("row", pa.int64())])
 
@@ -115,7 +131,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordEncoder(tokenizer_path)
+        enc = encoder(tokenizer_path)
         row = TaskContext.get().partitionId() << 40
         for b in arrow_slices(batches):
             out: list[tuple] = []
