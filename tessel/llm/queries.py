@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import lang_id, minhash_dedup, packing, quality, secrets, topk
+from tessel.llm import embed_dedup, lang_id, minhash_dedup, packing, quality, secrets, topk
 from tessel.llm.common import read_table
 from tessel.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
@@ -20,6 +20,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op6_embedding_near_dup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 @query("op7_minhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)

@@ -65,7 +65,7 @@ def test_against_brute_force(spark):
              (2000, " ".join(f"x{i % 9000}" for i in range(60_000)))]
     check(spark, rows, k=4)
     # buckets larger than ``small`` go through blocks
-    check(spark, [(i, t) for i, t in enumerate(corpus(2))], k=4, small=2, rows=2, salt_rows=2, block_rows=2)
+    check(spark, [(i, t) for i, t in enumerate(corpus(2, 12))], k=4, bands=12, rows=3, small=2, salt_rows=2, block_rows=2)
 
 
 def test_empty_table(spark):
