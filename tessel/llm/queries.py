@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import embed_dedup, lang_id, minhash_dedup, packing, quality, secrets, topk
+from tessel.llm import embed_dedup, lang_id, line_dedup, minhash_dedup, packing, quality, secrets, topk
 from tessel.llm.common import read_table
 from tessel.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
@@ -62,3 +62,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, "score").select(
         "doc_id", F.coalesce(id_fold(5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_line_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
