@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import embed_dedup, lang_id, line_dedup, minhash_dedup, packing, quality, secrets, topk
+from tessel.llm import chat_quotes, embed_dedup, lang_id, line_dedup, minhash_dedup, mixing, packing, quality, secrets, topk
 from tessel.llm.common import read_table
 from tessel.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
@@ -20,6 +20,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op5_mixing", mixing.sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.decide(read_table(spark, sf_dir, "documents")).drop("doc", "h")
+
+
 @query("op6_embedding_near_dup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
@@ -30,6 +35,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+@query("op8_chat_quotes", chat_quotes.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_quotes.format_chats(read_table(spark, sf_dir, "conversations"))
+    return out.withColumn("reply_path", F.concat(F.lit("["), F.array_join("reply_path", ","), F.lit("]")))
+
+
 @query("op9_exact_top_k")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
