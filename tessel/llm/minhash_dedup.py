@@ -15,7 +15,7 @@ Bands of coordinates are hashed to bucket keys.
    components are looked at again, and pairs across components are compared, each
    in the first bucket the two share: as pairs in a bucket of up to
    ``small`` classes, else in blocks. There the classes outside the bucket's main
-   component form blocks, and all classes of the bucket stream past each block.
+   component form blocks, and all classes of the bucket, in slices, stream past each block.
 
 So every pair that shares a bucket is either verified or already connected. With
 36 bands of 5 a pair at Jaccard 0.8 shares no bucket with probability 6e-7.
@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.common import arrow_slices, byte_texts, count_rows, long_key, stored
@@ -106,7 +106,7 @@ def bucket_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles, set_id, keys`` per document; ``keys`` is null for an empty set."""
+    """``doc_id, h, n_shingles, set_id, keys`` per document; ``h`` is the text's hash, ``keys`` is null for an empty set."""
 
     def groups(sets: list[np.ndarray], most: int = 1 << 18) -> Iterator[list[int]]:
         held, size = [], 0
@@ -129,11 +129,16 @@ def describe(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 for i, row in zip(part, got):
                     keys[i] = row
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_number(s) for s in sets], pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "keys"])
+                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_number(s) for s in sets], pa.int64()),
+                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "n_shingles", "set_id", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, set_id long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("h")).mapInArrow(
+        run, "doc_id long, h long, n_shingles long, set_id long, keys array<long>")
+
+
+def text_hash():
+    """A text's hash in Spark; null has one of its own."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("\x00")))
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, salt_rows: int) -> DataFrame:
@@ -228,23 +233,27 @@ def verify_blocks(large: DataFrame, classes: DataFrame, docs: DataFrame, k: int,
     stray = rows.where("component != main")
     blocks = stray.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
                                       .cast("int").alias("blocks"))
-    held = stray.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).withColumn("role", F.lit(0))
-    passing = rows.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
+    slices = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (2 * block_rows)).cast("int").alias("slices"))
+    blocks = blocks.join(slices, "key")
+    part = lambda n, seed: F.pmod(F.xxhash64("set_id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = (stray.join(blocks, "key").withColumn("block", part("blocks", 1)).withColumn("slice", every("slices")).withColumn("role", F.lit(0)))
+    passing = (rows.join(blocks, "key").withColumn("block", every("blocks")).withColumn("slice", part("slices", 2)).withColumn("role", F.lit(1)))
     texts = docs.select(long_key(F.col("doc_id")).alias("doc"), F.col("text").cast("string").alias("text"))
-    wanted = held.unionByName(passing).select("key", "block", "role", "set_id", "component", "main", "doc", "keys")
-    rows = (wanted.join(texts, "doc").select("text", "key", "block", "role", "set_id", "component", "main", "keys")
-            .repartition("key", "block").sortWithinPartitions("key", "block", "role"))
+    wanted = held.unionByName(passing).select("key", "block", "slice", "role", "set_id", "component", "main", "doc", "keys")
+    rows = (wanted.join(texts, "doc").select("text", "key", "block", "slice", "role", "set_id", "component", "main", "keys")
+            .repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "role"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, wait, block = None, [], None
         for b in arrow_slices(batches):
             a_out, b_out = [], []
-            for raw, key, at, role, number, comp, top, keys in zip(byte_texts(b.column(0)), *(b.column(i).to_pylist() for i in range(1, 8))):
+            for raw, key, at, cut, role, number, comp, top, keys in zip(byte_texts(b.column(0)), *(b.column(i).to_pylist() for i in range(1, 9))):
                 s = shingle_set(raw, k)
                 if set_number(s) != number:
                     continue
-                if unit != (key, at):
-                    unit, wait, block = (key, at), [], None
+                if unit != (key, at, cut):
+                    unit, wait, block = (key, at, cut), [], None
                 if role == 0:
                     wait.append((s, number, comp, keys))
                 elif wait:
@@ -258,9 +267,10 @@ def verify_blocks(large: DataFrame, classes: DataFrame, docs: DataFrame, k: int,
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
-                    small: int = SMALL, salt_rows: int = SALT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per document."""
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
+                small: int = SMALL, salt_rows: int = SALT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``doc_id, h, n_shingles, group, component_id`` per document: ``group`` names its component
+    (null for an empty set), ``component_id`` is the component's smallest doc_id."""
     docs = docs.select("doc_id", "text")
     sig = stored(describe(docs, k, bands, rows), "sets")
     full = sig.where(F.col("keys").isNotNull())
@@ -283,7 +293,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     of = classes.join(comp.withColumnRenamed("id", "set_id"), "set_id", "left").select(
         "set_id", "least", "copies", F.coalesce("component", "set_id").alias("component"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
-    groups = stored(of.join(least, "component").select("set_id", "component_id"), "groups")
-    out = sig.select("doc_id", "n_shingles", "set_id").join(groups, "set_id", "left")
-    cid = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"))
+    groups = stored(of.join(least, "component").select("set_id", "component", "component_id"), "groups")
+    out = sig.select("doc_id", "h", "n_shingles", "set_id").join(groups, "set_id", "left")
+    group = F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_id"))
+    return out.select("doc_id", "h", "n_shingles", group.alias("group"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **how) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` per document."""
+    return near_groups(docs, k, percent, **how).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, **how) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest doc_id, then text hash. Documents
+    with an empty set all stay. Texts move once, to meet the narrow table of winners."""
+    found = stored(near_groups(docs, k, percent, **how), "near")
+    key = F.struct(long_key(F.col("doc_id")).alias("doc"), F.col("h"))
+    best = found.where("group IS NOT NULL").groupBy("group").agg(F.min(key).alias("w")).select("w.doc", "w.h", F.lit(False).alias("all"))
+    empty = found.where("group IS NULL").select(long_key(F.col("doc_id")).alias("doc"), "h", F.lit(True).alias("all")).distinct()
+    keep = best.unionByName(empty).withColumnsRenamed({"doc": "__doc", "h": "__h", "all": "__all"})
+    j = docs.withColumn("__doc", long_key(F.col("doc_id"))).withColumn("__h", text_hash()).join(keep, ["__doc", "__h"])
+    w = Window.partitionBy("__doc", "__h").orderBy("__all")
+    return j.withColumn("__no", F.row_number().over(w)).where("__all OR __no = 1").select(*docs.columns)

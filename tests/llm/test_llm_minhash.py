@@ -70,6 +70,16 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert M.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert M.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    rows = [(2, "a b c d e f"), (2, "a b c d e f"), (1, "A b c d e f"), (3, "other words here now then"), (3, None), (None, ""), (4, ""), (4, ""),
+            (None, "only null ids hold this text"), (None, "only null ids hold this text")]
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in M.one_of_each(df).collect()), key=str)
+    assert got == sorted([(1, "A b c d e f"), (3, "other words here now then"), (3, None), (None, ""), (4, ""), (4, ""),
+                          (None, "only null ids hold this text")], key=str)
 
 
 def test_signature_estimates_jaccard():
