@@ -136,7 +136,8 @@ def overlaps(lines: DataFrame, line_words: int, block_words: int) -> DataFrame:
     one = stored(one, "lines")
     # the earliest holder of each line, combined before the shuffle
     first = one.groupBy("line").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = stored(one.join(first.select("line", "a"), "line"), "held")
+    first = stored(first.select("line", "a"), "first")  # a table of its own: adaptive execution may then split a hot line
+    held = stored(one.join(first, "line"), "held")
     star = held.where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b"), "line", "words")
     able = star.groupBy("b").agg(F.sum("words").alias("shared")).where(F.col("shared") >= block_words).select("b")
     pairs = star.select("a", "b").unionByName(predecessors(held.select("line", "key")).where("a IS NOT NULL"))
@@ -201,6 +202,8 @@ def dedup_lines(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int
     many of them went."""
     cut = deletions(docs, line_words, block_words).select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("cut").alias("__cut"))
     d, h = key_columns()
+    # texts always meet the deletions in a merge join, whatever size the deletions have here
+    cut = cut.hint("merge")
     j = docs.withColumn("__dd", d).withColumn("__hh", h).join(cut, (F.col("__dd") == F.col("__d")) & (F.col("__hh") == F.col("__h")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("__cut", lambda c: (c["start"] <= i) & (i < c["end"])))

@@ -182,7 +182,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
 def stars(buckets: DataFrame) -> DataFrame:
     """``key, set_id, centre, n`` for the members of every bucket of two or more classes."""
     top = buckets.groupBy("key").agg(F.min("set_id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return buckets.join(top, "key")
+    return buckets.join(stored(top, "centres"), "key")  # a table of its own: adaptive execution may split a hot key
 
 
 def labelled(buckets: DataFrame, comp: DataFrame) -> DataFrame:
