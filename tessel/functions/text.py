@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType
 __all__ = [
     "norm_label", "norm_key", "norm_key_ws", "collapse_ws", "dedup_text_key",
     "norm_text", "token_count", "word_tokens", "word_ngrams", "shingles",
-    "norm_title", "dup_suffix", "url_domain", "ws_tokens", "shingles_of_tokens",
+    "py_strip", "norm_title", "dup_suffix", "url_domain", "ws_tokens", "shingles_of_tokens",
 ]
 
 WS = r"(?U)\s+"
@@ -31,6 +31,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def py_strip(col) -> Column:
+    """``str.strip()``: Unicode white space off both ends."""
+    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
+
+
 def collapse_ws(col) -> Column:
     """``" ".join(s.split())``: runs of Unicode whitespace -> one space, trimmed."""
     return F.trim(F.regexp_replace(_c(col), WS, " "))
@@ -56,10 +61,14 @@ def _nfkd_strip_marks(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+# Deterministic in fact; flagged otherwise so that a filter on the key does not run it twice.
+_nfkd_strip_marks = _nfkd_strip_marks.asNondeterministic()
+
+
 def norm_key(col) -> Column:
     """Actor key normaliser: lower, NFKD with combining marks removed,
     non ``[a-z0-9]`` runs -> ``_``, strip ``_``."""
-    s = _nfkd_strip_marks(F.trim(F.lower(F.coalesce(_c(col), F.lit("")))))
+    s = _nfkd_strip_marks(py_strip(F.lower(F.coalesce(_c(col), F.lit("")))))
     s = F.regexp_replace(s, r"[^a-z0-9]+", "_")
     return F.regexp_replace(s, r"^_+|_+$", "")
 
@@ -102,7 +111,7 @@ def token_count(col, tokenizer: str = "split") -> Column:
         parts = F.split(F.translate(t, "\n", " "), " ")
         return F.size(F.filter(parts, lambda x: x != ""))
     if name == "regex":
-        return F.size(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), 0))
+        return F.size(F.regexp_extract_all(t, F.lit(r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), 0))
     if name in ("split", "whitespace"):
         return F.size(F.filter(F.split(t, WS), lambda x: x != ""))
     raise ValueError(f"unknown tokenizer {tokenizer!r}")

@@ -31,7 +31,8 @@ def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 def _ranked(df, seed, label_col, id_col, weight_col=None):
     d = df.withColumn("__h", order_key(id_col, seed))
-    return bucketed_rank(d, [label_col], "__h", id_col, rank_col="__r", n_col="__n",
+    tie = "rid" if "rid" in df.columns else id_col  # ids may repeat, row keys do not
+    return bucketed_rank(d, [label_col], "__h", tie, rank_col="__r", n_col="__n",
                          weight_col=weight_col, prefix_col="__pre" if weight_col else None)
 
 
@@ -53,6 +54,8 @@ def cap_docs(df: DataFrame, cap: int, seed: int = 42, oversample: bool = False,
              label_col: str = "label", id_col: str = "id") -> DataFrame:
     """At most ``cap`` rows per label; with ``oversample`` labels below ``cap``
     are topped up to ``cap`` with duplicates (``#dup<k>`` ids)."""
+    if int(cap or 0) <= 0:
+        return df
     r = _ranked(df, seed, label_col, id_col)
     keep = r.where(F.col("__r") <= int(cap))
     out = keep.withColumn(id_col, F.col(id_col).cast("string"))
@@ -79,11 +82,12 @@ def cap_tokens(df: DataFrame, cap_tokens: int, seed: int = 42, tokens_col: str =
     *before* the row is below ``cap_tokens`` (the crossing row is kept). If the
     whole label has ``T < cap`` tokens, a second pass over the same order
     duplicates row ``r`` (id ``#dup<r>``) iff ``T + prefix(r) < cap``."""
-    cap = int(cap_tokens)
+    cap = int(cap_tokens or 0)
+    if cap <= 0:
+        return df
     d = df.withColumn("__w", F.coalesce(F.col(tokens_col), F.lit(0)).cast("bigint"))
     r = _ranked(d, seed, label_col, id_col, weight_col="__w")
-    # label totals come from the small per-bucket table, not a per-row window
-    totals = (r.groupBy(label_col).agg(F.sum("__w").alias("__T")))
+    totals = d.groupBy(label_col).agg(F.sum("__w").alias("__T"))
     r = r.join(totals, label_col)
     first = r.where(F.col("__pre") < cap).withColumn(id_col, F.col(id_col).cast("string"))
     dups = (r.where((F.col("__T") < cap) & (F.col("__T") + F.col("__pre") < cap))
@@ -92,9 +96,10 @@ def cap_tokens(df: DataFrame, cap_tokens: int, seed: int = 42, tokens_col: str =
 
 
 def alpha_quotas(df: DataFrame, alpha: float, total: int, label_col: str = "label") -> DataFrame:
-    """Quota per label: ``q = max(1, round_half_even(total * c^a / Σ c^a))``, then
-    the difference to ``total`` is spread ±1 round-robin over labels (in label
-    order): label i of L gets ``sign(d) * (|d| div L + (i < |d| mod L))``."""
+    """Quota per label: ``q = max(1, round_half_even(total * c^a / Σ c^a))``, then made to sum to ``total``:
+    a shortage is dealt round-robin in label order; an excess is taken from the largest quotas,
+    which are cut to a common level (what the level leaves over goes out one each, in label order), never below 1.
+    Raises when ``total`` is smaller than the number of labels."""
     c = label_counts(df, label_col)
     whole = Window.partitionBy()
     q = (c.withColumn("__w", F.pow(F.col("n_docs").cast("double"), F.lit(float(alpha))))
@@ -103,10 +108,20 @@ def alpha_quotas(df: DataFrame, alpha: float, total: int, label_col: str = "labe
          .withColumn("__i", F.row_number().over(whole.orderBy(label_col)) - 1)
          .withColumn("__L", F.count(F.lit(1)).over(whole))
          .withColumn("__d", F.lit(int(total)) - F.sum("__q0").over(whole)))
-    a = F.abs(F.col("__d"))
-    adj = F.signum(F.col("__d")).cast("bigint") * (F.floor(a / F.col("__L")).cast("bigint")
-                                                  + F.when(F.col("__i") < F.pmod(a, F.col("__L")), 1).otherwise(0))
-    return q.select(label_col, "n_docs", (F.col("__q0") + adj).cast("bigint").alias("quota"))
+    # the largest level t with Σ min(q, t) <= total: the best over k of cutting the k largest
+    large = whole.orderBy(F.desc("__q0"), label_col)
+    q = (q.withColumn("__k", F.row_number().over(large))
+         .withColumn("__rest", F.coalesce(F.sum("__q0").over(large.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)))
+         .withColumn("__t", F.max(F.floor((F.lit(int(total)) - F.col("__rest")) / F.col("__k"))).over(whole))
+         .withColumn("__cut", F.least("__q0", "__t"))
+         .withColumn("__left", F.lit(int(total)) - F.sum("__cut").over(whole))
+         .withColumn("__j", F.sum(F.when(F.col("__q0") > F.col("__t"), 1).otherwise(0)).over(
+             whole.orderBy(label_col).rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    more = F.floor(F.col("__d") / F.col("__L")) + F.when(F.col("__i") < F.pmod("__d", F.col("__L")), 1).otherwise(0)
+    less = F.col("__cut") + F.when((F.col("__q0") > F.col("__t")) & (F.col("__j") <= F.col("__left")), 1).otherwise(0)
+    quota = F.when(F.lit(int(total)) < F.col("__L"), F.raise_error(F.lit(f"alpha_total: total {int(total)} is less than the number of labels"))
+                   .cast("bigint")).when(F.col("__d") >= 0, F.col("__q0") + more).otherwise(less)
+    return q.select(label_col, "n_docs", quota.cast("bigint").alias("quota"))
 
 
 def alpha_total(df: DataFrame, alpha: float, total: int, seed: int = 42,

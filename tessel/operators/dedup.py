@@ -1,10 +1,11 @@
 """Exact deduplication and the cleaning report.
 
 Survivor choice is always by an explicit order key (Spark rows have no file
-order). Each dedup step aggregates ``key -> winning id`` with a partial
-``min_by`` (a key holding a third of the corpus is combined map-side, never
-sent whole to one task) and then keeps the winners with a left-semi join on
-the unique id. Texts never enter the key aggregation shuffle: only md5 digests.
+order). Each step aggregates ``key -> winning row`` with a partial ``min`` (a key
+holding a third of the corpus is combined map-side, never sent whole to one task).
+A winner is a row, not an id: tables with a unique row key (``row_id``) keep the
+winners with a left-semi join on it, so that texts stay out of the shuffle;
+for tables without one the winning row itself is the aggregate.
 """
 
 from __future__ import annotations
@@ -12,41 +13,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.functions.text import collapse_ws, dedup_text_key, norm_title
+from tessel.functions.text import collapse_ws, dedup_text_key, norm_title, py_strip
 
 DEDUP_MODES = ("none", "id", "text", "id_and_text")
 
 
 def dedup_key(mode: str, id_col: str = "id", text_col: str = "text"):
+    """Digest of the dedup key; a missing (null or empty) id falls back to the text in mode ``id``
+    and counts as empty in mode ``id_and_text``."""
     mode = (mode or "none").strip().lower()
+    ident = F.col(id_col).cast("string")
     if mode == "id":
-        return F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)))
+        return F.md5(F.coalesce(F.when(ident != "", ident), F.col(text_col)))
     if mode == "text":
         return dedup_text_key(text_col)
     if mode == "id_and_text":
-        return F.md5(F.concat(F.trim(F.coalesce(F.col(id_col).cast("string"), F.lit(""))),
-                              F.lit("||"), F.lower(collapse_ws(text_col))))
+        return F.md5(F.concat(py_strip(F.coalesce(ident, F.lit(""))), F.lit("||"), F.lower(collapse_ws(text_col))))
     raise ValueError(f"unknown dedup mode {mode!r}")
 
 
-def keep_first(df: DataFrame, key, order_col: str, id_col: str = "id") -> DataFrame:
-    """Keep, per key, the row with the smallest ``(order_col, id_col)``."""
-    if order_col == id_col:  # fixed-width buffer: hash aggregation with map-side combine
-        winners = df.select(key.alias("__k"), F.col(id_col).alias("__i")).groupBy("__k").agg(F.min("__i").alias("__id"))
-    else:
-        winners = (df.select(key.alias("__k"), F.struct(F.col(order_col).alias("o"), F.col(id_col).alias("i")).alias("__s"))
-                   .groupBy("__k").agg(F.min("__s").alias("__w"))
-                   .select(F.col("__w.i").alias("__id")))
-    return df.join(winners, df[id_col] == winners["__id"], "left_semi")
+def keep_first(df: DataFrame, key, order_col: str, id_col: str = "id", row_id: str | None = None) -> DataFrame:
+    """Keep, per key, the one row that is smallest by ``order_col`` then ``id_col`` (then
+    the row key, or the text's digest)."""
+    if row_id:
+        order = F.struct(F.col(order_col).alias("o"), F.col(id_col).alias("i"), F.col(row_id).alias("r"))
+        winners = df.select(key.alias("__k"), order.alias("__s")).groupBy("__k").agg(F.min("__s").alias("__w")).select(F.col("__w.r").alias("__r"))
+        return df.join(winners, df[row_id] == winners["__r"], "left_semi")
+    last = [F.md5("text")] if "text" in df.columns else []
+    order = F.struct(F.col(order_col).alias("o"), F.col(id_col).alias("i"), *[c.alias(f"t{n}") for n, c in enumerate(last)])
+    rows = df.select(key.alias("__k"), order.alias("__s"), F.struct(*df.columns).alias("__row"))
+    return rows.groupBy("__k").agg(F.min_by("__row", "__s").alias("__w")).select("__w.*")
 
 
 def dedup(df: DataFrame, on: str = "text", order_col: str = "id", id_col: str = "id",
-          text_col: str = "text") -> DataFrame:
+          text_col: str = "text", row_id: str | None = None) -> DataFrame:
     """Exact dedup on ``id`` / normalised ``text`` / ``id_and_text``; keep the first by ``order_col``."""
     on = (on or "none").strip().lower()
     if on in ("none", "", "no"):
         return df
-    return keep_first(df, dedup_key(on, id_col, text_col), order_col, id_col)
+    return keep_first(df, dedup_key(on, id_col, text_col), order_col, id_col, row_id)
 
 
 def title_domain_winners(df: DataFrame, domain_col: str = "domain", title_col: str = "title",

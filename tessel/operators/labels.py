@@ -8,7 +8,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.functions.text import norm_label
+from tessel.functions.text import norm_label, py_strip
 
 POLICIES = ("drop", "keep", "other")
 
@@ -60,5 +60,5 @@ def apply_label_map(df: DataFrame, label_map: DataFrame, policy: str = "drop",
 
 def label_fallback(df: DataFrame, fields: Sequence[str], out_col: str = "label_raw") -> DataFrame:
     """Raw label = first of ``fields`` holding a non-blank value (stripped)."""
-    vals = [F.when(F.trim(F.col(c).cast("string")) != "", F.trim(F.col(c).cast("string"))) for c in fields]
+    vals = [F.when(py_strip(F.col(c).cast("string")) != "", py_strip(F.col(c).cast("string"))) for c in fields]
     return df.withColumn(out_col, F.coalesce(*vals) if vals else F.lit(None).cast("string"))

@@ -15,25 +15,23 @@ def stratified_split(df: DataFrame, train_prop: float, seed: int = 42, label_col
     go to ``train``, the rest to ``job``. Adds ``split``."""
     p = float(train_prop)
     d = df.withColumn("__h", order_key(id_col, seed))
-    r = bucketed_rank(d, [label_col], "__h", id_col, rank_col="__r", n_col="__n")
+    r = bucketed_rank(d, [label_col], "__h", "rid" if "rid" in df.columns else id_col, rank_col="__r", n_col="__n")
     n_train = F.bround(F.lit(p) * F.col("__n"), 0)
     return r.withColumn(split_col, F.when(F.col("__r") <= n_train, "train").otherwise("job")).drop("__h", "__r", "__n")
 
 
 def take_first(df: DataFrame, n: int, order_col: str, id_col: str = "id") -> DataFrame:
-    """The first ``n`` rows by ``(order_col, id)``, exact, at any ``n``.
-
-    Small ``n`` is a TakeOrdered (per-partition top-n, then one merge of
-    ``partitions x n`` rows); large ``n`` uses the bucketed rank so no single
-    task orders the whole table.
-    """
+    """The first ``n`` rows by ``(order_col, id)``, exact, at any ``n``: bucketed ranks of the
+    order key, so no task orders the table or holds ``n`` rows."""
     n = int(n)
     if n <= 0:
         return df.limit(0)
-    if n <= 100_000:
-        return df.orderBy(F.col(order_col), F.col(id_col)).limit(n)
-    r = bucketed_rank(df, [], order_col, id_col, rank_col="__r", n_col=None)
-    return r.where(F.col("__r") <= n).drop("__r")
+    tie = "rid" if "rid" in df.columns else id_col
+    number = df.schema[order_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    # a text that sorts like the number; its buckets hold 10,000 consecutive numbers
+    text = F.lpad((F.col(order_col).cast("bigint") + F.lit(1 << 62)).cast("string"), 20, "0") if number else F.col(order_col).cast("string")
+    r = bucketed_rank(df.withColumn("__ord", text), [], "__ord", tie, rank_col="__r", n_col=None, bucket_digits=16 if number else 3)
+    return r.where(F.col("__r") <= n).drop("__r", "__ord")
 
 
 def cap_rows(df: DataFrame, max_docs: int | None, seed: int = 42, id_col: str = "id",

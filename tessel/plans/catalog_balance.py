@@ -21,7 +21,7 @@ CAP, OVERSAMPLE_CAP, CAP_TOKENS, ALPHA, TOTAL = 100, 150, 30000, 0.5, 200
 
 
 def _train(spark, sf):
-    return prepare(spark, sf).where(F.col("split") == "train")
+    return prepare(spark, sf, with_text=False).where(F.col("split") == "train")
 
 
 def _extras_sql(need_cte: str, ranked: str) -> str:
@@ -66,11 +66,30 @@ def q_cap_tokens(spark, sf):
     return B.cap_tokens(_train(spark, sf), CAP_TOKENS, 42).select("id", "label")
 
 
-QUOTAS = f"""c AS (SELECT label, count(*) AS n_docs FROM tr GROUP BY label),
-q AS (SELECT label, n_docs, greatest(1, CAST(round_even({float(TOTAL)} * (pow(n_docs, {ALPHA}) / sum(pow(n_docs, {ALPHA})) OVER ()), 0) AS BIGINT)) AS q0,
+def quotas_sql(total: int = TOTAL, alpha: float = ALPHA) -> str:
+    return f"""c AS (SELECT label, count(*) AS n_docs FROM tr GROUP BY label),
+q AS (SELECT label, n_docs, greatest(1, CAST(round_even({float(total)} * (pow(n_docs, {alpha}) / sum(pow(n_docs, {alpha})) OVER ()), 0) AS BIGINT)) AS q0,
              row_number() OVER (ORDER BY label) - 1 AS i, count(*) OVER () AS nl FROM c),
-qd AS (SELECT *, {TOTAL} - sum(q0) OVER () AS d FROM q),
-quotas AS (SELECT label, n_docs, CAST(q0 + sign(d) * (abs(d) // nl + CASE WHEN i < abs(d) % nl THEN 1 ELSE 0 END) AS BIGINT) AS quota FROM qd)"""
+qk AS (SELECT *, {total} - sum(q0) OVER () AS d, row_number() OVER (ORDER BY q0 DESC, label) AS k,
+              coalesce(sum(q0) OVER (ORDER BY q0 DESC, label ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS rest FROM q),
+qt AS (SELECT *, max(CAST(floor(({total} - rest) / k) AS BIGINT)) OVER () AS t FROM qk),
+ql AS (SELECT *, {total} - sum(least(q0, t)) OVER () AS lft, sum(CASE WHEN q0 > t THEN 1 ELSE 0 END) OVER (ORDER BY label ROWS UNBOUNDED PRECEDING) AS j FROM qt),
+quotas AS (SELECT label, n_docs, CAST(CASE WHEN d >= 0 THEN q0 + d // nl + CASE WHEN i < d % nl THEN 1 ELSE 0 END
+                  ELSE least(q0, t) + CASE WHEN q0 > t AND j <= lft THEN 1 ELSE 0 END END AS BIGINT) AS quota FROM ql)"""
+
+
+QUOTAS = quotas_sql()
+# one big label and many rare ones: every language x source is a label, the total little above their number
+RARE = "tr AS (SELECT id, modality || '-' || source || CASE WHEN id % 50 = 0 THEN '-' || id ELSE '' END AS label FROM docs)"
+RARE_TOTAL = 400
+
+
+@query("alpha_quotas_rare", f"WITH {Q.DOCS}, {RARE}, {quotas_sql(RARE_TOTAL, 1.0)} SELECT * FROM quotas")
+def q_alpha_quotas_rare(spark, sf):
+    """Rare labels keep a quota of one; the excess comes from the largest."""
+    d = labelled_docs(spark, sf, with_text=False)
+    label = F.concat("modality", F.lit("-"), "source", F.when(F.col("id") % 50 == 0, F.concat(F.lit("-"), F.col("id").cast("string"))).otherwise(""))
+    return B.alpha_quotas(d.select("id", label.alias("label")), 1.0, RARE_TOTAL)
 
 
 @query("alpha_quotas", f"WITH {PREP}, {TRAIN}, {QUOTAS} SELECT * FROM quotas")
@@ -118,7 +137,7 @@ a AS (SELECT id, label, row_number() OVER (ORDER BY {Q.order_key('id', 42, 'a')}
 b AS (SELECT label AS label_shuffled, row_number() OVER (ORDER BY {Q.order_key('id', 42, 'b')}, id) AS r FROM v)
 SELECT a.id, a.label, b.label_shuffled FROM a JOIN b USING (r)""")
 def q_shuffle_labels(spark, sf):
-    return S.shuffle_labels(prepare(spark, sf), 42).select("id", "label", "label_shuffled")
+    return S.shuffle_labels(prepare(spark, sf, with_text=False), 42).select("id", "label", "label_shuffled")
 
 
 @query("keep_ids_semi", "SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")

@@ -13,9 +13,8 @@ from tessel.operators import labels as L
 from tessel.operators import metrics as M
 from tessel.operators import split as S
 from tessel.plans import sql as Q
-from tessel.plans.prepare import PrepareParams, prepare, view_meta
+from tessel.plans.prepare import PrepareParams, driver_stages, prepare, prepare_frame, view_counts, view_meta
 from tessel.plans.registry import query
-from tessel.session import materialize
 from tessel.sources.tables import labelled_docs, read_table
 
 PREP = Q.prepared()
@@ -32,18 +31,19 @@ LABEL_MAP_SQL = ", ".join(
 
 
 def _v(spark, sf):
-    return prepare(spark, sf)
+    """The split view's key rows: everything but the text."""
+    return prepare(spark, sf, with_text=False)
 
 
 def _v_keys(spark, sf):
-    """The split view without text, written once: metric queries read it
+    """The split view without text (a written table): metric queries read it
     several times (train counts, the majority subquery, job rows)."""
-    return materialize(prepare(spark, sf).select("id", "label", "source", "modality", "split"))
+    return prepare(spark, sf, with_text=False).select("id", "label", "source", "modality", "split")
 
 
-@query("prepare_view", f"WITH {PREP} SELECT {SEL_V} FROM v")
+@query("prepare_view", f"WITH {PREP} SELECT {SEL_V}, md5(text) AS text_md5 FROM v")
 def q_prepare_view(spark, sf):
-    return _v(spark, sf).select(*[c.strip() for c in SEL_V.split(",")])
+    return prepare(spark, sf).select(*[c.strip() for c in SEL_V.split(",")], F.md5("text").alias("text_md5"))
 
 
 @query("filter_length", f"WITH {Q.DOCS} SELECT id, CAST(length(text) AS BIGINT) AS n_chars FROM docs WHERE length(text) >= 200")
@@ -202,8 +202,7 @@ SELECT CASE WHEN gid = 0 THEN 'by_group' ELSE 'all' END AS scope, label, split,
        round(q[5], 6) AS p75, round(q[6], 6) AS p95, round(q[7], 6) AS p99, "max", mean, std,
        share_lt_200, share_gt_5000 FROM g""")
 def q_length_stats(spark, sf):
-    v = _v(spark, sf).withColumn("text_len", F.length("text"))
-    return A.length_stats(v, "text_len", ("label", "split"))
+    return A.length_stats(_v(spark, sf), "text_len", ("label", "split"))
 
 
 _DOMAIN_SQL = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '')"
@@ -303,22 +302,83 @@ c AS (SELECT split, count(*) OVER (PARTITION BY k) AS t FROM x)
 SELECT split, count(*) AS n_docs, CAST(sum(CASE WHEN t > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_dup_docs,
        round(sum(CASE WHEN t > 1 THEN 1 ELSE 0 END) / count(*), 6) AS dup_share FROM c GROUP BY split""")
 def q_exact_dups(spark, sf):
-    from tessel.plans.prepare import filtered_docs
-    p = PrepareParams()
-    f = filtered_docs(labelled_docs(spark, sf), p, spark)
-    s = prepare(spark, sf, p).select(F.col("id").alias("__sid"), "split")
-    x = (f.join(s, f["id"] == s["__sid"], "left")
-         .select(F.coalesce("split", F.lit("unsplit")).alias("split"), T.dedup_text_key("text").alias("k")))
+    st = driver_stages(spark, sf, PrepareParams())
+    f = FL.drop_unlabelled(st.labelled).select("rid", F.col("__k").alias("k"))
+    x = f.join(st.view.select("rid", "split"), "rid", "left").select(F.coalesce("split", F.lit("unsplit")).alias("split"), "k")
     return D.exact_duplicates(x, "k", "split")
 
 
-@query("view_meta", f"""WITH {PREP}, t AS (SELECT id, {Q.tok_split()} AS tokens, length(text) >= 200 AS f_len,
-   label IS NOT NULL AND label <> '' AS f_lab FROM docs)
-SELECT count(*) AS n_seen, CAST(sum(f_len::INT) AS BIGINT) AS n_after_length, CAST(sum(f_len::INT) AS BIGINT) AS n_after_tokens,
-       CAST(sum((f_len AND f_lab)::INT) AS BIGINT) AS n_labelled, count(v.split) AS n_after_dedup,
-       CAST(sum(CASE WHEN v.split = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS n_train,
-       CAST(sum(CASE WHEN v.split = 'job' THEN 1 ELSE 0 END) AS BIGINT) AS n_job,
-       0.8::DOUBLE AS train_prop, CAST(42 AS BIGINT) AS seed, 'text' AS dedup_on
-FROM t LEFT JOIN v USING (id)""")
-def q_view_meta(spark, sf):
-    return view_meta(spark, sf)
+def _meta_sql(where: str = "TRUE", label: str = "label", dedup: bool = True) -> str:
+    """Key rows of every stage: t (all), l (after text filters and modality), v (split)."""
+    return f"""{Q.DOCS}, t AS (SELECT *, {Q.tok_split()} AS tokens, {Q.dedup_key()} AS k FROM docs),
+l AS (SELECT * EXCLUDE (label), {label} AS label FROM t WHERE length(text) >= 200 AND {where}),
+w AS (SELECT * FROM l WHERE label IS NOT NULL AND label <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY id) = 1),
+v AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {Q.order_key('id')}, id)
+                     <= round_even(0.8::DOUBLE * count(*) OVER (PARTITION BY label), 0) THEN 'train' ELSE 'job' END AS split FROM w)"""
+
+
+def _meta_q(name: str, where: str, label: str, params: dict, balance_cap: int):
+    """Stage counts and per-key counts of one parameter set."""
+    bal = f"bal AS (SELECT * FROM v WHERE split = 'train' QUALIFY row_number() OVER (PARTITION BY label ORDER BY {Q.order_key('id')}, id) <= {balance_cap})"
+    p = {**params, "balance": "cap_docs", "cap": balance_cap}
+
+    @query(name, f"""WITH {_meta_sql(where, label)}, {bal}
+SELECT (SELECT count(*) FROM t) AS n_seen, (SELECT count(*) FROM t WHERE length(text) >= 200) AS n_after_length,
+       (SELECT count(*) FROM t WHERE length(text) >= 200) AS n_after_tokens, (SELECT count(*) FROM l) AS n_after_modality,
+       (SELECT count(*) FROM l WHERE label <> '') AS n_labelled, (SELECT count(*) FROM v) AS n_view,
+       (SELECT count(*) FROM v WHERE split = 'train') AS n_train, (SELECT count(*) FROM v WHERE split = 'job') AS n_job,
+       (SELECT count(*) FROM bal) AS n_train_balanced, 0.8::DOUBLE AS train_prop, CAST(42 AS BIGINT) AS seed, 'text' AS dedup_on, 'cap_docs' AS balance""")
+    def meta(spark, sf):
+        q = PrepareParams(**p)
+        return view_meta(driver_stages(spark, sf, q), q)
+
+    @query(f"{name}_counts", f"""WITH {_meta_sql(where, label)}, {bal}
+SELECT 'modality' AS kind, modality AS key, count(*) AS n_docs FROM t WHERE length(text) >= 200 GROUP BY ALL
+UNION ALL SELECT 'label_before', label, count(*) FROM l WHERE label <> '' GROUP BY ALL
+UNION ALL SELECT 'label_view', label, count(*) FROM v GROUP BY ALL
+UNION ALL SELECT 'label_' || split, label, count(*) FROM v GROUP BY ALL
+UNION ALL SELECT 'label_train_balanced', label, count(*) FROM bal GROUP BY ALL
+UNION ALL SELECT 'source', source, count(*) FROM v GROUP BY ALL""")
+    def counts(spark, sf):
+        q = PrepareParams(**p)
+        return view_counts(driver_stages(spark, sf, q), q)
+
+
+_FIVE = {f"src{i}": ("left" if i % 2 else "right") for i in range(5)}
+_FIVE_SQL = "CASE " + " ".join(f"WHEN label_raw = '{k}' THEN '{v}'" for k, v in _FIVE.items()) + " END"
+_meta_q("view_meta", "TRUE", "label", {}, 60)
+_meta_q("view_meta_modality", "modality = 'en'", "label", {"modality": "en"}, 60)
+_meta_q("view_meta_label_map", "TRUE", _FIVE_SQL, {"label_map": _FIVE}, 60)
+
+
+# Repeated and missing ids: a conversation's turns share its id, every seventh conversation has none.
+_CONV = "cv AS (SELECT CASE WHEN conv_id % 7 <> 0 THEN conv_id END AS id, turn, role, text FROM conversations)"
+
+
+def _conv_rows(spark, sf):
+    return read_table(spark, sf, "conversations", row_id=True).select(F.when(F.col("conv_id") % 7 != 0, F.col("conv_id")).alias("id"), "turn", "role", "text", "rid")
+
+
+def _conv_dedup(mode: str, key: str):
+    @query(f"dedup_conv_{mode}", f"""WITH {_CONV} SELECT id, turn, role, md5(text) AS text_md5 FROM cv
+QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY turn, id NULLS FIRST, md5(text)) = 1""")
+    def run(spark, sf):
+        d = D.dedup(_conv_rows(spark, sf).drop("rid"), mode, "turn")
+        return d.select("id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+_conv_dedup("id", "coalesce(CAST(id AS VARCHAR), text)")
+_conv_dedup("text", Q.dedup_key())
+_conv_dedup("id_and_text", f"coalesce(CAST(id AS VARCHAR), '') || '||' || {Q.dedup_key()}")
+
+
+@query("prepare_repeated_ids", f"""WITH {_CONV},
+f AS (SELECT *, {Q.dedup_key()} AS k FROM cv WHERE length(text) >= 50)
+SELECT role AS label, count(*) AS n_docs, count(DISTINCT md5(text)) AS n_texts,
+       CAST(round_even(0.8::DOUBLE * count(*), 0) AS BIGINT) AS n_train FROM f GROUP BY role""")
+def q_prepare_repeated_ids(spark, sf):
+    """Any frame through the stage: rows stay rows whatever their ids (no dedup)."""
+    d = _conv_rows(spark, sf).select("rid", "id", "text", F.col("role").alias("label"), F.lit("chat").alias("modality"), F.lit("chat").alias("source"))
+    v = prepare_frame(d, PrepareParams(min_chars=50, dedup_on="none"))
+    return v.groupBy("label").agg(F.count(F.lit(1)).alias("n_docs"), F.countDistinct(F.md5("text")).alias("n_texts"),
+                                  F.count(F.when(F.col("split") == "train", 1)).alias("n_train"))

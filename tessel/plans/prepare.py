@@ -1,21 +1,31 @@
-"""The prepare stage as one lazy plan.
+"""The prepare stage as one plan over a key table.
 
 Order is the reference's and matters: length filter -> token count -> token
 filter -> modality counts/filter -> label mapping -> unlabelled drop -> dedup
 -> global cap -> actor filters -> stratified split -> balance (train only).
+
+Everything after the scan runs on narrow keys: one pass over the text projects length,
+tokens and the dedup digest next to the row's small columns; labels, dedup, caps,
+split and balance work on that table, written once. Texts are read a second time,
+at the end, and cross one exchange, where they meet the decisions by row key.
+Rows are identified by ``rid``, never by ``id``: ids may repeat or be missing.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.functions.text import token_count
+from tessel.operators import actors as act
 from tessel.operators import balance, dedup, filters, labels, split
-from tessel.session import materialize
-from tessel.sources.tables import labelled_docs
+from tessel.session import scratch_path
+from tessel.sources.tables import attach_labels, document_rows
 
 
 @dataclass
@@ -40,6 +50,17 @@ class PrepareParams:
     cap_tokens: int | None = None
     alpha: float = 1.0
     total: int | None = None
+    #: actor view: a table of actors replaces the label map (see ``operators.actors.resolve_actors``)
+    actors: DataFrame | None = None
+    actor_view: str = "binary"
+    unknown_actors: str = "drop"
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared scratch folder and read back (columns stay prunable)."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def filtered_docs(docs: DataFrame, p: PrepareParams, spark: SparkSession | None = None) -> DataFrame:
@@ -54,75 +75,133 @@ def filtered_docs(docs: DataFrame, p: PrepareParams, spark: SparkSession | None
     return filters.drop_unlabelled(d)
 
 
-def split_keys(d: DataFrame, p: PrepareParams) -> DataFrame:
-    """``(id, split)`` of the rows that survive dedup, cap and actor filters.
+def with_row_ids(df: DataFrame) -> DataFrame:
+    """A frame without ``rid`` is written once with row numbers, so that they hold in every later pass."""
+    if "rid" in df.columns:
+        return df
+    return _written(df.withColumn("rid", F.monotonically_increasing_id().cast("string")), "rows")
+
 
-    All of it runs on a narrow key table ``(id, label, actor, dedup key)``
-    computed in one pass over the text; the resulting ``(id, split)`` is
-    joined back to the full rows once at the end. The text is read twice
-    (keys, output) and shuffled once, instead of travelling through every
-    dedup, rank and window exchange.
-    """
+@dataclass
+class Stages:
+    """Key tables of a prepare run: ``seen`` (after the text filters), ``labelled`` and ``view`` (with ``split``)."""
+    rows: DataFrame
+    seen: DataFrame
+    labelled: DataFrame
+    view: DataFrame
+
+
+def stages(docs: DataFrame, p: PrepareParams, add_labels: Callable[[DataFrame], DataFrame] | None = None) -> Stages:
+    """Run the stage on ``docs`` (``id``, ``text``, ``modality``, ``source``, ``label_raw`` and a
+    ``label`` unless ``add_labels`` attaches it to the narrow rows)."""
+    rows = with_row_ids(docs)
     on = (p.dedup_on or "none").strip().lower()
-    cols = ["id", "label"] + ([p.actor_col] if p.actor_col in d.columns and p.actor_col not in ("id", "label") else [])
-    narrow = d.select(*cols, *([dedup.dedup_key(on).alias("__k")] if on not in ("none", "", "no") else []))
-    # written once (narrow: ids, labels, digests), then read by every dedup / rank branch
-    narrow = materialize(narrow)
-    if "__k" in narrow.columns:
-        narrow = dedup.keep_first(narrow, F.col("__k"), "id", "id").drop("__k")
-    narrow = split.cap_rows(narrow, p.max_docs, p.seed)
-    narrow = filters.actor_include(narrow, p.actor_include, p.actor_col)
-    narrow = filters.min_docs_per_group(narrow, p.actor_col, p.actor_min_docs)
-    return split.stratified_split(narrow, p.train_prop, p.seed).select("id", "split")
+    dedups = on not in ("none", "", "no")
+    small = [c for c in rows.columns if c != "text"]
+    keys = rows.select(*small, F.length("text").cast("bigint").alias("text_len"), token_count("text", p.tokenizer).cast("bigint").alias("tokens"),
+                       *([dedup.dedup_key(on).alias("__k")] if dedups else []))
+    seen = _written(keys, "seen")
+    ok = seen
+    if p.min_chars:
+        ok = ok.where(F.col("text_len") >= int(p.min_chars))
+    ok = filters.filter_max_tokens(ok, p.max_tokens)
+    ok = filters.filter_modality(ok, p.modality)
+    if add_labels is not None:
+        ok = add_labels(ok)
+    if p.actors is not None:
+        ok = act.resolve_actors(ok.drop("label"), p.actors, p.actor_view, p.unknown_actors)
+    elif p.label_map is not None:
+        ok = labels.apply_label_map(ok, labels.label_map_frame(ok.sparkSession, p.label_map), p.unknown_policy, p.other_label)
+    labelled = _written(ok, "labelled")
+    view = filters.drop_unlabelled(labelled)
+    if dedups:
+        view = dedup.keep_first(view, F.col("__k"), "id", "id", row_id="rid")
+    view = split.cap_rows(view.drop("__k"), p.max_docs, p.seed)
+    view = filters.actor_include(view, p.actor_include, p.actor_col)
+    view = filters.min_docs_per_group(view, p.actor_col, p.actor_min_docs)
+    view = _written(split.stratified_split(view, p.train_prop, p.seed), "view")
+    return Stages(rows, seen, labelled, view)
+
+
+def balanced_view(view: DataFrame, p: PrepareParams) -> DataFrame:
+    """The balance strategy on the train keys; job keys unchanged. Duplicates are further rows of
+    the same ``rid`` with ``<id>#dup<k>`` ids."""
+    if (p.balance or "none") == "none":
+        return view
+    train = view.where(F.col("split") == "train")
+    job = view.where(F.col("split") == "job")
+    bt = balance.apply_balance(train, p.balance, p.seed, cap=p.cap, cap_tokens_=p.cap_tokens, alpha=p.alpha, total=p.total)
+    if "weight" in bt.columns:
+        job = job.withColumn("weight", F.lit(None).cast("double"))
+    return bt.withColumn("id", F.col("id").cast("string")).unionByName(job.withColumn("id", F.col("id").cast("string")))
 
 
-def split_view(d: DataFrame, p: PrepareParams) -> DataFrame:
-    """Dedup, global cap, actor filters, stratified split (adds ``split``),
-    computed by :func:`split_keys` and joined back to the full rows by id."""
-    s = split_keys(d, p).select(F.col("id").alias("__sid"), "split")
-    return d.join(s, d["id"] == s["__sid"]).drop("__sid")
+def prepare_frame(docs: DataFrame, p: PrepareParams | None = None, balanced: bool = True, with_text: bool = True,
+                  add_labels: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Train/job view of any documents frame (a table, a scanned TEI or TSV corpus, a union of corpora)."""
+    p = p or PrepareParams()
+    st = stages(docs, p, add_labels)
+    keys = balanced_view(st.view, p) if balanced else st.view
+    if not with_text:
+        return keys
+    text = st.rows.select(F.col("rid").alias("__rid"), "text")
+    return keys.join(text, keys["rid"] == text["__rid"]).drop("__rid")
 
 
 def prepare(spark: SparkSession, sf_dir: str, p: PrepareParams | None = None,
-            balanced: bool = True) -> DataFrame:
+            balanced: bool = True, with_text: bool = True) -> DataFrame:
     """Train/job view over the driver tables: ``id, text, label, label_raw,
-    modality, source, tokens, split`` (+ ``weight`` for class weights)."""
+    modality, source, tokens, text_len, rid, split`` (+ ``weight`` for class weights)."""
     p = p or PrepareParams()
-    docs = labelled_docs(spark, sf_dir, p.label_view)
-    v = split_view(filtered_docs(docs, p, spark), p)
-    if not balanced or (p.balance or "none") == "none":
-        return v
-    train = v.where(F.col("split") == "train")
-    job = v.where(F.col("split") == "job")
-    bt = balance.apply_balance(train, p.balance, p.seed, cap=p.cap, cap_tokens_=p.cap_tokens,
-                               alpha=p.alpha, total=p.total)
-    if "weight" in bt.columns:
-        job = job.withColumn("weight", F.lit(None).cast("double"))
-    return bt.withColumn("id", F.col("id").cast("string")).unionByName(
-        job.withColumn("id", F.col("id").cast("string")))
+    return prepare_frame(document_rows(spark, sf_dir, row_id=True), p, balanced, with_text,
+                         lambda keys: attach_labels(keys, spark, sf_dir, p.label_view))
 
 
-def view_meta(spark: SparkSession, sf_dir: str, p: PrepareParams | None = None) -> DataFrame:
-    """One-row stage counts of the prepare stage, from a single final aggregation
-    over per-row stage flags (no per-stage action, no collect)."""
-    p = p or PrepareParams()
-    docs = labelled_docs(spark, sf_dir, p.label_view)
-    d = filters.with_tokens(docs, p.tokenizer)
-    ok_len = F.length("text") >= int(p.min_chars or 0)
+def driver_stages(spark: SparkSession, sf_dir: str, p: PrepareParams) -> Stages:
+    return stages(document_rows(spark, sf_dir, row_id=True), p, lambda keys: attach_labels(keys, spark, sf_dir, p.label_view))
+
+
+def view_meta(st: Stages, p: PrepareParams) -> DataFrame:
+    """One-row stage counts of a prepare run."""
+    ok_len = F.col("text_len") >= int(p.min_chars or 0)
     ok_tok = F.lit(True) if p.max_tokens is None else (F.col("tokens") <= int(p.max_tokens))
-    ok_lab = F.col("label").isNotNull() & (F.col("label") != "")
-    flags = d.select("id", "text", "label", ok_len.alias("f_len"), (ok_len & ok_tok).alias("f_tok"),
-                     (ok_len & ok_tok & ok_lab).alias("f_lab"))
-    kept = flags.where("f_lab").drop("f_len", "f_tok", "f_lab")
-    s = split_keys(kept, p)
-    allrows = flags.join(s, "id", "left")
-    return allrows.agg(
-        F.count(F.lit(1)).alias("n_seen"),
-        F.sum(F.col("f_len").cast("int")).cast("bigint").alias("n_after_length"),
-        F.sum(F.col("f_tok").cast("int")).cast("bigint").alias("n_after_tokens"),
-        F.sum(F.col("f_lab").cast("int")).cast("bigint").alias("n_labelled"),
-        F.count("split").alias("n_after_dedup"),
-        F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).cast("bigint").alias("n_train"),
-        F.sum(F.when(F.col("split") == "job", 1).otherwise(0)).cast("bigint").alias("n_job"),
-        F.lit(float(p.train_prop)).alias("train_prop"), F.lit(int(p.seed)).cast("bigint").alias("seed"),
-        F.lit(p.dedup_on).alias("dedup_on"))
+    seen = st.seen.agg(F.count(F.lit(1)).alias("n_seen"), F.count(F.when(ok_len, 1)).alias("n_after_length"),
+                       F.count(F.when(ok_len & ok_tok, 1)).alias("n_after_tokens"))
+    lab = st.labelled.agg(F.count(F.lit(1)).alias("n_after_modality"), F.count(F.when(F.col("label") != "", 1)).alias("n_labelled"))
+    view = st.view.agg(F.count(F.lit(1)).alias("n_view"), F.count(F.when(F.col("split") == "train", 1)).alias("n_train"),
+                       F.count(F.when(F.col("split") == "job", 1)).alias("n_job"))
+    bal = balanced_view(st.view, p).agg(F.count(F.when(F.col("split") == "train", 1)).alias("n_train_balanced"))
+    one = seen.join(lab, F.lit(True)).join(view, F.lit(True)).join(bal, F.lit(True))  # single rows
+    return one.select("*", F.lit(float(p.train_prop)).alias("train_prop"), F.lit(int(p.seed)).cast("bigint").alias("seed"),
+                      F.lit(p.dedup_on).alias("dedup_on"), F.lit(p.balance).alias("balance"))
+
+
+def view_counts(st: Stages, p: PrepareParams) -> DataFrame:
+    """``kind, key, n_docs``: modalities of all documents that pass the text filters, labels before
+    and after dedup, per split and after balance, sources, and actor reasons."""
+    ok = F.col("text_len") >= int(p.min_chars or 0)
+    if p.max_tokens is not None:
+        ok = ok & (F.col("tokens") <= int(p.max_tokens))
+    bal = balanced_view(st.view, p)
+
+    def count(df: DataFrame, kind, key) -> DataFrame:
+        return df.groupBy((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), key.alias("key")).agg(F.count(F.lit(1)).alias("n_docs"))
+
+    parts = [count(st.seen.where(ok), "modality", F.col("modality")), count(filters.drop_unlabelled(st.labelled), "label_before", F.col("label")),
+             count(st.view, "label_view", F.col("label")), count(st.view, F.concat(F.lit("label_"), F.col("split")), F.col("label")),
+             count(bal.where("split = 'train'"), "label_train_balanced", F.col("label")), count(st.view, "source", F.col(p.actor_col))]
+    if "reason" in st.labelled.columns:
+        parts.append(count(st.labelled, "reason", F.col("reason")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def write_view_meta(st: Stages, p: PrepareParams, path: str) -> str:
+    """The stage counts and the per-key counts as JSON lines."""
+    counts = view_counts(st, p)
+    per = counts.groupBy("kind").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce("key", F.lit("")), "n_docs")))).alias("counts"))
+    view_meta(st, p).select(F.lit("stages").alias("kind"), F.to_json(F.struct("*")).alias("value")).unionByName(
+        per.select("kind", F.to_json("counts").alias("value"))).coalesce(1).write.mode("overwrite").json(path)
+    return path

@@ -15,10 +15,13 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, row_id: bool = False) -> DataFrame:
     """One parquet table; column pruning and filters reach the scan. Text
-    tables are spread over at least ``defaultParallelism`` tasks."""
+    tables are spread over at least ``defaultParallelism`` tasks. ``row_id`` adds
+    ``rid``, a key unique per row and the same in every scan: file and position in it."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if row_id:
+        df = df.select("*", F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string")).alias("rid"))
     if name in TEXT_TABLES:
         df = spread(df, TEXT_TABLES[name])
     return df
@@ -36,25 +39,27 @@ def label_expr(view: str):
     return F.when(F.col(view) == 1, pos).when(F.col(view) == 0, neg)
 
 
+def document_rows(spark: SparkSession, sf_dir: str, with_text: bool = True, row_id: bool = False) -> DataFrame:
+    """``documents`` as prepare-stage rows without a label: ``id``, ``text``, ``modality``
+    (= lang), ``source`` (the per-row source field), ``label_raw`` (= source), and ``rid``."""
+    docs = read_table(spark, sf_dir, "documents", row_id)
+    return docs.select(F.col("doc_id").alias("id"), *(["text"] if with_text else []), F.col("lang").alias("modality"), "source",
+                       F.col("source").alias("label_raw"), *(["rid"] if row_id else []))
+
+
+def attach_labels(rows: DataFrame, spark: SparkSession, sf_dir: str, label_view: str = "quality") -> DataFrame:
+    """Add ``label`` (null when the document carries none; the unlabelled filter drops it later)."""
+    if label_view == "lang":
+        return rows.withColumn("label", F.col("modality"))
+    labels = read_table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max(label_view).alias(label_view))
+    return rows.join(labels.select("id", label_expr(label_view).alias("label")), "id", "left")  # one label row per id: rows never multiply
+
+
 def labelled_docs(spark: SparkSession, sf_dir: str, label_view: str = "quality",
                   with_text: bool = True) -> DataFrame:
-    """The document row of the prepare stage, from ``documents`` ⟕ ``labels``.
-
-    Columns: ``id`` (bigint), ``text``, ``modality`` (= lang), ``source``
-    (the per-row source field), ``label_raw`` (= source), ``label`` (null when
-    the document carries no label — dropped later by the unlabelled filter).
-    ``label_view='lang'`` gives a four-class label without the labels table.
-    """
-    docs = read_table(spark, sf_dir, "documents")
-    cols = [F.col("doc_id").alias("id")]
-    if with_text:
-        cols.append(F.col("text"))
-    cols += [F.col("lang").alias("modality"), F.col("source"), F.col("source").alias("label_raw")]
-    if label_view == "lang":
-        return docs.select(*cols, F.col("lang").alias("label"))
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", label_view)
-    return (docs.join(labels, "doc_id", "left")
-            .select(*cols, label_expr(label_view).alias("label")))
+    """The document row with its label: ``documents`` ⟕ ``labels``.
+    ``label_view='lang'`` gives a four-class label without the labels table."""
+    return attach_labels(document_rows(spark, sf_dir, with_text), spark, sf_dir, label_view)
 
 
 def actor_docs(spark: SparkSession, sf_dir: str, label_view: str = "quality") -> DataFrame:
