@@ -33,21 +33,21 @@ def corpus_stats(df: DataFrame, text_col: str = "text", label_col: str = "label"
     """Per label: docs, duplicates (2nd+ occurrence of the md5 of the normalised
     text, first by ``order_col``), median and p90 of whitespace token counts.
 
-    The "first occurrence" of each digest is found by a ``min`` aggregation
-    over ``(md5, order)`` pairs, not a window, so a hot digest is combined
-    map-side.
+    Rows are first counted per ``(digest, label, tokens)``; the first occurrence of a digest is a
+    ``min`` over that table, and percentiles weigh its counts: no row meets its digest again.
     """
     t = norm_text(text_col)
     d = (df.withColumn("__t", t).where(F.col("__t") != "").where(F.trim(F.col(label_col)) != "")
          .select(F.trim(F.col(label_col)).alias(label_col), F.md5("__t").alias("__m"),
                  F.size(F.split("__t", " ")).alias("__tok"), F.col(order_col).alias("__o")))
-    first = d.groupBy("__m").agg(F.min("__o").alias("__first"))
-    j = d.join(first, "__m")
+    per = d.groupBy("__m", label_col, "__tok").agg(F.count(F.lit(1)).alias("__c"), F.min("__o").alias("__o"))
+    first = per.groupBy("__m").agg(F.min("__o").alias("__first"))
+    j = per.join(first, "__m")
     return (j.groupBy(label_col).agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.sum(F.when(F.col("__o") != F.col("__first"), 1).otherwise(0)).cast("bigint").alias("n_dups"),
-        F.round(F.percentile("__tok", 0.5), 6).alias("median_tokens"),
-        F.round(F.percentile("__tok", 0.9), 6).alias("p90_tokens")))
+        F.sum("__c").cast("bigint").alias("n_docs"),
+        F.sum(F.col("__c") - F.when(F.col("__o") == F.col("__first"), 1).otherwise(0)).cast("bigint").alias("n_dups"),
+        F.round(F.percentile("__tok", 0.5, F.col("__c")), 6).alias("median_tokens"),
+        F.round(F.percentile("__tok", 0.9, F.col("__c")), 6).alias("p90_tokens")))
 
 
 LENGTH_PCTS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)

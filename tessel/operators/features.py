@@ -6,8 +6,9 @@ lower-cased word tokens); ``fit_vocabulary`` keeps terms with document
 frequency >= ``min_df`` (clamped to the number of documents), then the top
 ``max_features`` by corpus frequency (ties by term), with smooth idf
 ``ln((1+n)/(1+df)) + 1``; ``tfidf`` weights ``tf * idf`` and L2-normalises per
-document. The vocabulary has at most ``max_features`` rows, a proven bound,
-so it is broadcast into the term join.
+document. With ``max_features`` the vocabulary has a proven bound and is broadcast into
+the term join; without it every term counts and the join is by key. Term ids are unique
+numbers from a distributed rank, not positions in a sorted vocabulary.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions.text import word_ngrams, word_tokens
-from tessel.plans.rank import top_k
+from tessel.plans.rank import bucketed_rank, top_k
 from tessel.session import materialize
 
 
@@ -35,15 +36,13 @@ def fit_vocabulary(terms: DataFrame, n_docs, min_df: int = 5, max_features: int
     """``(term, df, ctf, idf, term_id)``; ``n_docs`` is a Column (e.g. a scalar subquery)."""
     stats = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
     eff_min = F.least(F.lit(int(min_df)), F.greatest(F.lit(1), n_docs))
-    # candidates are read several times by the cut (histogram, cut value,
-    # ties): write them once
+    # candidates are read several times by the cut (histogram, cut value, ties): write them once
     v = materialize(stats.where(F.col("df") >= eff_min))
-    # the cut only runs when there is something to cut (one count of a written table)
-    if max_features and v.count() > int(max_features):
+    if max_features:
         v = top_k(v, "ctf", "term", int(max_features))
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    # term ids by term order; the table is bounded by max_features
-    return v.withColumn("idf", idf).withColumn("term_id", F.row_number().over(Window.orderBy("term")).cast("int"))
+    v = v.withColumn("idf", idf).withColumn("__h", F.md5("term"))
+    return bucketed_rank(v, [], "__h", "term", rank_col="term_id", n_col=None).withColumn("term_id", F.col("term_id").cast("int")).drop("__h")
 
 
 def tfidf(terms: DataFrame, vocab: DataFrame, max_features: int | None = 50000) -> DataFrame:
