@@ -152,13 +152,16 @@ def source_majority_predictions(df: DataFrame, source_col: str = "source", split
 
 
 def quality_flags(summary: DataFrame, min_accuracy: float = 0.6, min_macro_f1: float = 0.5,
-                  family_col: str | None = None, families: Sequence[str] | None = None) -> DataFrame:
-    """Flag rows whose accuracy / macro-F1 fall under thresholds (for the given
-    families only when listed): ``flags`` is a ``;``-joined string."""
+                  family_col: str | None = None, families: Sequence[str] | None = None,
+                  status_col: str | None = None) -> DataFrame:
+    """``quality_ok`` and ``quality_flags`` (``low_accuracy,low_macro_f1``) of successful runs of the given
+    families; null for runs that are not judged. A missing metric counts as 0."""
     applies = F.lit(True)
     if family_col and families:
-        applies = F.col(family_col).isin(list(families))
-    flags = F.array(
-        F.when(applies & (F.col("accuracy") < float(min_accuracy)), F.lit(f"accuracy<{min_accuracy}")),
-        F.when(applies & (F.col("macro_f1") < float(min_macro_f1)), F.lit(f"macro_f1<{min_macro_f1}")))
-    return summary.withColumn("flags", F.array_join(F.filter(flags, lambda x: x.isNotNull()), ";"))
+        applies = applies & F.coalesce(F.col(family_col).isin(list(families)), F.lit(False))
+    if status_col:
+        applies = applies & F.coalesce(F.col(status_col) == "success", F.lit(False))
+    low = lambda c, least, name: F.when(F.coalesce(F.col(c), F.lit(0.0)) < float(least), F.lit(name))
+    flags = F.array_compact(F.array(low("accuracy", min_accuracy, "low_accuracy"), low("macro_f1", min_macro_f1, "low_macro_f1")))
+    return (summary.withColumn("quality_ok", F.when(applies, F.size(flags) == 0))
+            .withColumn("quality_flags", F.when(applies, F.array_join(flags, ","))))

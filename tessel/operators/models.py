@@ -3,19 +3,20 @@ evaluated on the job split with the shared confusion-based report.
 
 Features: lower-cased word tokens (>= 2 chars) + bigrams -> CountVectorizer
 (``minDF``, ``vocabSize``) -> IDF -> L2 Normalizer. Spark's IDF is
-``ln((n+1)/(df+1))`` without sklearn's ``+1`` (the relational TF-IDF in
-``features.py`` has the exact weights). Class weights (balanced) enter as
+``ln((n+1)/(df+1))``; the weights are ``tf * (idf + 1)``, as in the relational TF-IDF of
+``features.py``. Class weights (balanced) enter as
 ``weightCol``; labels are indexed alphabetically.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import (IDF, CountVectorizer, HashingTF, IndexToString, NGram, Normalizer,
+from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, HashingTF, IndexToString, NGram, Normalizer,
                                 RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler)
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,15 @@ def tfidf_stages(min_df: int = 5, vocab_size: int = 50000, bigrams: bool = True)
         stages += [NGram(n=2, inputCol="__tok", outputCol="__bi"),
                    SQLTransformer(statement="SELECT *, concat(__tok, __bi) AS __terms FROM __THIS__")]
         terms = "__terms"
-    stages += [CountVectorizer(inputCol=terms, outputCol="__tf", minDF=float(min_df), vocabSize=vocab_size),
-               IDF(inputCol="__tf", outputCol="__tfidf"),
-               Normalizer(inputCol="__tfidf", outputCol="features", p=2.0)]
-    return stages
+    return [*stages, CountVectorizer(inputCol=terms, outputCol="__tf", minDF=float(min_df), vocabSize=vocab_size)]
+
+
+def fit_tfidf(train: DataFrame, min_df: int = 5, vocab_size: int = 50000, bigrams: bool = True) -> PipelineModel:
+    """``features`` = L2-normalised ``tf * (idf + 1)``, fitted on ``train``."""
+    counts = Pipeline(stages=tfidf_stages(min_df, vocab_size, bigrams)).fit(train)
+    idf = IDF(inputCol="__tf", outputCol="__tfidf").fit(counts.transform(train))
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="__tf", outputCol="__tfidf")
+    return PipelineModel(stages=[*counts.stages, scale, Normalizer(inputCol="__tfidf", outputCol="features", p=2.0)])
 
 
 def estimator(kind: str, C: float = 1.0, n_train: int = 1000):
@@ -47,9 +53,9 @@ def estimator(kind: str, C: float = 1.0, n_train: int = 1000):
     if kind == "logreg":
         return LogisticRegression(labelCol="__y", weightCol="__w", regParam=0.0, maxIter=100)
     if kind == "dtree":
-        return DecisionTreeClassifier(labelCol="__y", weightCol="__w", maxDepth=30, minInstancesPerNode=2)
+        return DecisionTreeClassifier(labelCol="__y", weightCol="__w", maxDepth=30, minInstancesPerNode=4)
     if kind == "rforest":
-        return RandomForestClassifier(labelCol="__y", weightCol="__w", numTrees=50, maxDepth=10, seed=42)
+        return RandomForestClassifier(labelCol="__y", weightCol="__w", numTrees=200, maxDepth=25, minInstancesPerNode=3, seed=42)
     raise ValueError(f"unknown estimator {kind!r}")
 
 
@@ -72,14 +78,15 @@ def fit_predict(view: DataFrame, kind: str, min_df: int = 5, vocab_size: int = 5
     est = estimator(kind, C, n_train)
     if kind == "svm_linear" and len(labels) > 2:
         est = OneVsRest(classifier=est, labelCol="__y", weightCol="__w")
-    model = Pipeline(stages=[*tfidf_stages(min_df, vocab_size), est]).fit(train)
+    features = fit_tfidf(train, min_df, vocab_size)
+    model = est.fit(features.transform(train))
     back = IndexToString(inputCol="prediction", outputCol="y_pred", labels=labels)
-    pred = back.transform(model.transform(test))
+    pred = back.transform(model.transform(features.transform(test)))
     return pred.select("id", F.col("label").alias("y_true"), "y_pred")
 
 
-def bow_predict(view: DataFrame, label_col: str = "modality", num_features: int = 1 << 16) -> DataFrame:
-    """Bag-of-words multinomial classifier (unigrams, hashed, exclusive classes)."""
+def bow_predict(view: DataFrame, label_col: str = "label", num_features: int = 1 << 18) -> DataFrame:
+    """Bag-of-words multinomial classifier of the view's label (unigrams, hashed, exclusive classes)."""
     train = view.where(F.col("split") == "train")
     test = view.where(F.col("split") == "job")
     idx = StringIndexer(inputCol=label_col, outputCol="__y", stringOrderType="alphabetAsc").fit(train)
