@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["order_key", "hex_to_long", "MERSENNE31"]
+__all__ = ["order_key", "MERSENNE31"]
 
 MERSENNE31 = 2147483647  # 2^31 - 1, modulus of the MinHash family
 
@@ -21,7 +21,3 @@ def order_key(id_col, seed, *extra) -> Column:
     parts += [F.lit(str(e)) if not isinstance(e, Column) else e.cast("string") for e in extra]
     return F.md5(F.concat_ws(":", *parts))
 
-
-def hex_to_long(hex_col, nchars: int = 7) -> Column:
-    """First ``nchars`` hex digits of a digest as a non-negative bigint."""
-    return F.conv(F.substring(hex_col, 1, nchars), 16, 10).cast("bigint")

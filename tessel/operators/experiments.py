@@ -22,19 +22,6 @@ from tessel.plans.rank import bucketed_rank
 MODELS = ("majority", "source_majority")
 
 
-def run_grid(cells: Sequence[dict], models: Sequence[str] = MODELS, seed: int = 42,
-             seed_strategy: str = "fixed") -> list[dict]:
-    """Driver-side plan rows (one per cell x model), ordered ids ``000000...``;
-    ``per_run`` seeds are ``seed + index``."""
-    out = []
-    for c in cells:
-        for m in models:
-            i = len(out)
-            out.append({**c, "model": m, "run_id": f"{i:06d}",
-                        "seed": seed + i if seed_strategy == "per_run" else seed})
-    return out
-
-
 def sweep(docs: DataFrame, cells: Sequence[dict], seed: int = 42, label_col: str = "label",
           id_col: str = "id", source_col: str = "source", models: Sequence[str] = MODELS) -> DataFrame:
     """Baseline metrics per run: ``run_id, train_prop, balance, cap, model,
@@ -85,12 +72,11 @@ def learning_curves(results: DataFrame, x: str, y: str, keys: Sequence[str]) ->
         "p", lambda s: F.concat(F.format_number(s["x"], 3), F.lit(":"), F.format_number(s["y"], 6))), ";").alias("points"))
 
 
-def run_report(runs: DataFrame, status_col: str = "status", id_col: str = "run_id") -> DataFrame:
-    """Totals, successes, failures, and failed run ids sorted."""
+def run_report(runs: DataFrame, status_col: str = "status") -> DataFrame:
+    """Totals, successes, failures (per-run lines: ``sources.runs.report_lines``)."""
     return runs.agg(F.count(F.lit(1)).alias("n_runs"),
                     F.sum(F.when(F.col(status_col) == "success", 1).otherwise(0)).cast("bigint").alias("n_success"),
-                    F.sum(F.when(F.col(status_col) != "success", 1).otherwise(0)).cast("bigint").alias("n_failed"),
-                    F.array_join(F.array_sort(F.collect_list(F.when(F.col(status_col) != "success", F.col(id_col)))), ",").alias("failed_ids"))
+                    F.sum(F.when(F.col(status_col) != "success", 1).otherwise(0)).cast("bigint").alias("n_failed"))
 
 
 def merge_maps(*maps):

@@ -15,12 +15,14 @@ from tessel.plans import sql as Q
 from tessel.plans.prepare import PrepareParams, filtered_docs
 from tessel.plans.registry import query
 from tessel.session import materialize, scratch_path
+from tessel.sources import runs as RF
 from tessel.sources.tables import labelled_docs, read_table
 
 PREP = Q.prepared()
 H = Q.order_key("id")
 CELLS = [{"train_prop": p, "balance": b, "cap": cap} for p in (0.5, 0.7, 0.8)
          for b, cap in (("none", 0), ("cap_docs", 100))]
+CELLS.append({"train_prop": 0.0, "balance": "none", "cap": 0})  # nothing to train on: its runs fail
 MODELS = ("majority", "source_majority")
 CELLS_SQL = "cells(cell, p, balance, cap) AS (VALUES " + ", ".join(
     f"({i}, {c['train_prop']}, '{c['balance']}', {c['cap']})" for i, c in enumerate(CELLS)) + ")"
@@ -68,14 +70,16 @@ def q_curves(spark, sf):
     return X.learning_curves(_sweep(spark, sf), "train_prop", "macro_f1", ["balance", "model"])
 
 
-@query("quality_flags", f"""WITH {PREP}, {SWEEP}
-SELECT run_id, model, accuracy, macro_f1, array_to_string(list_filter([
-  CASE WHEN model IN ('majority', 'source_majority') AND accuracy < 0.6 THEN 'accuracy<0.6' END,
-  CASE WHEN model IN ('majority', 'source_majority') AND macro_f1 < 0.5 THEN 'macro_f1<0.5' END], lambda x: x IS NOT NULL), ';') AS flags
-FROM sweep""")
+@query("quality_flags", f"""WITH {PREP}, {SWEEP},
+fl AS (SELECT *, n_train IS NOT NULL AND model = 'majority' AS judged FROM sweep)
+SELECT run_id, model, accuracy, macro_f1, CASE WHEN n_train IS NULL THEN 'failed' ELSE 'success' END AS status,
+  CASE WHEN judged THEN coalesce(accuracy, 0) >= 0.86 AND coalesce(macro_f1, 0) >= 0.5 END AS quality_ok,
+  CASE WHEN judged THEN array_to_string(list_filter([CASE WHEN coalesce(accuracy, 0) < 0.86 THEN 'low_accuracy' END,
+    CASE WHEN coalesce(macro_f1, 0) < 0.5 THEN 'low_macro_f1' END], lambda x: x IS NOT NULL), ',') END AS quality_flags
+FROM fl""")
 def q_flags(spark, sf):
-    s = _sweep(spark, sf).select("run_id", "model", "accuracy", "macro_f1")
-    return quality_flags(s, 0.6, 0.5, "model", list(MODELS))
+    s = _sweep(spark, sf).withColumn("status", F.when(F.col("n_train").isNull(), "failed").otherwise("success"))
+    return quality_flags(s.select("run_id", "model", "accuracy", "macro_f1", "status"), 0.86, 0.5, "model", ["majority"], "status")
 
 
 GRID_MODELS = ("majority", "source_majority")
@@ -98,42 +102,63 @@ def q_grid(spark, sf):
                     F.to_json(F.struct("corpus", "train_prop", "model")).alias("axis_values_json"))
 
 
-RUN_MODELS = ("majority", "source_majority", "tfidf_svm")
-RUNS = f"""rmodels(mi, model) AS (VALUES {", ".join(f"({i}, '{m}')" for i, m in enumerate(RUN_MODELS))}),
-runs AS (SELECT lpad(CAST(c.cell * {len(RUN_MODELS)} + m.mi AS VARCHAR), 6, '0') AS run_id, m.model, c.balance,
-                CAST(json_object('train_prop', CAST(c.p AS DOUBLE), 'balance', c.balance, 'model', m.model) AS VARCHAR) AS axis_values_json,
-                CAST(c.p AS DOUBLE) AS train_prop FROM cells c, rmodels m),
-mg AS (SELECT runs.run_id, CASE WHEN s.macro_f1 IS NULL THEN 'failed' ELSE 'success' END AS status, runs.model, runs.balance,
-              runs.train_prop, json_extract_string(axis_values_json, '$.train_prop') AS axis_train_prop,
-              json_extract_string(axis_values_json, '$.balance') AS axis_balance,
-              json_extract_string(axis_values_json, '$.model') AS axis_model, s.accuracy, s.macro_f1
-       FROM runs LEFT JOIN sweep s ON s.train_prop = runs.train_prop AND s.balance = runs.balance AND s.model = runs.model)"""
-
-
-def _metrics_global(spark, sf):
-    sw = _sweep(spark, sf).select("train_prop", "balance", "model", "accuracy", "macro_f1")
-    rows = [(f"{i * len(RUN_MODELS) + j:06d}", m, c["balance"], float(c["train_prop"]))
-            for i, c in enumerate(CELLS) for j, m in enumerate(RUN_MODELS)]
-    runs = spark.createDataFrame(rows, "run_id string, model string, balance string, train_prop double")
-    runs = runs.withColumn("axis_values_json", F.to_json(F.struct("train_prop", "balance", "model")))
-    j = F.broadcast(runs).join(sw, ["train_prop", "balance", "model"], "left")  # runs: one row per plan entry
-    ax = lambda k: F.get_json_object("axis_values_json", f"$.{k}")
-    return j.select("run_id", F.when(F.col("macro_f1").isNull(), "failed").otherwise("success").alias("status"),
-                    "model", "balance", "train_prop", ax("train_prop").alias("axis_train_prop"),
-                    ax("balance").alias("axis_balance"), ax("model").alias("axis_model"), "accuracy", "macro_f1")
-
-
-@query("metrics_global", f"WITH {PREP}, {SWEEP}, {RUNS} SELECT * FROM mg")
+BROKEN = "000003"  # its metrics file is cut short, as after a crash
+RUNS = f"""run0 AS (SELECT *, CASE WHEN n_train IS NULL THEN 'failed' ELSE 'success' END AS status, 'p' || CAST(train_prop AS VARCHAR) || '_' || balance AS view FROM sweep),
+seen AS (SELECT run_id, CASE WHEN status = 'success' AND run_id <> '{BROKEN}' THEN 1 END AS ok FROM run0)"""
+
+
+def _run_files(spark, sf):
+    """Every run of the sweep leaves a metrics file (failed runs none) in the tree; returns the
+    root, the tree's path, and the runs table as it was written."""
+    root = scratch_path(spark, RF.fresh("exp"))
+    sw = _sweep(spark, sf)
+    d = sw.withColumn("status", F.when(F.col("n_train").isNull(), "failed").otherwise("success"))
+    d = d.withColumn("view", F.concat(F.lit("p"), F.col("train_prop").cast("string"), F.lit("_"), F.col("balance")))
+    here = F.concat_ws("/", F.lit(f"{root}/reports"), F.lit("docs"), "view", F.lit("baseline"), "model")
+    d = d.withColumn("dir", here)
+    metrics = F.to_json(F.struct("accuracy", "macro_f1", "precision_macro", "recall_macro", F.struct(F.lit(1).alias("support")).alias("report")), {"pretty": "true"})
+    meta = F.to_json(F.struct(F.lit("quick").alias("profile"), F.lit("label").alias("label_field"), F.lit("1").alias("pipeline_version"), F.col("n_eval").alias("n_eval_docs")), {"pretty": "true"})
+    # one row per run: a plan has as many runs as cells and models
+    for r in d.where("status = 'success'").select("run_id", "dir", metrics.alias("m"), meta.alias("e")).collect():
+        RF.write_text(spark, f"{r.dir}/metrics.json", r.m[:20] if r.run_id == BROKEN else r.m)
+        if r.run_id != "000000":
+            RF.write_text(spark, f"{r.dir}/meta_eval.json", r.e)
+    runs = d.select("run_id", F.lit("sweep").alias("exp_id"), F.lit("train").alias("stage"), "status", F.lit("baseline").alias("family"),
+                    F.col("model").alias("model_id"), F.lit("docs").alias("corpus_id"), "view",
+                    F.to_json(F.struct("train_prop", "balance", "model")).alias("axis_values_json"),
+                    F.to_json(F.struct(F.col("train_prop").cast("string").alias("TRAIN_PROP"))).alias("make_vars_json"),
+                    F.concat("dir", F.lit("/metrics.json")).alias("metrics_path"), F.concat(F.lit("logs/"), "run_id", F.lit(".log")).alias("log_path"))
+    RF.write_table(runs, f"{root}/runs", RF.RUN_COLUMNS)
+    return root, RF.read_table_tsv(spark, f"{root}/runs", RF.RUN_COLUMNS)
+
+
+_NUM = ("accuracy", "macro_f1", "precision_macro", "recall_macro")
+
+
+@query("metrics_global", f"""WITH {PREP}, {SWEEP}, {RUNS}
+SELECT run_id, status, 'baseline' AS family, model AS model_id, 'docs' AS corpus_id, view, '' AS dataset_id, CAST(train_prop AS VARCHAR) AS make_TRAIN_PROP,
+       CAST(train_prop AS VARCHAR) AS axis_train_prop, balance AS axis_balance, model AS axis_model, CASE WHEN ok = 1 THEN '{{"support":1}}' ELSE '' END AS report,
+       {", ".join(f"CASE WHEN ok = 1 THEN {c} END AS {c}" for c in _NUM)} FROM run0 JOIN seen USING (run_id)""")
 def q_metrics_global(spark, sf):
-    return _metrics_global(spark, sf)
+    root, runs = _run_files(spark, sf)
+    g = RF.metrics_global(runs, RF.json_files(spark, f"{root}/reports", "metrics.json"))
+    return g.select("run_id", "status", "family", "model_id", "corpus_id", "view", "dataset_id", "make_TRAIN_PROP", "axis_train_prop", "axis_balance",
+                    "axis_model", "report", *[F.col(c).try_cast("double").alias(c) for c in _NUM])
 
 
 @query("run_report", f"""WITH {PREP}, {SWEEP}, {RUNS}
 SELECT count(*) AS n_runs, CAST(sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) AS BIGINT) AS n_success,
-       CAST(sum(CASE WHEN status <> 'success' THEN 1 ELSE 0 END) AS BIGINT) AS n_failed,
-       coalesce(string_agg(CASE WHEN status <> 'success' THEN run_id END, ',' ORDER BY run_id), '') AS failed_ids FROM mg""")
+       CAST(sum(CASE WHEN status <> 'success' THEN 1 ELSE 0 END) AS BIGINT) AS n_failed FROM run0""")
 def q_run_report(spark, sf):
-    return X.run_report(_metrics_global(spark, sf))
+    return X.run_report(_run_files(spark, sf)[1])
+
+
+@query("run_report_lines", f"""WITH {PREP}, {SWEEP}, {RUNS}, c AS (SELECT count(*) AS n, sum((status = 'success')::INT) AS s FROM run0)
+SELECT unnest(['h00', 'h01', 'h02', 'h03', 'h04', 'h05', 'h06']) AS no, unnest(['# Experiment report: sweep', '', 'Total runs: ' || n,
+  'Successes: ' || s, 'Failures: ' || (n - s), '', '## Runs']) AS line FROM c
+UNION ALL SELECT 'r' || run_id, '- **' || run_id || '** — status: ' || status || ', log: logs/' || run_id || '.log' FROM run0""")
+def q_run_report_lines(spark, sf):
+    return RF.report_lines(_run_files(spark, sf)[1], "sweep")
 
 
 @query("typed_metrics", f"""WITH {PREP}, {SWEEP}
@@ -149,29 +174,15 @@ def q_typed_metrics(spark, sf):
     return raw.select(*[(F.col(c).try_cast("double") if flags[c] == 0 else F.col(c)).alias(c) for c in raw.columns])
 
 
-@query("metrics_tree", f"""WITH {PREP}, {SWEEP}
-SELECT balance, model, run_id, accuracy, macro_f1, n_eval, n_train FROM sweep""")
+@query("metrics_tree", f"""WITH {PREP}, {SWEEP}, {RUNS}
+SELECT 'docs' AS corpus_id, view, 'baseline' AS family, model AS model_id,
+       CASE WHEN run_id <> '000000' THEN 'quick' ELSE '' END AS profile, CASE WHEN run_id <> '000000' THEN 'label' ELSE '' END AS label_field,
+       CASE WHEN run_id <> '000000' THEN '1' ELSE '' END AS pipeline_version, CASE WHEN run_id <> '000000' THEN CAST(n_eval AS VARCHAR) ELSE '' END AS n_eval_docs,
+       {", ".join(f"CASE WHEN ok = 1 THEN {c} END AS {c}" for c in _NUM)} FROM run0 JOIN seen USING (run_id) WHERE status = 'success'""")
 def q_metrics_tree(spark, sf):
-    """Write one metrics file and one sibling eval-meta file per run directory
-    (``balance=<b>/model=<m>/run_id=<r>/``), scan the tree recursively, derive dimensions
-    from the path, and left-join metrics with their eval meta on the directory."""
-    root = scratch_path(spark, f"reports-{uuid.uuid4().hex[:12]}")
-    sw = _sweep(spark, sf)
-    sw.select("balance", "model", "run_id", "accuracy", "macro_f1") \
-        .write.mode("overwrite").partitionBy("balance", "model", "run_id").json(f"{root}/metrics")
-    sw.select("balance", "model", "run_id", "n_eval", "n_train") \
-        .write.mode("overwrite").partitionBy("balance", "model", "run_id").json(f"{root}/meta_eval")
-
-    def scan(kind, schema):
-        t = (spark.read.schema(schema).option("recursiveFileLookup", True).json(f"{root}/{kind}")
-             .select("*", F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1).alias("path")))
-        dim = lambda k: F.regexp_extract("path", f"/{k}=([^/]+)", 1)  # noqa: E731  (path -> dimensions)
-        return t.select(dim("balance").alias("balance"), dim("model").alias("model"), dim("run_id").alias("run_id"),
-                        *schema_cols(schema))
-    m = scan("metrics", "accuracy double, macro_f1 double")
-    meta = scan("meta_eval", "n_eval bigint, n_train bigint")
-    return m.join(meta, ["balance", "model", "run_id"], "left")
-
-
-def schema_cols(schema: str):
-    return [c.strip().split(" ")[0] for c in schema.split(",")]
+    """Scan the tree, join each metrics file with its sibling meta file, write the twelve-column
+    summary and read it back."""
+    root, _ = _run_files(spark, sf)
+    RF.write_table(RF.metrics_tree(spark, f"{root}/reports"), f"{root}/summary", RF.SUMMARY_COLUMNS, RF.DIMENSIONS)
+    s = RF.read_table_tsv(spark, f"{root}/summary", RF.SUMMARY_COLUMNS)
+    return s.select(*RF.SUMMARY_COLUMNS[:8], *[F.col(c).try_cast("double").alias(c) for c in _NUM])
