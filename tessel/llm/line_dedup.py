@@ -184,13 +184,15 @@ def deletions(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int =
            .join(one.select(F.col("key").alias("b"), F.col("hashes").alias("hb"), F.col("words").alias("wb")), "b"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for d, h, ha, hb, wb in zip(*(b.column(i).to_pylist() for i in range(5))):
-                counted = [w if w >= line_words else 0 for w in wb]
-                out += [(d, h, s, e) for s, e in blocks(ha, hb, counted, block_words)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["d", "h", "start", "end"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # few rows at a time as Python lists: they are several times larger
+                b = batch.slice(at, 64)
+                out: list[tuple] = []
+                for d, h, ha, hb, wb in zip(*(b.column(i).to_pylist() for i in range(5))):
+                    counted = [w if w >= line_words else 0 for w in wb]
+                    out += [(d, h, s, e) for s, e in blocks(ha, hb, counted, block_words)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["d", "h", "start", "end"])
 
     cut = met.select("b.d", "b.h", "ha", "hb", "wb").mapInArrow(align, "d long, h long, start long, end long")
     return stored(cut.groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("cut")), "cuts")

@@ -37,7 +37,7 @@ SEQ_LEN = 2048
 END_ID = 1
 SHARD_PIECES = 8192
 #: Words kept in a worker's memory; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 
 def _byte_letters() -> dict[int, str]:
