@@ -6,11 +6,10 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.plans import sql as Q
-from tessel.plans.prepare import prepare
+from tessel.plans.prepare import PrepareParams, prepare, prepare_frame
 from tessel.plans.registry import query
 from tessel.session import scratch_path
 from tessel.sources import tei as TEI
@@ -24,19 +23,17 @@ def _scratch(spark, name):
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def _doc_corpus(spark, sf, keep: DataFrame | None = None) -> str:
+def _doc_corpus(spark, sf) -> str:
     """Write the documents table as a TEI corpus (English documents carry a
     modality term) and return its path."""
     d = read_table(spark, sf, "documents")
-    if keep is not None:
-        d = d.join(keep, "doc_id", "left_semi")
     d = d.withColumn("modality_term", F.when(F.col("lang") == "en", F.lit("web")))
     rec = TEI.tei_records(d, "doc_id", "text", "lang", "source", "modality_term", "n_chars")
     return TEI.write_tei(rec, _scratch(spark, "tei-documents"))
 
 
-def _scan_docs(spark, sf, default=None, keep=None):
-    return TEI.scan_tei(spark, _doc_corpus(spark, sf, keep), "documents", default)
+def _scan_docs(spark, sf, default=None):
+    return TEI.scan_tei(spark, _doc_corpus(spark, sf), "documents", default)
 
 
 @query("tei_scan", f"""SELECT 'd' || doc_id AS id, CASE WHEN lang = 'en' THEN 'web' ELSE 'unknown' END AS modality,
@@ -82,10 +79,22 @@ def q_multi_corpus_union(spark, sf):
     return u.select("corpus_id", "id", "modality", F.length("text").cast("bigint").alias("text_len"))
 
 
-@query("tei_roundtrip", "SELECT 'd' || doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+@query("tei_roundtrip", f"SELECT 'd' || doc_id AS id, md5({BODY}) AS text_md5 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def q_tei_roundtrip(spark, sf):
-    keep = read_table(spark, sf, "labels").select("doc_id")
-    return _scan_docs(spark, sf, keep=keep).select("id")
+    """Filter a scanned corpus by an id list, write the kept records, and scan them back."""
+    keep = read_table(spark, sf, "labels").select(F.concat(F.lit("d"), "doc_id"))
+    out = TEI.export_kept(spark, _doc_corpus(spark, sf), keep, _scratch(spark, "tei-kept"))
+    return TEI.scan_tei(spark, out).select("id", F.md5("text").alias("text_md5"))
+
+
+@query("tei_prepare", f"""WITH d AS (SELECT 'd' || doc_id AS id, lang AS label, {BODY} AS text FROM documents)
+SELECT label, count(*) AS n_docs, CAST(round_even(0.8::DOUBLE * count(*), 0) AS BIGINT) AS n_train FROM (
+  SELECT * FROM d WHERE length(text) >= 200 QUALIFY row_number() OVER (PARTITION BY {Q.dedup_key()} ORDER BY id) = 1) GROUP BY label""")
+def q_tei_prepare(spark, sf):
+    """A scanned TEI corpus through the prepare stage."""
+    s = _scan_docs(spark, sf).select("id", "text", "modality", F.get("langs", F.lit(0)).alias("label"), F.lit("documents").alias("source"))
+    v = prepare_frame(s, PrepareParams(), with_text=False)
+    return v.groupBy("label").agg(F.count(F.lit(1)).alias("n_docs"), F.count(F.when(F.col("split") == "train", 1)).alias("n_train"))
 
 
 @query("write_view", f"WITH {Q.prepared()} SELECT split, label, count(*) AS n_docs FROM v GROUP BY split, label")

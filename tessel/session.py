@@ -77,15 +77,13 @@ def materialize(df):
 
 
 def spread(df, key: str):
-    """Give CPU-heavy per-row work (tokenising, shingling, parsing) at least
-    ``defaultParallelism`` tasks. A scan already split that finely (any large
-    input) is returned unchanged; a small input that arrives as one split
-    (one parquet row group) is hash-repartitioned by ``key`` — deterministic,
-    so a recomputed partition after an executor loss holds the same rows."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    """On a local master, deal a table of fewer files than threads over all threads by
+    ``key`` (a file of one row group is one split). On a cluster the scan is left as it
+    is, whatever its size: texts are not shuffled to gain parallelism."""
+    sc = df.sparkSession.sparkContext
+    if not sc.master.startswith("local[") or len(df.inputFiles()) >= sc.defaultParallelism:
         return df
-    return df.repartition(target, key)
+    return df.repartition(sc.defaultParallelism, key)
 
 
 _SHIPPED: set = set()

@@ -1,9 +1,9 @@
 """TEI XML corpora: scan (one record per ``<TEI>``), parse, and export.
 
-Scan: ``spark.read.text(path, lineSep="</TEI>")`` splits files into one record
-per document on any split boundary, so a multi-GB corpus file is read by many
-tasks in parallel; the prolog / corpus wrapper before the first ``<TEI`` of a
-record is cut off. Parse: one Arrow-batched pandas UDF parses each record
+Scan: ``spark.read.text(path, lineSep="</TEI>")`` (or ``</prefix:TEI>``: the first
+document tag tells) splits files into one record per document on any split boundary, so a
+multi-GB corpus file is read by many tasks in parallel; the prolog / corpus wrapper before
+the first ``<TEI`` of a record is cut off, and prefixes that the wrapper declared are declared again. Parse: one Arrow-batched pandas UDF parses each record
 once with the standard-library XML parser (namespace-agnostic) into a struct;
 a malformed document sets ``_corrupt`` instead of failing the job.
 Spark's own ``xml`` source infers a schema and loses mixed-content order,
@@ -12,11 +12,11 @@ and ``xpath`` re-parses per call and throws on malformed input, hence the UDF.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, MapType, StringType,
@@ -32,6 +32,7 @@ PARSED = StructType([
 _MD5_RE = re.compile(r"md5_text=([0-9a-fA-F]{32})")
 _CHARS_RE = re.compile(r"chars=(\d+)")
 _START_RE = re.compile(r"<(?:[A-Za-z_][\w.-]*:)?TEI[\s>]")
+_PREFIX_RE = re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]")
 
 
 def _local(tag) -> str:
@@ -46,14 +47,15 @@ def _parse_one(rec: str | None):
         return None  # trailing wrapper or empty split: no document here
     body = rec[m.start():]
     close = "</" + body[1:body.index("TEI") + 3] + ">"
+    # prefixes declared outside the record: their names do not matter, only local names are read
+    free = sorted({p for p in _PREFIX_RE.findall(body) if p not in ("xml", "xmlns") and f"xmlns:{p}=" not in body})
+    declared = "".join(f' xmlns:{p}="urn:prefix:{p}"' for p in free)
     try:
-        root = ET.fromstring(body + close)
+        root = ET.fromstring(f"<w{declared}>{body}{close}</w>")[0]
     except ET.ParseError:
         return {"id": None, "terms": None, "text": None, "url": None, "md5_text": None,
                 "chars": None, "langs": None, "head_p_len": None, "_corrupt": True}
     doc_id = (root.get(XML_ID) or "").strip() or (root.get("n") or "").strip() or None
-    if doc_id is None:
-        doc_id = "doc_" + hashlib.md5(body.encode("utf-8", "ignore")).hexdigest()[:16]
     terms: dict[str, list[str]] = {}
     url = None
     langs = []
@@ -104,20 +106,38 @@ def parse_tei(records: pd.Series) -> pd.DataFrame:
 parse_tei = parse_tei.asNondeterministic()
 
 
+def close_tag(spark: SparkSession, path: str) -> str:
+    """The documents' end tag, from the first document tag found (one prefix per corpus)."""
+    tags = spark.read.text(path, lineSep=">").where(F.col("value").rlike(r"<([A-Za-z_][\w.-]*:)?TEI(\s|$)"))
+    first = tags.select(F.regexp_extract("value", r"<([A-Za-z_][\w.-]*:)?TEI(\s|$)", 1).alias("p")).first()
+    return f"</{first['p'] if first else ''}TEI>"
+
+
 def scan_tei(spark: SparkSession, path: str, corpus_id: str | None = None,
-             default_modality: str | None = None) -> DataFrame:
+             default_modality: str | None = None, with_record: bool = False) -> DataFrame:
     """One row per ``<TEI>`` document: ``id, text, modality, url, md5_text,
-    chars, langs, terms, corpus_id, _corrupt``. Modality = ``modality`` term,
-    else the corpus default, else ``unknown``."""
-    raw = spark.read.text(path, lineSep="</TEI>")
+    chars, langs, terms, corpus_id, _corrupt`` (and the document's own XML as ``record``).
+    Modality = ``modality`` term, else the corpus default, else ``unknown``. A document without an id
+    is named by its file and place in the scan, so equal ones stay apart."""
+    end = close_tag(spark, path)
+    raw = spark.read.text(path, lineSep=end).select(
+        "value", F.concat(F.lit("doc_"), F.substring(F.md5("_metadata.file_path"), 1, 8), F.lit("_"), F.monotonically_increasing_id().cast("string")).alias("place"))
     # records without a <TEI> start (wrapper tail) parse to an all-null struct
-    p = raw.select(parse_tei("value").alias("d")).where(F.col("d._corrupt").isNotNull()).select("d.*")
+    p = raw.select("value", "place", parse_tei("value").alias("d")).where(F.col("d._corrupt").isNotNull()).select("value", "place", "d.*")
     first_term = lambda t: F.element_at(F.filter(F.col("terms")[t], lambda x: x != ""), 1)
+    record = F.concat(F.regexp_extract("value", r"(?s)(<(?:[A-Za-z_][\w.-]*:)?TEI[\s>].*)", 1), F.lit(end))
     return p.select(
-        "id", "text",
+        F.when(~F.col("_corrupt"), F.coalesce("id", "place")).alias("id"), "text",
         F.coalesce(first_term("modality"), F.lit(default_modality).cast("string"), F.lit("unknown")).alias("modality"),
         "url", "md5_text", "chars", "langs", "terms", "head_p_len",
-        F.lit(corpus_id).cast("string").alias("corpus_id"), "_corrupt")
+        F.lit(corpus_id).cast("string").alias("corpus_id"), "_corrupt", *([record.alias("record")] if with_record else []))
+
+
+def export_kept(spark: SparkSession, path: str, keep_ids: DataFrame, out: str) -> str:
+    """Copy the documents of a corpus whose id is in ``keep_ids`` (one column), byte for byte."""
+    ids = keep_ids.select(F.col(keep_ids.columns[0]).cast("string").alias("id")).distinct()
+    kept = scan_tei(spark, path, with_record=True).join(ids, "id", "left_semi")
+    return write_tei(kept.select(F.col("record").alias("value")), out)
 
 
 def term(col_terms: str, term_type: str):
@@ -152,7 +172,12 @@ def tei_records(df: DataFrame, id_col: str, text_col: str, lang_col: str, source
 
 
 def write_tei(records: DataFrame, path: str) -> str:
-    """Write TEI element strings as corpus files (one ``<teiCorpus>`` wrapper line
-    per file is not needed by the scanner; records are newline-separated)."""
-    records.write.mode("overwrite").text(path)
+    """Write TEI element strings as corpus files, each one a ``teiCorpus`` of its own."""
+    def wrap(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(["<?xml version='1.0' encoding='utf-8'?>", '<teiCorpus xmlns="http://www.tei-c.org/ns/1.0">'])], names=["value"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["</teiCorpus>"])], names=["value"])
+
+    records.select("value").mapInArrow(wrap, "value string").write.mode("overwrite").text(path)
     return path

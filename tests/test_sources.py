@@ -45,6 +45,38 @@ def test_tei_scan_fixture(spark):
     assert corrupt == 1
 
 
+PREFIXED = """<?xml version="1.0"?>
+<tei:teiCorpus xmlns:tei="http://www.tei-c.org/ns/1.0" xmlns:x="urn:x">
+<tei:TEI xml:id="p1"><tei:text><tei:body><tei:p x:k="1">one</tei:p></tei:body></tei:text></tei:TEI>
+<tei:TEI><tei:text><tei:body><tei:p>same</tei:p></tei:body></tei:text></tei:TEI>
+<tei:TEI><tei:text><tei:body><tei:p>same</tei:p></tei:body></tei:text></tei:TEI>
+</tei:teiCorpus>
+"""
+
+
+def test_prefixed_corpus_and_documents_without_ids(spark):
+    from tessel.sources.tei import export_kept
+    d = tempfile.mkdtemp(prefix="tessel-tei-", dir="/tmp")
+    with open(f"{d}/corpus.xml", "w", encoding="utf-8") as f:
+        f.write(PREFIXED)
+    rows = scan_tei(spark, d, with_record=True).collect()
+    assert sorted(r["text"] for r in rows) == ["one", "same", "same"] and not any(r["_corrupt"] for r in rows)
+    assert len({r["id"] for r in rows}) == 3
+    assert all(r["record"].startswith("<tei:TEI") and r["record"].endswith("</tei:TEI>") for r in rows)
+    with open(f"{d}/corpus.xml", "w", encoding="utf-8") as f:
+        f.write(TEI_FIXTURE)
+    out = export_kept(spark, d, spark.createDataFrame([("7",), ("x",)], "id string"), d + "-kept")
+    assert [(r["id"], r["text"]) for r in scan_tei(spark, out).collect()] == [("7", "no text element")]
+
+
+def test_white_space_is_stripped_as_python_does(spark):
+    from tessel.functions import text as T
+    from tessel.operators.labels import label_fallback
+    df = spark.createDataFrame([("\u00a0\tx\u00a0", "a\u00a0b"), ("\u00a0", "c")], "l string, t string")
+    assert [r[0] for r in label_fallback(df, ["l", "t"]).select("label_raw").collect()] == ["x", "c"]
+    assert df.select(T.token_count("t", "regex")).first()[0] == 2
+
+
 def test_cleaning_report_reasons(spark):
     rows = [(1, "a.fr", "Title", 500, 10, 1), (2, "a.fr", " title ", 600, 10, 2), (3, "a.fr", "", 700, 10, 3),
             (4, "a.fr", "", 800, 10, 4), (5, "b.fr", "Title", 100, 10, 5), (6, "a.fr", "T2", 450, 9, 6),
