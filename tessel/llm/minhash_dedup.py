@@ -306,10 +306,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **how) -> Da
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, **how) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest doc_id, then text hash. Documents
+    """``docs`` with one row of each group: that of the smallest doc_id (null last), then text hash. Documents
     with an empty set all stay. Texts move once, to meet the narrow table of winners."""
     found = stored(near_groups(docs, k, percent, **how), "near")
-    key = F.struct(long_key(F.col("doc_id")).alias("doc"), F.col("h"))
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), long_key(F.col("doc_id")).alias("doc"), F.col("h"))
     best = found.where("group IS NOT NULL").groupBy("group").agg(F.min(key).alias("w")).select("w.doc", "w.h", F.lit(False).alias("all"))
     empty = found.where("group IS NULL").select(long_key(F.col("doc_id")).alias("doc"), "h", F.lit(True).alias("all")).distinct()
     keep = best.unionByName(empty).withColumnsRenamed({"doc": "__doc", "h": "__h", "all": "__all"})
