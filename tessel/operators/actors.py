@@ -9,7 +9,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessel.functions.text import norm_key, norm_key_ws, norm_label
+from tessel.functions.text import norm_key, norm_key_ws, norm_label, py_strip
 
 # Raw label spellings per ideology class (after key normalisation).
 LEFT_RAW = ["gauche", "gauche_moderee", "gauche_moderée", "left", "centre_gauche", "centre-left"]
@@ -44,20 +44,20 @@ def classify_raw_label(raw) -> Column:
 
 
 def actor_inventory(docs: DataFrame, domain_col: str = "domain", crawl_col: str = "crawl",
-                    id_col: str = "id", top_variants: int = 5) -> DataFrame:
-    """Per actor key (``norm_key`` of domain, else crawl, else id): document
+                    id_col: str = "id", top_variants: int = 5, fallbacks: Sequence[str] = ("folder", "folder_path")) -> DataFrame:
+    """Per actor key (``norm_key`` of domain, else crawl, else folder, else folder path, else id): document
     count, sorted ``;``-joined crawl and domain keys, and the top raw variants
-    as ``raw×count`` (count desc, raw asc). Rows are first reduced to
-    ``(key, raw, crawl, domain)`` counts; sets and the top-k run on that table.
+    as ``raw×count`` (count desc, raw asc). Rows are first counted per raw strings; keys are
+    normalised, sets and the top-k taken on that table.
     """
-    raw = F.coalesce(F.when(F.trim(F.col(domain_col)) != "", F.trim(F.col(domain_col))),
-                     F.when(F.trim(F.col(crawl_col)) != "", F.trim(F.col(crawl_col))),
-                     F.col(id_col).cast("string"))
-    d = docs.select(raw.alias("raw"),
-                    F.when(F.trim(F.col(domain_col)) != "", norm_key(F.col(domain_col))).alias("dk"),
-                    F.when(F.trim(F.col(crawl_col)) != "", norm_key(F.col(crawl_col))).alias("ck"))
-    d = d.withColumn("key", norm_key("raw")).where(F.col("key") != "")
-    per = d.groupBy("key", "raw", "dk", "ck").agg(F.count(F.lit(1)).alias("c"))
+    given = lambda c: F.when(py_strip(F.col(c)) != "", py_strip(F.col(c)))
+    chain = [domain_col, crawl_col, *[c for c in fallbacks if c in docs.columns]]
+    raw = F.coalesce(*[given(c) for c in chain], F.col(id_col).cast("string"))
+    d = docs.select(raw.alias("raw"), given(domain_col).alias("d"), given(crawl_col).alias("c0"))
+    d = d.groupBy("raw", "d", "c0").agg(F.count(F.lit(1)).alias("c"))
+    d = d.select("raw", F.when(F.col("d").isNotNull(), norm_key("d")).alias("dk"), F.when(F.col("c0").isNotNull(), norm_key("c0")).alias("ck"),
+                 norm_key("raw").alias("key"), "c").where(F.col("key") != "")
+    per = d.groupBy("key", "raw", "dk", "ck").agg(F.sum("c").alias("c"))
     var = per.groupBy("key", "raw").agg(F.sum("c").alias("c"))
     w = Window.partitionBy("key").orderBy(F.desc("c"), F.asc("raw"))
     top = (var.withColumn("r", F.row_number().over(w)).where(F.col("r") <= int(top_variants))
@@ -143,13 +143,13 @@ VIEWS = ("binary", "five_way", "left_intra", "right_intra")
 
 def resolve_actors(docs: DataFrame, actors: DataFrame, view: str = "binary",
                    unknown_policy: str = "drop", unknown_label: str = "unknown_actor",
-                   domain_col: str = "domain", crawl_col: str = "crawl", small: bool = True) -> DataFrame:
+                   domain_col: str = "domain", crawl_col: str = "crawl", small: bool = False) -> DataFrame:
     """Resolve each row's actor (domain key first, then crawl key; later actors
     win duplicate keys) and its label for ``view``; adds ``actor``, ``label``
     and ``reason`` (``ok`` / ``unknown_actor_kept`` / ``unknown_actor_dropped`` /
     ``actor_not_left`` / ``actor_not_right`` / ``label_missing_for_view`` /
-    ``unknown_view_<v>``). The key maps are dimension tables, broadcast when
-    built on the driver (``small``)."""
+    ``unknown_view_<v>``). The key maps are dimension tables: Spark broadcasts them when their
+    size allows; ``small`` forces it for tables whose bound the caller knows."""
     def keymap(col, alias):
         m = (actors.select("pos", "actor_id", F.explode(col).alias("k"))
              .select("pos", "actor_id", norm_label("k").alias("k")).where(F.col("k") != "")

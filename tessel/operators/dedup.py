@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.text import collapse_ws, dedup_text_key, norm_title, py_strip
+from tessel.session import materialize
 
 DEDUP_MODES = ("none", "id", "text", "id_and_text")
 
@@ -85,7 +86,7 @@ def cleaning_report(df: DataFrame, min_len: int = 400, id_col: str = "doc_id",
 
     Steps run in order on the rows still kept: ``short`` (text shorter than
     ``min_len``), ``dup_title_domain`` (not the survivor of its
-    domain+title group), then optionally ``near_dup`` (ids in
+    domain+title group), then optionally ``lsh_dup`` (ids in
     ``near_dup_losers``). Reasons accumulate joined by ``+`` without repeats.
     """
     short = F.col(text_len_col) < int(min_len)
@@ -103,12 +104,38 @@ def cleaning_report(df: DataFrame, min_len: int = 400, id_col: str = "doc_id",
         nd = near_dup_losers.select(F.col(near_dup_losers.columns[0]).alias("__nd"))
         out = out.join(nd, out[id_col] == nd["__nd"], "left")
         reasons.append(F.when(F.col("__nd").isNotNull() & ~F.col("__short") & F.col("__dup").isNull(),
-                              F.lit("near_dup")))
+                              F.lit("lsh_dup")))
     reason = F.array_join(F.array_distinct(F.filter(F.array(*reasons), lambda x: x.isNotNull())), "+")
     out = out.withColumn("drop_reason", reason).withColumn("kept", F.col("drop_reason") == "")
     return out.drop("__short", "__dup", "__nd")
 
 
+def near_dup_losers(live: DataFrame, min_docs: int = 5, threshold: float = 0.9, bands: int = 16, rows: int = 4,
+                    id_col: str = "doc_id", domain_col: str = "domain", text_col: str = "text_norm") -> DataFrame:
+    """Ids of near-duplicates to drop within each domain of at least ``min_docs`` documents: all of a
+    cluster but the longest text (then most chars, then first position)."""
+    from tessel.operators import minhash as MH
+    big = live.where(F.col(domain_col) != "").groupBy(domain_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= int(min_docs)).select(domain_col)
+    d = live.join(big, domain_col, "left_semi")
+    sigs = materialize(MH.signatures(d, id_col, text_col, domain_col))
+    edges = MH.lsh_pairs(sigs, bands, rows, threshold).select("id_a", "id_b").unionByName(MH.copy_edges(sigs))
+    comp = MH.connected_components(sigs.select("id"), edges)
+    r = comp.join(d.select(F.col(id_col).alias("id"), "text_len", "chars", "pos"), "id")
+    order = F.struct((-F.col("text_len")).alias("l"), (-F.col("chars")).alias("c"), "pos", "id")
+    best = r.groupBy("comp").agg(F.min(order).alias("w")).select(F.col("w.id").alias("id"))
+    return r.join(best, "id", "left_anti").select("id")
+
+
+def write_id_lists(report: DataFrame, path: str, id_col: str = "doc_id") -> tuple[str, str]:
+    """Sorted keep and drop lists, one id per line, in ``<path>/keep`` and ``<path>/drop``."""
+    out = []
+    for name, cond in (("keep", F.col("kept")), ("drop", ~F.col("kept"))):
+        (report.where(cond).select(F.col(id_col).cast("string").alias("value")).orderBy("value")
+         .write.mode("overwrite").text(f"{path}/{name}"))
+        out.append(f"{path}/{name}")
+    return out[0], out[1]
+
+
 def multiplicity(df: DataFrame, key_col: str) -> DataFrame:
     """Key multiplicity summary: distinct keys, keys with >= 2 rows, excess rows Σ(c-1)."""
     per = df.where(F.col(key_col).isNotNull()).groupBy(key_col).agg(F.count(F.lit(1)).alias("c"))

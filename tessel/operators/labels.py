@@ -29,14 +29,13 @@ def label_map_frame(spark: SparkSession, mapping: Mapping[str, str] | Sequence[t
 
 def apply_label_map(df: DataFrame, label_map: DataFrame, policy: str = "drop",
                     other_label: str = "other", raw_col: str = "label_raw",
-                    out_col: str = "label", small_map: bool = True) -> DataFrame:
+                    out_col: str = "label", small_map: bool = False) -> DataFrame:
     """Map ``raw_col`` through ``label_map`` (``key, label``).
 
     Unmapped (or empty-mapped) values follow ``policy``: ``drop`` -> null,
     ``keep`` -> the normalised raw value, ``other`` -> ``other_label``.
-    ``small_map=True`` declares the map a driver-built dimension of known,
-    small size and broadcasts it; a map read from storage is left to AQE,
-    which broadcasts only after measuring it.
+    Spark broadcasts the map when its size allows; ``small_map`` forces it for a map
+    whose bound the caller knows.
     """
     policy = (policy or "drop").strip().lower()
     if policy not in POLICIES:
