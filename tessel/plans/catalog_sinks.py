@@ -39,6 +39,12 @@ def q_shard_export(spark, sf):
     return back.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("shard_totals", f"WITH {PREP} SELECT count(*) AS n_rows, true AS within_size FROM v WHERE split = 'train'")
+def q_shard_totals(spark, sf):
+    """What holds however the rows are dealt: all rows, none of the shards above the size."""
+    return q_shard_export(spark, sf).agg(F.sum("n_rows").alias("n_rows"), (F.max("n_rows") <= 50).alias("within_size"))
+
+
 @query("tei_text_len_filter", f"""SELECT 'd' || doc_id AS id, CAST(length(replace({_CLEAN}, chr(10), '')) AS BIGINT) AS head_p_len
 FROM documents WHERE length(replace({_CLEAN}, chr(10), '')) >= 300""")
 def q_tei_len_filter(spark, sf):
