@@ -49,6 +49,7 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], text_col: str = "text",
             take = max(1, int(np.searchsorted(cum, max_bytes, side="right")))
             yield batch.slice(at, min(take, n - at))
             at += take
+    pa.default_memory_pool().release_unused()  # a worker process lives on after its task
 
 
 def byte_texts(col: pa.Array) -> list[bytes]:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,8 +37,8 @@ from tessel.llm.common import arrow_slices, byte_texts, count_rows, stored
 SEQ_LEN = 2048
 END_ID = 1
 SHARD_PIECES = 8192
-#: Words kept in a worker's memory; beyond it the cache starts anew.
-CACHE_WORDS = 500_000
+#: Words in the younger of a worker's two cache generations.
+CACHE_WORDS = 250_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -69,13 +70,15 @@ class WordEncoder:
         self.bytes_as = _byte_letters()
         self.cache_words = cache_words
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the generation before: what is used again moves up, the rest goes
         probe = ["Hello", "na\u00efve", "\u00c9T\u00c9", "stra\u00dfe", "x", "thingtionre"]
         self.direct = all(self._word(w) == self._whole([w])[0] for w in probe) and all(
             self._whole([w + m])[0] == self._word(w) + self._whole([m])[0] for w in probe for m in ".,")
 
     def _word(self, word: str) -> bytes:
         spelt = word.lower().encode().decode("latin-1").translate(self.bytes_as)
-        return np.array([t.id for t in self.model.tokenize(spelt)], dtype="<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
@@ -102,10 +105,13 @@ class WordEncoder:
         """Per text its ids as little-endian uint32 bytes."""
         split = [t.split() for t in texts]
         words = set().union(*split) if split else set()
+        if len(self.cache) > self.cache_words:
+            self.older, self.cache = self.cache, {}
         new = words.difference(self.cache)
-        if new and len(self.cache) + len(new) > self.cache_words:
-            self.cache.clear()
-            new = words
+        if self.older:
+            again = new.intersection(self.older)
+            self.cache.update((w, self.older[w]) for w in again)
+            new -= again
         if new:
             self._learn(new)
         get = self.cache.__getitem__
