@@ -57,13 +57,13 @@ def spanning(edges: DataFrame, hold: int = 200_000) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` (smallest id reachable) of every node of ``edges`` (a, b: long).
 
-    Each round maps every node to the smallest of itself and its neighbours and
-    rewrites the edges by that map; equal ends vanish. An edge between a node and
-    the node it maps to turns into an edge between their images, so nothing gets
-    disconnected, and the smallest node always maps to itself. Rounds end when
-    no edge is left. The maps, written to the shared folder, are then composed.
-    The aggregation combines before its shuffle; joins on a hub's id are
-    plain equi-joins that adaptive execution may split.
+    Each round maps every node to the smallest of itself and its neighbours, follows that map
+    to its end (by doubling, so a chain of n nodes takes log n joins), and rewrites the edges by
+    it; equal ends vanish. An edge between a node and what it maps to turns into an edge between
+    equal images, so nothing gets disconnected, the smallest node maps to itself, and at least
+    half of the nodes are gone after a round. Rounds end when no edge is left. The maps, written
+    to the shared folder, are then composed. The aggregation combines before its shuffle;
+    joins on a hub's id are plain equi-joins that adaptive execution may split.
     """
     live = stored(spanning(edges.where(F.col("a") != F.col("b"))), "edges")
     maps: list[DataFrame] = []
@@ -71,11 +71,16 @@ def components(edges: DataFrame) -> DataFrame:
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to"))
                       .select("id", F.least("id", "to").alias("to")), "steps")
+        while True:
+            on = step.select(F.col("id").alias("to"), F.col("to").alias("end"))
+            moved = stored(step.join(on, "to").select("id", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")), "steps")
+            step = moved.select("id", "to")
+            if not count_rows(moved.where("moved")):
+                break
         maps.append(step)
         left = step.select(F.col("id").alias("a"), F.col("to").alias("na"))
         right = step.select(F.col("id").alias("b"), F.col("to").alias("nb"))
-        moved = live.join(left, "a").join(right, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).where("a != b")
-        live = stored(spanning(moved), "edges")
+        live = stored(spanning(live.join(left, "a").join(right, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).where("a != b")), "edges")
     if not maps:
         return live.select(F.col("a").alias("id"), F.col("b").alias("component"))
     comp = maps[-1].select("id", F.col("to").alias("component"))
