@@ -24,6 +24,8 @@ __all__ = [
     "py_strip", "norm_title", "dup_suffix", "url_domain", "ws_tokens", "shingles_of_tokens",
 ]
 
+# The patterns below (white space, label, key and text normalisers, tokenizers) are
+# the specification of the normalised forms.
 WS = r"(?U)\s+"
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 MISSING = "__missing__"
 NO_PRED = "__NO_PRED__"
-NO_LABEL = "__NO_LABEL__"
 
 
 def confusion(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",

@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The interchange file's format and column order.
+TSV_COLUMNS = ("id", "label", "label_raw", "modality")
 TSV_OPTIONS = {"sep": "\t", "header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 
 
 def write_view_tsv(df: DataFrame, path: str, source_field: str = "source") -> str:
-    cols = ["id", "label", "label_raw", "modality", source_field, "text"]
+    cols = [*TSV_COLUMNS, source_field, "text"]
     (df.select(*[F.col(c).cast("string") for c in cols]).write.mode("overwrite")
      .options(**{k: v for k, v in TSV_OPTIONS.items() if k != "multiLine"}).csv(path))
     return path
