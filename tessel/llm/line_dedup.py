@@ -3,11 +3,11 @@
 1. One pass over whole texts writes, per document, the hash and the number of words of
    every line (white space at the ends and repeated inside does not count; blank lines are
    aligned with nothing).
-2. Overlapping documents are found through shared rare lines: a line of at least
-   ``line_words`` words (shorter ones are aligned but count no words). For each such line its earliest holder meets every later
-   holder, and each holder meets the next one, so a line that n documents hold gives less than
-   2n pairs whatever n is. A later document whose lines with earlier holders have fewer
-   than ``block_words`` words together cannot lose a block and is left out.
+2. Overlapping documents are found through shared runs: from each line and to each line the
+   shortest run of consecutive lines that reaches ``block_words`` words (a line of fewer than ``line_words``
+   words is part of a run but counts no words). The earliest holder of each run meets every later
+   holder, so a run that n documents hold gives n - 1 pairs. Any block that could go contains
+   such runs, and every line of it lies in one.
 3. A pair is aligned by patience diff: lines that occur once in both and keep
    their order (longest increasing run) are anchors, the gaps between anchors
    are aligned in the same way, and equal lines next to an anchor join it. Maximal runs of aligned lines
@@ -31,12 +31,13 @@ empty. Extra columns pass through.
 from __future__ import annotations
 
 import bisect
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import arrow_slices, byte_texts, stored
@@ -128,37 +129,45 @@ def blocks(a: list[int], b: list[int], words_b: list[int], block_words: int) ->
     return out
 
 
-def overlaps(lines: DataFrame, line_words: int, block_words: int) -> DataFrame:
-    """Pairs of keys (a earlier, b later) that share a line of ``line_words`` words or more, for every b
-    that shares ``block_words`` words with earlier documents at all."""
-    one = (lines.select("key", F.explode(F.arrays_zip("hashes", "words")).alias("l"))
-           .where(F.col("l.words") >= line_words).groupBy("key", F.col("l.hashes").alias("line")).agg(F.sum("l.words").alias("words")))
-    one = stored(one, "lines")
-    # the earliest holder of each line, combined before the shuffle
-    first = one.groupBy("line").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = stored(first.select("line", "a"), "first")  # a table of its own: adaptive execution may then split a hot line
-    held = stored(one.join(first, "line"), "held")
-    star = held.where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b"), "line", "words")
-    able = star.groupBy("b").agg(F.sum("words").alias("shared")).where(F.col("shared") >= block_words).select("b")
-    pairs = star.select("a", "b").unionByName(predecessors(held.select("line", "key")).where("a IS NOT NULL"))
-    return pairs.distinct().join(able, "b").select("a", "b")
-
-
-def predecessors(held: DataFrame, ranges: int = 64) -> DataFrame:
-    """``a, b``: a is the holder of the line just before b. The holders of a line
-    are cut at quantiles of the ids (``ranges`` - 1 numbers), so that no line
-    is one task's work; the last holder of earlier ranges is carried over."""
-    cuts = held.select(F.percentile_approx("key.d", [i / ranges for i in range(1, ranges)], 1000).alias("c")).first()["c"]
-    if not cuts:
-        return held.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col("key.d")))
-    r = held.withColumn("range", at)
-    last = r.groupBy("line", "range").agg(F.max("key").alias("last"))
-    before = Window.partitionBy("line").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.select("line", "range", F.max("last").over(before).alias("carry"))
-    inside = Window.partitionBy("line", "range").orderBy("key")
-    return (r.withColumn("before", F.lag("key").over(inside)).join(carry, ["line", "range"])
-            .select(F.coalesce("before", "carry").alias("a"), F.col("key").alias("b")))
+def runs(hashes: list[int], words: list[int], block_words: int) -> list[tuple[int, int]]:
+    """Shortest line ranges (start, end) of at least ``block_words`` words from each start and to each end, and
+    from a line over blank ones to the next. Every line of a longer run lies in one of them inside that run."""
+    at = [i for i, x in enumerate(hashes) if x]
+    w = [words[i] for i in at]
+    out = set()
+    total = s = 0
+    for e, n in enumerate(w):
+        total += n
+        while total - w[s] >= block_words:
+            total -= w[s]
+            s += 1
+        if total >= block_words:
+            out.add((at[s], at[e] + 1))
+    total, e = 0, len(at) - 1
+    for s in range(len(at) - 1, -1, -1):
+        total += w[s]
+        while total - w[e] >= block_words:
+            total -= w[e]
+            e -= 1
+        if total >= block_words:
+            out.add((at[s], at[e] + 1))
+    out.update((i, j + 1) for i, j in zip(at, at[1:]) if j > i + 1 and words[i] + words[j] >= block_words)
+    return sorted(out)
+
+
+def run_numbers(hashes: list[int], words: list[int], block_words: int) -> list[int]:
+    """Hash of each of a document's ``runs``, once."""
+    raw = memoryview(array("q", hashes).tobytes())
+    return list({signed(xxhash.xxh3_64_intdigest(raw[8 * s:8 * e])) for s, e in runs(hashes, words, block_words)})
+
+
+def overlaps(lines: DataFrame) -> DataFrame:
+    """Pairs of keys (a earlier, b later): a is the earliest holder of one of b's ``runs``."""
+    held = lines.select("key", F.explode("runs").alias("run"))
+    # the earliest holder of each run, combined before the shuffle
+    first = held.groupBy("run").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = stored(first.select("run", "a"), "first")  # a table of its own: adaptive execution may then split a hot run
+    return held.join(first, "run").where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")).distinct()
 
 
 def key_columns() -> list:
@@ -171,13 +180,16 @@ def deletions(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int =
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_slices(batches):
-            got = [line_numbers(t) for t in byte_texts(b.column(2))]
+            got = [(h, [n if n >= line_words else 0 for n in w]) for h, w in map(line_numbers, byte_texts(b.column(2)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h for h, _ in got], pa.list_(pa.int64())),
-                                              pa.array([w for _, w in got], pa.list_(pa.int32()))], names=["d", "h", "hashes", "words"])
-
-    lines = src.mapInArrow(read, "d long, h long, hashes array<long>, words array<int>")
-    lines = stored(lines.select(F.struct("d", "h").alias("key"), "hashes", "words"), "documents")
-    pairs = stored(overlaps(lines, line_words, block_words), "pairs")
+                                              pa.array([w for _, w in got], pa.list_(pa.int32())),
+                                              pa.array([run_numbers(h, w, block_words) for h, w in got], pa.list_(pa.int64()))],
+                                             names=["d", "h", "hashes", "words", "runs"])
+
+    lines = src.mapInArrow(read, "d long, h long, hashes array<long>, words array<int>, runs array<long>")
+    lines = stored(lines.select(F.struct("d", "h").alias("key"), "hashes", "words", "runs"), "documents")
+    pairs = stored(overlaps(lines), "pairs")
+    lines = lines.drop("runs")
     one = lines.join(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "key").dropDuplicates(["key"])
     one = stored(one, "aligned")
     met = (pairs.join(one.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a")
@@ -189,8 +201,7 @@ def deletions(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int =
                 b = batch.slice(at, 64)
                 out: list[tuple] = []
                 for d, h, ha, hb, wb in zip(*(b.column(i).to_pylist() for i in range(5))):
-                    counted = [w if w >= line_words else 0 for w in wb]
-                    out += [(d, h, s, e) for s, e in blocks(ha, hb, counted, block_words)]
+                    out += [(d, h, s, e) for s, e in blocks(ha, hb, wb, block_words)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["d", "h", "start", "end"])
 
