@@ -12,7 +12,9 @@
    their order (longest increasing run) are anchors, the gaps between anchors
    are aligned in the same way, and equal lines next to an anchor join it. Maximal runs of aligned lines
    without a gap in either document are blocks.
-4. Blocks of at least ``block_words`` words are deleted from the later document.
+4. Blocks of at least ``block_words`` words are deleted from the later document, and so is every other run
+   of it of that size that the earlier one holds in another order or number (found by the runs of 2).
+   So a line goes exactly if it lies in a run of that many words that an earlier document holds too.
 
 Earlier and later: by doc_id, then by the text's hash; null ids come last. A
 document that is both copied and copying loses lines but still serves others as
@@ -108,27 +110,6 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def blocks(a: list[int], b: list[int], words_b: list[int], block_words: int) -> list[tuple[int, int]]:
-    """Line ranges of ``b`` (start, end) whose aligned run has at least ``block_words``
-    words; ``words_b`` counts 0 for a line too short to count."""
-    out, run = [], []
-
-    def close() -> None:
-        while run and b[run[-1][1]] == 0:
-            run.pop()
-        if run and sum(words_b[j] for _, j in run) >= block_words:
-            out.append((run[0][1], run[-1][1] + 1))
-        run.clear()
-
-    for i, j in patience(a, b):
-        if run and (run[-1][0] + 1, run[-1][1] + 1) != (i, j):
-            close()
-        if run or b[j]:
-            run.append((i, j))
-    close()
-    return out
-
-
 def runs(hashes: list[int], words: list[int], block_words: int) -> list[tuple[int, int]]:
     """Shortest line ranges (start, end) of at least ``block_words`` words from each start and to each end, and
     from a line over blank ones to the next. Every line of a longer run lies in one of them inside that run."""
@@ -155,6 +136,56 @@ def runs(hashes: list[int], words: list[int], block_words: int) -> list[tuple[in
     return sorted(out)
 
 
+def blocks(a: list[int], b: list[int], words_b: list[int], block_words: int) -> list[tuple[int, int]]:
+    """Line ranges of ``b`` (start, end) that ``a`` holds in a run of at least ``block_words`` words: the
+    aligned runs, then what the alignment left. ``words_b`` counts 0 for a line too short to count."""
+    out, run = [], []
+
+    def close() -> None:
+        while run and b[run[-1][1]] == 0:
+            run.pop()
+        if run and sum(words_b[j] for _, j in run) >= block_words:
+            out.append((run[0][1], run[-1][1] + 1))
+        run.clear()
+
+    for i, j in patience(a, b):
+        if run and (run[-1][0] + 1, run[-1][1] + 1) != (i, j):
+            close()
+        if run or b[j]:
+            run.append((i, j))
+    close()
+    return joined(out + unaligned(a, b, words_b, block_words, out))
+
+
+def unaligned(a: list[int], b: list[int], words_b: list[int], block_words: int, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ``runs`` of ``b`` outside ``found`` that ``a`` holds anywhere, in any order and number."""
+    held = set(a)
+    new = bytearray(1 if x in held else 0 for x in b)  # 1: in a, 2: found
+    for s, e in found:
+        new[s:e] = b"\2" * (e - s)
+    rest = [(s, e) for s, e in runs(b, words_b, block_words) if 1 in new[s:e] and 0 not in new[s:e]]
+    if not rest:
+        return []
+    words = dict(zip(b, words_b))
+    there, start = set(), 0
+    for end in [i for i, x in enumerate(a) if x not in words] + [len(a)]:
+        part = a[start:end]
+        there.update(tuple(part[s:e]) for s, e in runs(part, [words[x] for x in part], block_words))
+        start = end + 1
+    return [(s, e) for s, e in rest if tuple(b[s:e]) in there]
+
+
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(ranges):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def run_numbers(hashes: list[int], words: list[int], block_words: int) -> list[int]:
     """Hash of each of a document's ``runs``, once."""
     raw = memoryview(array("q", hashes).tobytes())
