@@ -4,8 +4,8 @@
    every line (white space at the ends and repeated inside does not count; blank lines are
    aligned with nothing).
 2. Overlapping documents are found through shared runs: from each line and to each line the
-   shortest run of consecutive lines that reaches ``block_words`` words (a line of fewer than ``line_words``
-   words is part of a run but counts no words). The earliest holder of each run meets every later
+   shortest run of consecutive lines that reaches ``block_words`` words, short lines joined like long ones.
+   The earliest holder of each run meets every later
    holder, so a run that n documents hold gives n - 1 pairs. Any block that could go contains
    such runs, and every line of it lies in one.
 3. A pair is aligned by patience diff: lines that occur once in both and keep
@@ -44,7 +44,8 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import arrow_slices, byte_texts, stored
 
-LINE_WORDS, BLOCK_WORDS = 4, 25
+#: A line of fewer words counts none towards a block; with 1 every line counts.
+LINE_WORDS, BLOCK_WORDS = 1, 25
 #: Null ids sort after all others.
 LAST = 2 ** 63 - 1
 

@@ -82,3 +82,11 @@ def test_against_every_earlier_document(spark):
         gone = set().union(*(common(a, data[n][0], words, 15) for a, _ in data[:n]))
         assert got[i] == ("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone), len(gone))
     assert sum(n for _, n in got.values()) > 100
+
+
+def test_short_lines_count(spark):
+    menu = [line(f"m{i}", 3) for i in range(30)]
+    verse = [line(f"v{i}", 1) for i in range(25)]
+    rows = [(0, "\n".join(menu)), (1, "\n".join([line("x"), *menu, "", *verse])), (2, "\n".join([*verse[1:], line("y")])), (3, "\n".join(verse))]
+    got = deleted(spark, rows)
+    assert {i: n for i, (_, n) in got.items()} == {0: 0, 1: 30, 2: 0, 3: 25}
