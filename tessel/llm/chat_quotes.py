@@ -3,10 +3,10 @@
 A line that begins with one or more ``>`` is quoted at that level. Lines are
 normalised (quote marks off, white space collapsed, lower case). Consecutive lines
 of one level without a blank line between them form a passage. Passages and
-single lines are hashed. A level-1 passage or line of a message is joined to the latest
-earlier message of its conversation that holds the same passage or line as its own
-(level 0) text. The message with the most matched characters is the parent
-(ties: the later one). A message without such a link replies to the one before it.
+single lines are hashed. A passage or line of level n is joined to the latest
+earlier message of its conversation that holds the same passage or line at a level below n (level 1:
+as its own, level 0 text). The lowest level with such a link decides: the message with the most matched
+characters of that level is the parent (ties: the later one). A message without any link replies to the one before it.
 
 Reply order: a linked message, and what follows it without a link of its own, stands right
 after the message it quotes. ``reply_path`` is the key of that order: the
@@ -84,11 +84,17 @@ def parents(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, linked``: the quoted turn of each replying turn."""
     asked = messages.where(F.col("text").rlike("(?m)" + MARK)).select("conv_id").distinct()
     u = stored(units(messages.join(asked, "conv_id", "left_semi")), "units")
-    quoted = u.where("level = 1")
-    own = u.where("level = 0").join(quoted.select("conv_id", "unit").distinct(), ["conv_id", "unit"], "left_semi")
-    hits = latest_before(quoted.select("conv_id", "unit", "turn", "size"), own, ["conv_id", "unit"], "turn", "turn", "original")
-    best = (hits.where("original IS NOT NULL").groupBy("conv_id", "turn", "original").agg(F.sum("size").alias("size"))
-            .groupBy("conv_id", "turn").agg(F.max(F.struct("size", "original")).alias("best")))
+    quoted = u.where("level > 0")
+    deepest = quoted.groupBy("conv_id", "unit").agg(F.max("level").alias("deepest"))
+    own = u.join(deepest, ["conv_id", "unit"]).where("level < deepest")
+    # the levels below n are one span for each set bit of n: spans of 2^bit levels, numbered from 0
+    own = own.withColumn("bit", F.explode(F.expr("sequence(0, length(bin(deepest)) - 1)"))).withColumn("span", F.expr("shiftright(level, bit)"))
+    asks = quoted.withColumn("bit", F.explode(F.expr("filter(sequence(0, length(bin(level)) - 1), b -> shiftright(level, b) % 2 = 1)")))
+    asks = asks.withColumn("span", F.expr("shiftright(level, bit) - 1"))
+    hits = latest_before(asks, own, ["conv_id", "unit", "bit", "span"], "turn", "turn", "original").where("original IS NOT NULL")
+    hits = hits.groupBy("conv_id", "turn", "level", "unit", "size").agg(F.max("original").alias("original"))
+    best = (hits.groupBy("conv_id", "turn", "level", "original").agg(F.sum("size").alias("size"))
+            .groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "size", "original")).alias("best")))
     return best.select("conv_id", "turn", F.col("best.original").alias("linked"))
 
 
@@ -123,7 +129,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     return out.orderBy("conv_id", "reply_path", "role", "text")
 
 
-#: The same rows in DuckDB; paths as text there and in the query.
+#: The same rows in DuckDB where level 1 gives every link (deeper levels are not joined there); paths as text there and in the query.
 SQL = r"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, text FROM conversations),
 known AS (SELECT * FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
