@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import chat_quotes, embed_dedup, lang_id, line_dedup, minhash_dedup, mixing, packing, quality, secrets, topk
+from tessel.llm import chat_quotes, embed_dedup, lang_id, licenses, line_dedup, minhash_dedup, mixing, packing, quality, secrets, topk
 from tessel.llm.common import read_table
 from tessel.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
@@ -42,7 +42,8 @@ FROM embeddings t JOIN comp ON comp.id = t.vec_id"""
 
 OP7_SQL = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+    '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
 z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
@@ -114,3 +115,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_line_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_license_scan")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
