@@ -277,12 +277,13 @@ WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '
 p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
 w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
 o AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS ph FROM w, (VALUES (1), (2), (3)) t(k)),
-g AS (SELECT lang, k, ph, count(*) AS f FROM o GROUP BY ALL),
+g AS MATERIALIZED (SELECT lang, k, ph, count(*) AS f FROM o GROUP BY ALL),
 c AS (SELECT * FROM g WHERE k > 1 AND f >= 10),
-s AS (SELECT c.lang, c.k, c.ph, c.f AS a, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
-  FROM c JOIN (VALUES (1), (2)) t(cut) ON cut < c.k
-  JOIN g x ON x.lang = c.lang AND x.ph = c.ph[1:cut] JOIN g y ON y.lang = c.lang AND y.ph = c.ph[cut + 1:c.k]
-  QUALIFY row_number() OVER (PARTITION BY c.lang, c.ph ORDER BY score, cut) = 1),
+u AS MATERIALIZED (SELECT lang, k, ph, f AS a, cut, ph[1:cut] AS first, ph[cut + 1:k] AS rest FROM c, (VALUES (1), (2)) t(cut) WHERE cut < k),
+v AS MATERIALIZED (SELECT u.*, g.f AS l FROM u JOIN g ON g.lang = u.lang AND g.ph = u.first),
+s AS (SELECT v.lang, v.k, v.ph, a, l, g.f AS r, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * g.f) AS BIGINT) AS score
+  FROM v JOIN g ON g.lang = v.lang AND g.ph = v.rest
+  QUALIFY row_number() OVER (PARTITION BY v.lang, v.ph ORDER BY score, cut) = 1),
 cover AS (SELECT lang, ph, max(f) AS f FROM (SELECT lang, ph[1:2] AS ph, f FROM c WHERE k = 3 UNION ALL SELECT lang, ph[2:3], f FROM c WHERE k = 3) GROUP BY ALL),
 kept AS (SELECT s.lang, array_to_string(s.ph, ' ') AS phrase, a, l, r, score FROM s LEFT JOIN cover USING (lang, ph) WHERE cover.f IS NULL OR 100 * cover.f < 50 * a),
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import chat_quotes, collocations, embed_dedup, lang_id, licenses, line_dedup, minhash_dedup, mixing, packing, quality, secrets, topk
+from tessel.llm import chat_quotes, chat_repair, chat_repair_sql, collocations, embed_dedup, lang_id, licenses, line_dedup, minhash_dedup, mixing, packing, quality, secrets, topk
 from tessel.llm.common import read_table
 from tessel.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
@@ -125,3 +125,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_collocations", collocations.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_chat_repair", chat_repair_sql.sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(read_table(spark, sf_dir, "conversations"))
