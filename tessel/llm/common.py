@@ -60,3 +60,14 @@ def byte_texts(col: pa.Array) -> list[bytes]:
 def long_key(col):
     """A non-null key for joins: null ids become one reserved value."""
     return F.coalesce(col.cast("bigint"), F.lit(-(2 ** 63) + 1))
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -8,26 +8,26 @@
    The earliest holder of each run meets every later
    holder, so a run that n documents hold gives n - 1 pairs. Any block that could go contains
    such runs, and every line of it lies in one.
-3. A pair is aligned by patience diff: lines that occur once in both and keep
-   their order (longest increasing run) are anchors, the gaps between anchors
-   are aligned in the same way, and equal lines next to an anchor join it. Maximal runs of aligned lines
-   without a gap in either document are blocks.
-4. Blocks of at least ``block_words`` words are deleted from the later document, and so is every other run
-   of it of that size that the earlier one holds in another order or number (found by the runs of 2).
-   So a line goes exactly if it lies in a run of that many words that an earlier document holds too.
+3. A pair is aligned by patience diff over the runs the two share, in their order in either document: runs that occur
+   once in both and keep their order (longest rising sequence) are anchors, the gaps between anchors
+   are aligned in the same way, and equal runs next to an anchor join it. What a round leaves of the later
+   document (passages in another order, or more often) is aligned with the whole earlier one again; a round
+   without an anchor aligns the rarest run left.
+4. Aligned runs that touch or overlap are blocks, and blocks are deleted from the later document. The rounds end when no shared
+   run is left, so a line goes exactly if it lies in a run of that many words that an earlier document holds too.
 
 Earlier and later: by doc_id, then by the text's hash; null ids come last. A
 document that is both copied and copying loses lines but still serves others as
 it was, so results do not depend on any order of work.
 
-Distribution: only line hashes move until the end; the arrays of a document that meets very many
-others are joined by its key, which adaptive execution may split, and a
-pair is one row. Texts move once, when the deletions are joined to them.
+Distribution: only run hashes and their places move until the end. A pair carries the runs it shares, not its documents, so
+a long early document costs nothing for what its later holders do not share. Texts
+move once, when the deletions are joined to them.
 
 Defined results: null text stays null (no lines), an empty text stays empty; rows equal in
 doc_id and text are one document (all its copies lose the same lines); a document
 without deletions keeps its text byte for byte; if all lines go, the text is
-empty. Extra columns pass through.
+empty. Extra columns pass through; an appended column whose name is taken gets underscores behind it.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import arrow_slices, byte_texts, stored
+from tessel.llm.common import arrow_slices, byte_texts, free, stored
 
 #: A line of fewer words counts none towards a block; with 1 every line counts.
 LINE_WORDS, BLOCK_WORDS = 1, 25
@@ -137,43 +137,51 @@ def runs(hashes: list[int], words: list[int], block_words: int) -> list[tuple[in
     return sorted(out)
 
 
+def placed_runs(hashes: list[int], words: list[int], block_words: int) -> list[tuple[int, int, int]]:
+    """(hash, start, end) of a document's ``runs``, by place."""
+    raw = memoryview(array("q", hashes).tobytes())
+    return [(signed(xxhash.xxh3_64_intdigest(raw[8 * s:8 * e]) | 1), s, e) for s, e in runs(hashes, words, block_words)]
+
+
+def align(a: list[int], b: list[int]) -> list[int]:
+    """Places in ``b`` that rounds of patience alignment with ``a`` match; both are shared runs in their order."""
+    left, out = list(range(len(b))), []
+    held = Counter(a)
+    while left:
+        got = [j for _, j in patience(a, [b[i] for i in left])]
+        if not got:
+            count = Counter(b[i] for i in left)
+            rarest = min(count, key=lambda x: (held[x] * count[x], x))
+            got = [j for j, i in enumerate(left) if b[i] == rarest] if held[rarest] else []
+        if not got:
+            return sorted(out)
+        out += [left[j] for j in got]
+        gone = set(got)
+        left = [i for j, i in enumerate(left) if j not in gone]
+    return sorted(out)
+
+
+def aligned_blocks(shared: list[tuple[int, list[int], list[int], list[int]]]) -> list[tuple[int, int]]:
+    """Line ranges to delete from the later document of a pair, given its shared runs as (hash, starts in the
+    earlier one, starts and ends in the later one)."""
+    a = [h for _, h in sorted((s, h) for h, starts, _, _ in shared for s in starts)]
+    b = sorted((s, e, h) for h, _, starts, ends in shared for s, e in zip(starts, ends))
+    return joined([b[i][:2] for i in align(a, [h for _, _, h in b])])
+
+
 def blocks(a: list[int], b: list[int], words_b: list[int], block_words: int) -> list[tuple[int, int]]:
-    """Line ranges of ``b`` (start, end) that ``a`` holds in a run of at least ``block_words`` words: the
-    aligned runs, then what the alignment left. ``words_b`` counts 0 for a line too short to count."""
-    out, run = [], []
-
-    def close() -> None:
-        while run and b[run[-1][1]] == 0:
-            run.pop()
-        if run and sum(words_b[j] for _, j in run) >= block_words:
-            out.append((run[0][1], run[-1][1] + 1))
-        run.clear()
-
-    for i, j in patience(a, b):
-        if run and (run[-1][0] + 1, run[-1][1] + 1) != (i, j):
-            close()
-        if run or b[j]:
-            run.append((i, j))
-    close()
-    return joined(out + unaligned(a, b, words_b, block_words, out))
-
-
-def unaligned(a: list[int], b: list[int], words_b: list[int], block_words: int, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The ``runs`` of ``b`` outside ``found`` that ``a`` holds anywhere, in any order and number."""
-    held = set(a)
-    new = bytearray(1 if x in held else 0 for x in b)  # 1: in a, 2: found
-    for s, e in found:
-        new[s:e] = b"\2" * (e - s)
-    rest = [(s, e) for s, e in runs(b, words_b, block_words) if 1 in new[s:e] and 0 not in new[s:e]]
-    if not rest:
-        return []
-    words = dict(zip(b, words_b))
-    there, start = set(), 0
+    """Line ranges of ``b`` (start, end) that go if ``a`` is earlier. ``words_b`` counts 0 for a line too short to count."""
+    words, there, here, start = dict(zip(b, words_b)), {}, {}, 0
     for end in [i for i, x in enumerate(a) if x not in words] + [len(a)]:
         part = a[start:end]
-        there.update(tuple(part[s:e]) for s, e in runs(part, [words[x] for x in part], block_words))
+        for h, s, _ in placed_runs(part, [words[x] for x in part], block_words):
+            there.setdefault(h, []).append(start + s)
         start = end + 1
-    return [(s, e) for s, e in rest if tuple(b[s:e]) in there]
+    for h, s, e in placed_runs(b, words_b, block_words):
+        if h in there:
+            here.setdefault(h, ([], []))[0].append(s)
+            here[h][1].append(e)
+    return aligned_blocks([(h, there[h], *x) for h, x in here.items()])
 
 
 def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -187,19 +195,13 @@ def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def run_numbers(hashes: list[int], words: list[int], block_words: int) -> list[int]:
-    """Hash of each of a document's ``runs``, once."""
-    raw = memoryview(array("q", hashes).tobytes())
-    return list({signed(xxhash.xxh3_64_intdigest(raw[8 * s:8 * e])) for s, e in runs(hashes, words, block_words)})
-
-
-def overlaps(lines: DataFrame) -> DataFrame:
-    """Pairs of keys (a earlier, b later): a is the earliest holder of one of b's ``runs``."""
-    held = lines.select("key", F.explode("runs").alias("run"))
+def overlaps(held: DataFrame) -> DataFrame:
+    """``a, b, run, there, starts, ends``: runs of b whose earliest holder is a, and where they stand in either."""
     # the earliest holder of each run, combined before the shuffle
-    first = held.groupBy("run").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = stored(first.select("run", "a"), "first")  # a table of its own: adaptive execution may then split a hot run
-    return held.join(first, "run").where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")).distinct()
+    first = held.groupBy("run").agg(F.min(F.struct("key", "starts")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a table of its own: adaptive execution may then split a hot run
+    first = stored(first.select("run", F.col("first.key").alias("a"), F.col("first.starts").alias("there")), "first")
+    return held.join(first, "run").where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b"), "run", "there", "starts", "ends")
 
 
 def key_columns() -> list:
@@ -211,33 +213,37 @@ def deletions(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int =
     src = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").select(*key_columns(), "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints = pa.list_(pa.int32())
         for b in arrow_slices(batches):
-            got = [(h, [n if n >= line_words else 0 for n in w]) for h, w in map(line_numbers, byte_texts(b.column(2)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h for h, _ in got], pa.list_(pa.int64())),
-                                              pa.array([w for _, w in got], pa.list_(pa.int32())),
-                                              pa.array([run_numbers(h, w, block_words) for h, w in got], pa.list_(pa.int64()))],
-                                             names=["d", "h", "hashes", "words", "runs"])
-
-    lines = src.mapInArrow(read, "d long, h long, hashes array<long>, words array<int>, runs array<long>")
-    lines = stored(lines.select(F.struct("d", "h").alias("key"), "hashes", "words", "runs"), "documents")
-    pairs = stored(overlaps(lines), "pairs")
-    lines = lines.drop("runs")
-    one = lines.join(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "key").dropDuplicates(["key"])
-    one = stored(one, "aligned")
-    met = (pairs.join(one.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a")
-           .join(one.select(F.col("key").alias("b"), F.col("hashes").alias("hb"), F.col("words").alias("wb")), "b"))
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: list[tuple] = []
+            for d, h, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_texts(b.column(2))):
+                hashes, words = line_numbers(raw)
+                places: dict[int, tuple[list, list]] = {}
+                for run, s, e in placed_runs(hashes, [n if n >= line_words else 0 for n in words], block_words):
+                    at = places.setdefault(run, ([], []))
+                    at[0].append(s)
+                    at[1].append(e)
+                out += [(d, h, run, *at) for run, at in places.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*[pa.int64()] * 3, ints, ints))],
+                                                 names=["d", "h", "run", "starts", "ends"])
+
+    held = src.mapInArrow(read, "d long, h long, run long, starts array<int>, ends array<int>")
+    held = stored(held.select(F.struct("d", "h").alias("key"), "run", "starts", "ends"), "runs")
+    # at most a document's lines in a pair; rows of equal documents come together
+    pairs = overlaps(held).groupBy("a", "b").agg(F.collect_set(F.struct("run", "there", "starts", "ends")).alias("shared"))
+
+    def cut_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # few rows at a time as Python lists: they are several times larger
                 b = batch.slice(at, 64)
                 out: list[tuple] = []
-                for d, h, ha, hb, wb in zip(*(b.column(i).to_pylist() for i in range(5))):
-                    out += [(d, h, s, e) for s, e in blocks(ha, hb, wb, block_words)]
+                for d, h, shared in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    out += [(d, h, s, e) for s, e in aligned_blocks([tuple(x.values()) for x in shared])]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["d", "h", "start", "end"])
 
-    cut = met.select("b.d", "b.h", "ha", "hb", "wb").mapInArrow(align, "d long, h long, start long, end long")
+    cut = pairs.select("b.d", "b.h", "shared").mapInArrow(cut_pairs, "d long, h long, start long, end long")
     return stored(cut.groupBy("d", "h").agg(F.collect_set(F.struct("start", "end")).alias("cut")), "cuts")
 
 
@@ -245,16 +251,17 @@ def dedup_lines(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int
                 lines_col: str = "n_lines", deleted_col: str = "n_deleted") -> DataFrame:
     """``docs`` with duplicate blocks of lines deleted from ``text``; appends each document's lines before and how
     many of them went."""
-    cut = deletions(docs, line_words, block_words).select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("cut").alias("__cut"))
+    gd, gh, gcut, dd, hh, kept_col, lines_col, deleted_col = free(docs, "d", "h", "cut", "dd", "hh", "kept", lines_col, deleted_col)
+    cut = deletions(docs, line_words, block_words).select(F.col("d").alias(gd), F.col("h").alias(gh), F.col("cut").alias(gcut))
     d, h = key_columns()
     # texts always meet the deletions in a merge join, whatever size the deletions have here
     cut = cut.hint("merge")
-    j = docs.withColumn("__dd", d).withColumn("__hh", h).join(cut, (F.col("__dd") == F.col("__d")) & (F.col("__hh") == F.col("__h")), "left")
+    j = docs.withColumn(dd, d).withColumn(hh, h).join(cut, (F.col(dd) == F.col(gd)) & (F.col(hh) == F.col(gh)), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.exists("__cut", lambda c: (c["start"] <= i) & (i < c["end"])))
-    j = j.withColumn("__kept", F.when(F.col("__cut").isNotNull(), kept))
+    kept = F.filter(lines, lambda x, i: ~F.exists(gcut, lambda c: (c["start"] <= i) & (i < c["end"])))
+    j = j.withColumn(kept_col, F.when(F.col(gcut).isNotNull(), kept))
     total = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     j = j.withColumn(lines_col, total.cast("bigint"))
-    j = j.withColumn(deleted_col, F.when(F.col("__kept").isNull(), 0).otherwise(F.col(lines_col) - F.size("__kept")).cast("bigint"))
-    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
+    j = j.withColumn(deleted_col, F.when(F.col(kept_col).isNull(), 0).otherwise(F.col(lines_col) - F.size(kept_col)).cast("bigint"))
+    text = F.when(F.col(kept_col).isNull(), F.col("text")).otherwise(F.array_join(kept_col, "\n"))
     return j.withColumn("text", text).select(*docs.columns, lines_col, deleted_col)

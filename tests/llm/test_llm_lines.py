@@ -5,27 +5,28 @@ from tessel.llm import line_dedup as L
 SCHEMA = "doc_id long, text string, cut string, key int, d int"
 
 
+def shared_lines(a, b, words, block_words):
+    """Lines of ``b`` in a run that ``a`` holds too, from every pair of positions (blank lines are '')."""
+    gone = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            at = [k for k in range(j, j + n) if b[k]]
+            if sum(words[k] for k in at) >= block_words:
+                gone |= set(range(at[0], at[-1] + 1))
+    return gone
+
+
 def brute(rows, line_words, block_words):
-    """All documents against the earliest and the preceding holder of each of their lines."""
+    """All documents against every earlier one; lines are equal when their words are."""
     docs = sorted({((i if i is not None else L.LAST), t) for i, t in rows if t is not None}, key=lambda x: (x[0], key_of[x]))
-    data = {x: L.line_numbers(x[1].encode()) for x in docs}
-    holders = {}
-    for x in docs:
-        for h in {h for h, w in zip(*data[x]) if w >= line_words}:
-            holders.setdefault(h, []).append(x)
+    data = [[b" ".join(x.split()) for x in t.encode().split(b"\n")] for _, t in docs]
     cut = {}
     for n, x in enumerate(docs):
-        hs, ws = data[x]
-        counted = [w if w >= line_words else 0 for w in ws]
-        others = set()
-        for h in {h for h, w in zip(hs, ws) if w >= line_words}:
-            at = holders[h].index(x)
-            if at:
-                others |= {holders[h][0], holders[h][at - 1]}
-        gone = set()
-        for y in others:
-            for s, e in L.blocks(data[y][0], hs, counted, block_words):
-                gone |= set(range(s, e))
+        words = [len(w.split()) if len(w.split()) >= line_words else 0 for w in data[n]]
+        gone = set().union(*(shared_lines(a, data[n], words, block_words) for a in data[:n]))
         lines = x[1].split("\n")
         cut[x] = (x[1] if not gone else "\n".join(t for i, t in enumerate(lines) if i not in gone), len(lines), len(gone))
     return cut
@@ -81,3 +82,24 @@ def test_a_passage_goes_from_all_but_the_earliest(spark):
     rows = [(i, f"own line {i} of some words\n{passage}\nlast own line {i} here") for i in range(30)]
     out = {x.doc_id: x.text for x in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert passage in out[0] and all(passage not in out[i] and f"own line {i} of" in out[i] for i in range(1, 30))
+
+
+def test_alignment_decides(spark, monkeypatch):
+    """Deletions come from the aligner alone: without it nothing goes."""
+    shared = [(5, [0, 9], [3], [4]), (7, [4], [0, 8], [1, 9])]
+    assert L.aligned_blocks(shared) == [(0, 1), (3, 4), (8, 9)]
+    monkeypatch.setattr(L, "align", lambda a, b: [])
+    assert L.aligned_blocks(shared) == []
+
+
+def test_rounds():
+    assert L.align([1, 2, 3], [3, 1, 2, 2, 9]) == [0, 1, 2, 3]
+    assert L.align([1, 1], [1, 1, 1]) == [0, 1, 2]
+    assert L.align([], [1]) == []
+
+
+def test_taken_names(spark):
+    df = spark.createDataFrame([(1, "a\n" * 30, 5, 6, 7, 8)], "doc_id long, text string, n_lines int, N_Deleted int, __d int, cut int")
+    out = L.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines_", "n_deleted_"]
+    assert tuple(out.first())[2:] == (5, 6, 7, 8, 31, 0)
