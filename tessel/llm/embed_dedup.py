@@ -3,20 +3,22 @@
 Equal vectors of one label form a class first. The classes of a label are dealt
 by hash to shards of about ``shard_rows``; each shard gets an HNSW graph (built in
 batches with numpy: nodes of the upper layers first, neighbours chosen for diversity,
-reverse links pruned the same way). Every shard is then queried with all classes of
+reverse links pruned the same way), once, and the graphs are stored. Every shard's graph is then queried with all classes of
 its label: a beam search down the layers finds entry links, and the search
 spreads from every link found to its graph neighbours until no further vector
 reaches the threshold, so the number of links of a vector is not bounded by the beam.
-An audit compares the links of some queries with brute force over the shard;
-while its recall is below ``audit_recall``, the beam is doubled (up to the whole
-shard). All links are verified by cosine in double precision.
+An audit draws queries and compares them with the whole shard until ``AUDIT_LINKS`` links to other
+vectors are seen; while the search finds less than ``audit_recall`` of them, the beam is doubled. Where
+all queries hold fewer links than that, reading them was an exact scan already and its links are the result; where
+even a beam as wide as the shard fails the audit, the pair of shards is scanned exactly.
+All links are verified by cosine in double precision.
 
 What leaves a task is linear in its vectors: per class the number of vectors linked
 with it, and a spanning forest of the links; pairs are never emitted. Degrees are
 summed, forests are united into components.
 
-Distribution: one row per shard graph and one per shard's vectors meet by an
-equi-join on (label, shard); a hot label has many shards, and exact copies
+Distribution: a graph is one row; it streams into a task ahead of up to ``MEET_SHARDS`` shards of vectors that query it
+(links are symmetric, so each pair of shards meets once). A hot label has many shards, and exact copies
 are one row whatever their number.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
@@ -27,6 +29,7 @@ is its own component and kept. Extra columns are ignored.
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Iterator
 
@@ -41,7 +44,8 @@ from tessel.llm.graph import Forest, components
 
 SHARD_ROWS = 8192
 NEIGHBOURS, BUILD_BEAM, BEAM, BATCH = 16, 64, 32, 256
-AUDIT_ROWS, AUDIT_RECALL = 64, 0.995
+AUDIT_ROWS, AUDIT_RECALL, AUDIT_LINKS = 64, 0.995, 64
+MEET_SHARDS = 8
 THRESHOLD = 0.93
 
 
@@ -191,6 +195,26 @@ class Hnsw:
                 at += len(part)
             self.layers.append(layer)
 
+    def dump(self) -> bytes:
+        """Levels and the neighbours of each layer's own nodes; ``load`` needs the vectors besides."""
+        out = io.BytesIO()
+        near = {f"near{i}": y.near[self.order[:int((self.level >= self.top - i).sum())]] for i, y in enumerate(self.layers)}
+        np.savez(out, level=self.level, order=self.order, **near)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, x: np.ndarray, raw: bytes) -> Hnsw:
+        self, z = cls.__new__(cls), np.load(io.BytesIO(raw))
+        self.x, self.level, self.order = x.astype(np.float32), z["level"], z["order"]
+        self.top = int(self.level.max(initial=0))
+        self.layers = []
+        for i in range(self.top + 1):
+            near = z[f"near{i}"]
+            layer = Layer(self.x, near.shape[1])
+            layer.near[self.order[:len(near)]] = near
+            self.layers.append(layer)
+        return self
+
     def descend(self, q: np.ndarray, width: int = 4) -> np.ndarray:
         """Entry nodes for the layer below those built so far."""
         entry = np.full((len(q), 1), self.order[0], np.int32)
@@ -227,68 +251,116 @@ class Hnsw:
         return np.nonzero(hit)
 
 
-def shard_links(graph: Hnsw, x: np.ndarray, q: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM,
-                audit_rows: int = AUDIT_ROWS, audit_recall: float = AUDIT_RECALL, block: int = BATCH) -> Iterator[tuple[np.ndarray, np.ndarray, int, float]]:
-    """Verified links of each block of queries, after the audits pass: (query, node, beam, recall)."""
-    rng = np.random.default_rng(7)
-    audit = np.sort(rng.choice(len(q), min(audit_rows, len(q)), replace=False))
-    truth = (q[audit] @ x.T) >= threshold
-    recall = 1.0
+def exact_links(x: np.ndarray, q: np.ndarray, rows: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links of some queries by comparing them with all vectors; in a shard queried with itself, without those to themselves."""
+    hit = (q[rows] @ x.T) >= threshold
+    if same:
+        hit[np.arange(len(rows)), rows] = False
+    a, v = np.nonzero(hit)
+    return rows[a], v
+
+
+def shard_links(graph: Hnsw, x: np.ndarray, q: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM, audit_rows: int = AUDIT_ROWS,
+                audit_recall: float = AUDIT_RECALL, block: int = BATCH, same: bool = False,
+                audit_links: int = AUDIT_LINKS) -> Iterator[tuple[np.ndarray, np.ndarray, int, float]]:
+    """Verified links of the queries, after the audits pass: (query, node, beam, recall); beam 0 is an exact scan."""
+    order = np.random.default_rng(7).permutation(len(q))
+    truth, at, links = [], 0, 0
+    while at < len(q) and links < audit_links:
+        truth.append(exact_links(x, q, order[at:at + audit_rows], threshold, same))
+        links += len(truth[-1][0])
+        at += audit_rows
+    if at >= len(q):  # every query was compared with every vector
+        yield from ((a, v, 0, 1.0) for a, v in truth)
+        return
+    audit = np.sort(order[:at])
+    known = np.concatenate([a * len(x) + v for a, v in truth])
     while True:
-        a, v = graph.links(q[audit], threshold, beam)
-        got = np.zeros_like(truth)
-        got[a, v] = True
-        recall = float((got & truth).sum() / max(1, truth.sum()))
+        got = []
+        for lo in range(0, len(audit), block):
+            a, v = graph.links(q[audit[lo:lo + block]], threshold, beam)
+            got.append(audit[lo:lo + block][a] * len(x) + v)
+        recall = float(np.isin(known, np.concatenate(got)).mean())
         if recall >= audit_recall or beam >= len(x):
             break
         beam *= 2
-    for at in range(0, len(q), block):
-        part = q[at:at + block]
-        a, v = graph.links(part, threshold, beam)
-        keep = np.einsum("kd,kd->k", part[a], x[v]) >= threshold if len(a) else np.zeros(0, bool)
-        yield a[keep] + at, v[keep], beam, recall
+    for lo in range(0, len(q), block):
+        rows = np.arange(lo, min(lo + block, len(q)))
+        if recall < audit_recall:
+            yield (*exact_links(x, q, rows, threshold, same), 0, 1.0)
+            continue
+        a, v = graph.links(q[rows], threshold, beam)
+        keep = np.einsum("kd,kd->k", q[rows[a]], x[v]) >= threshold if len(a) else np.zeros(0, bool)
+        yield rows[a[keep]], v[keep], beam, recall
+
+
+def vectors_of(data: bytes, dim: int) -> np.ndarray:
+    return unit(np.frombuffer(data).reshape(-1, dim))
+
+
+def graphs(shards: DataFrame) -> DataFrame:
+    """``shards`` with each one's graph, built here and nowhere else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                graph = Hnsw(vectors_of(row.column(5)[0].as_py(), row.column(1)[0].as_py())).dump()
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([graph], pa.binary())], names=[*row.schema.names, "graph"])
+
+    spec = "label string, dim int, shard int, ids binary, weights binary, data binary"
+    return shards.select("label", "dim", "shard", "ids", "weights", "data").repartition("label", "dim", "shard").mapInArrow(run, f"{spec}, graph binary")
 
 
 def link_classes(shards: DataFrame, threshold: float, audit_recall: float) -> DataFrame:
-    """``shards``: one row per shard (label, dim, shard, ids, weights, data). Returns
+    """``shards``: one row per shard (label, dim, shard, ids, weights, data, graph). Returns
     ``kind, a, b``: kind 0 = class a has b linked vectors in other classes; kind 1 = forest edge a - b."""
-    left = shards.select("label", "dim", F.col("shard").alias("s1"), F.col("ids").alias("i1"), F.col("weights").alias("w1"), F.col("data").alias("d1"))
-    right = shards.select("label", "dim", F.col("shard").alias("s2"), F.col("ids").alias("i2"), F.col("weights").alias("w2"), F.col("data").alias("d2"))
-    # every shard's graph meets every shard of its label once: links are symmetric
-    met = (left.join(right, ["label", "dim"]).where("s2 >= s1").repartition("label", "dim", "s1", "s2")
-           .select("dim", "s1", "i1", "w1", "d1", "s2", "i2", "w2", "d2"))
+    last = shards.groupBy("label", "dim").agg(F.max("shard").alias("last"))
+    # every shard's graph (role 0) meets the vectors of its own and every later shard of its label (role 1), some at a time
+    turn = lambda s: F.floor(F.col(s) / MEET_SHARDS).cast("int")
+    held = (shards.join(last, ["label", "dim"]).withColumn("at", F.explode(F.sequence(turn("shard"), turn("last"))))
+            .select("label", "dim", "shard", "at", F.lit(0).alias("role"), F.col("shard").alias("s2"), "ids", "weights", "data", "graph"))
+    asks = (shards.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("shard")))).withColumn("at", turn("shard"))
+            .select("label", "dim", F.col("first").alias("shard"), "at", F.lit(1).alias("role"), F.col("shard").alias("s2"), "ids", "weights", "data",
+                    F.lit(None).cast("binary").alias("graph")))
+    keys = ["label", "dim", "shard", "at"]
+    met = held.unionAll(asks).repartition(*keys).sortWithinPartitions(*keys, "role", "s2").select("dim", "shard", "role", "s2", "ids", "weights", "data", "graph")
+
+    def links(graph, x1, i1, w1, x2, i2, w2, same):
+        deg1, deg2, forest = np.zeros(len(i1), np.int64), np.zeros(len(i2), np.int64), Forest()
+        mine = np.zeros((len(i1), len(i1)), bool) if same else None
+        for q, v, _, _ in shard_links(graph, x1, x2, threshold, audit_recall=audit_recall, same=same):
+            if same:
+                mine[q, v] = True
+                continue
+            np.add.at(deg2, q, w1[v])
+            np.add.at(deg1, v, w2[q])
+            tree(forest, i2, i1, q, v)
+        if same:  # a link found from either end counts for both
+            mine |= mine.T
+            np.fill_diagonal(mine, False)
+            for at in range(0, len(i1), 256):
+                deg1[at:at + 256] += mine[at:at + 256] @ w1
+                q, v = np.nonzero(mine[at:at + 256])
+                tree(forest, i1, i1, q + at, v)
+        some1, some2 = np.flatnonzero(deg1), np.flatnonzero(deg2)
+        up = np.fromiter(forest.up, np.int64, len(forest.up))
+        root = np.array([forest.root(x) for x in up.tolist()], np.int64)
+        kind = np.concatenate([np.zeros(len(some1) + len(some2), np.int32), np.ones(len(up), np.int32)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(kind), pa.array(np.concatenate([i1[some1], i2[some2], root])),
+             pa.array(np.concatenate([deg1[some1], deg2[some2], up]))], names=["kind", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for b in batches:
             for i in range(b.num_rows):
-                dim, s1, i1, w1, d1, s2, i2, w2, d2 = (b.column(c)[i].as_py() for c in range(9))
-                i1, i2 = np.frombuffer(i1, "<i8"), np.frombuffer(i2, "<i8")
-                w1, w2 = np.frombuffer(w1, "<i8"), np.frombuffer(w2, "<i8")
-                x1, x2 = unit(np.frombuffer(d1).reshape(-1, dim)), unit(np.frombuffer(d2).reshape(-1, dim))
-                same = s1 == s2
-                deg1, deg2, forest = np.zeros(len(i1), np.int64), np.zeros(len(i2), np.int64), Forest()
-                mine = np.zeros((len(i1), len(i1)), bool) if same else None
-                for q, v, _, _ in shard_links(Hnsw(x1), x1, x2, threshold, audit_recall=audit_recall):
-                    if same:
-                        mine[q, v] = True
-                        continue
-                    np.add.at(deg2, q, w1[v])
-                    np.add.at(deg1, v, w2[q])
-                    tree(forest, i2, i1, q, v)
-                if same:  # a link found from either end counts for both
-                    mine |= mine.T
-                    np.fill_diagonal(mine, False)
-                    deg1 += mine @ w1
-                    for at in range(0, len(i1), 256):
-                        q, v = np.nonzero(mine[at:at + 256])
-                        tree(forest, i1, i1, q + at, v)
-                some1, some2 = np.flatnonzero(deg1), np.flatnonzero(deg2)
-                up = np.fromiter(forest.up, np.int64, len(forest.up))
-                root = np.array([forest.root(x) for x in up.tolist()], np.int64)
-                kind = np.concatenate([np.zeros(len(some1) + len(some2), np.int32), np.ones(len(up), np.int32)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kind), pa.array(np.concatenate([i1[some1], i2[some2], root])),
-                     pa.array(np.concatenate([deg1[some1], deg2[some2], up]))], names=["kind", "a", "b"])
+                dim, s1, role, s2, ids, weights, data, graph = (b.column(c)[i].as_py() for c in range(8))
+                ids, weights, x = np.frombuffer(ids, "<i8"), np.frombuffer(weights, "<i8"), vectors_of(data, dim)
+                if role == 0:
+                    held = (Hnsw.load(x, graph), x, ids, weights)
+                else:
+                    yield links(*held, x, ids, weights, s1 == s2)
 
     return met.mapInArrow(run, "kind int, a long, b long")
 
@@ -335,6 +407,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows
 
     shards = stored(dealt.select("label", "dim", "shard", "class", "copies", "v").groupBy("label", "dim", "shard").applyInArrow(
         shard, "label string, dim int, shard int, ids binary, weights binary, data binary"), "shards")
+    shards = stored(graphs(shards), "graphs")
     found = stored(link_classes(shards, threshold, audit_recall), "found")
     comp = components(found.where("kind = 1").select("a", "b"))
     degree = found.where("kind = 0").groupBy(F.col("a").alias("class")).agg(F.sum("b").alias("others"))

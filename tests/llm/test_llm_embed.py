@@ -58,3 +58,36 @@ def test_audit_widens_the_beam():
         hit[q, v] = True
     assert recall == 1.0 or beam >= 300
     assert hit.sum() >= 0.99 * (x @ x.T >= 0.5).sum() and not (hit & ~(x @ x.T >= 0.5 - 1e-9)).any()
+
+
+def test_linked_and_unlinked_shards(spark):
+    """Many shards a label: half of the vectors have near copies in other shards, the others none."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(250, 24))
+    linked = np.repeat(base, 4, 0) + rng.normal(size=(1000, 24)) * 0.1
+    x = np.concatenate([rng.normal(size=(1000, 24)), linked]).astype(np.float32)
+    rows = [(i, v.tolist(), int(i >= 1000), "", 0) for i, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), shard_rows=100).collect()}
+    u = E.unit(x.astype(np.float64))
+    for part in (np.arange(1000), np.arange(1000, 2000)):
+        near = u[part] @ u[part].T >= 0.93
+        assert [got[i][0] for i in part.tolist()] == (near.sum(1) - 1).tolist()
+        assert (near.sum() - len(part) > 1000) == bool(part[0])
+
+
+def test_audits_see_links_to_others():
+    """Without links among different vectors no beam grows: the audit itself is the exact scan."""
+    x = E.unit(np.random.default_rng(5).normal(size=(2000, 32)))
+    g = E.Hnsw(x)
+    out = list(E.shard_links(g, x, x, same=True))
+    assert {beam for _, _, beam, _ in out} == {0} and sum(len(q) for q, *_ in out) == 0
+    twin = np.concatenate([x, E.unit(x + 0.01)])
+    got = list(E.shard_links(E.Hnsw(twin), twin, twin, same=True))
+    assert min(beam for _, _, beam, _ in got) >= E.BEAM and min(r for *_, r in got) >= E.AUDIT_RECALL
+
+
+def test_a_stored_graph_is_the_graph():
+    x = E.unit(np.random.default_rng(3).normal(size=(700, 12)))
+    g = E.Hnsw(x)
+    h = E.Hnsw.load(x, g.dump())
+    assert len(h.layers) == len(g.layers) and all((a.near == b.near).all() for a, b in zip(g.layers, h.layers))
