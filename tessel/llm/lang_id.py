@@ -1,6 +1,6 @@
 """Language identification of mixed-language text.
 
-Words are runs of letters. A word's script (by Unicode ranges) narrows the
+Words are runs of letters with their combining marks. A word's script (by Unicode ranges) narrows the
 candidate languages to those the training texts write in that script. Among
 the candidates a word is scored by its letter trigrams (smoothed log
 probabilities per language, hashed into a fixed number of buckets), normalised
@@ -21,13 +21,13 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +38,8 @@ BUCKETS = 1 << 15
 SWITCH, BOUND, OUT_OF_SCRIPT = 6.0, 4.0, 8.0
 CACHE_WORDS = 400_000
 SEED = 23
-WORD = re.compile(r"[^\W\d_]+")
+#: A word: letters with their combining marks.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 #: First code points of script ranges (Unicode blocks), in order; what lies between is "other".
 SCRIPTS = (

@@ -46,3 +46,11 @@ def test_script_narrows_candidates(spark):
     m = L.fit(spark.createDataFrame(rows, SCHEMA))
     s = m.word_scores(["house", "дом", "漢"])
     assert s[0, 1] <= -L.OUT_OF_SCRIPT + L.BOUND and s[1, 0] <= -L.OUT_OF_SCRIPT + L.BOUND and not s[2].any()
+
+
+def test_words_are_letters_with_their_marks(spark):
+    assert L.WORD.findall("हिन्दी ½ ² ③ Ⅷ x² don't e\u0301te _a1b") == ["हिन्दी", "x", "don", "t", "e\u0301te", "a", "b"]
+    model = L.fit(spark.createDataFrame([(1, EN, "en", "", 0)], SCHEMA))
+    df = spark.createDataFrame([(i, t, None, "", 0) for i, t in enumerate(["½ ² ③", "Ⅷ", "\u0301", "²x"])], SCHEMA)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.main_language(L.language_spans(df, model)).collect()}
+    assert got[0] == got[1] == got[2] == ("und", 0.0) and got[3][0] == "en"
