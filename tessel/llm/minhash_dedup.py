@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import arrow_slices, byte_texts, count_rows, long_key, stored
+from tessel.llm.common import arrow_slices, byte_texts, count_rows, free, long_key, stored
 from tessel.llm.graph import components
 
 BANDS, ROWS, SMALL, SALT_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 36, 5, 24, 64, 128, 1 << 20
@@ -146,14 +146,14 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
     past the text of ``a``; a centre ``a`` of many pairs is copied to its salts."""
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("salts"))
-    place = classes.select(F.col("set_id").alias("set"), F.col("doc").alias("doc"))
+    place = classes.select(F.col("set_id").alias("set"), "doc", "h")
     members = (pairs.join(salts, "a").select(F.col("b").alias("set"), F.col("a").alias("centre"),
                                             F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")))
     centres = salts.select(F.col("a").alias("set"), F.col("a").alias("centre"),
                            F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = members.unionByName(centres).join(place, "set")
-    texts = docs.select(long_key(F.col("doc_id")).alias("doc"), F.col("text").cast("string").alias("text"))
-    rows = (wanted.join(texts, "doc").select("text", "set", "centre", "salt", "role")
+    texts = docs.select(long_key(F.col("doc_id")).alias("doc"), text_hash().alias("h"), F.col("text").cast("string").alias("text"))
+    rows = (wanted.join(texts, ["doc", "h"]).select("text", "set", "centre", "salt", "role")
             .repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
             for raw, number, centre, salt, role in zip(byte_texts(b.column(0)), *(b.column(i).to_pylist() for i in range(1, 5))):
                 s = shingle_set(raw, k)
                 if set_number(s) != number:
-                    continue  # another text under the same doc_id
+                    continue  # another text of the same id and hash
                 if role == 0:
                     at, held = (centre, salt), s
                 elif at == (centre, salt):
@@ -228,7 +228,7 @@ def verify_blocks(large: DataFrame, classes: DataFrame, docs: DataFrame, k: int,
     """Links across components inside large buckets (``key, set_id, component``)."""
     per = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    place = classes.select("set_id", "doc", "keys", "n_shingles")
+    place = classes.select("set_id", "doc", "h", "keys", "n_shingles")
     rows = large.select("key", "set_id", "component").join(main, "key").join(place, "set_id")
     stray = rows.where("component != main")
     blocks = stray.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
@@ -239,9 +239,9 @@ def verify_blocks(large: DataFrame, classes: DataFrame, docs: DataFrame, k: int,
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     held = (stray.join(blocks, "key").withColumn("block", part("blocks", 1)).withColumn("slice", every("slices")).withColumn("role", F.lit(0)))
     passing = (rows.join(blocks, "key").withColumn("block", every("blocks")).withColumn("slice", part("slices", 2)).withColumn("role", F.lit(1)))
-    texts = docs.select(long_key(F.col("doc_id")).alias("doc"), F.col("text").cast("string").alias("text"))
-    wanted = held.unionByName(passing).select("key", "block", "slice", "role", "set_id", "component", "main", "doc", "keys")
-    rows = (wanted.join(texts, "doc").select("text", "key", "block", "slice", "role", "set_id", "component", "main", "keys")
+    texts = docs.select(long_key(F.col("doc_id")).alias("doc"), text_hash().alias("h"), F.col("text").cast("string").alias("text"))
+    wanted = held.unionByName(passing).select("key", "block", "slice", "role", "set_id", "component", "main", "doc", "h", "keys")
+    rows = (wanted.join(texts, ["doc", "h"]).select("text", "key", "block", "slice", "role", "set_id", "component", "main", "keys")
             .repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "role"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,8 +275,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BAN
     sig = stored(describe(docs, k, bands, rows), "sets")
     full = sig.where(F.col("keys").isNotNull())
     classes = stored(full.groupBy("set_id").agg(
-        F.min(long_key(F.col("doc_id"))).alias("doc"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"),
-        F.max("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "classes")
+        F.min(F.struct(long_key(F.col("doc_id")).alias("doc"), "h")).alias("at"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"),
+        F.max("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")).select("*", "at.doc", "at.h").drop("at"), "classes")
     buckets = classes.select("set_id", F.explode("keys").alias("key"))
     starred = stored(stars(buckets), "buckets")
     edges = stored(verify(starred.where("set_id != centre").select(F.col("centre").alias("a"), F.col("set_id").alias("b")),
@@ -312,7 +312,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, **how) -> DataFr
     key = F.struct(F.col("doc_id").isNull().alias("nameless"), long_key(F.col("doc_id")).alias("doc"), F.col("h"))
     best = found.where("group IS NOT NULL").groupBy("group").agg(F.min(key).alias("w")).select("w.doc", "w.h", F.lit(False).alias("all"))
     empty = found.where("group IS NULL").select(long_key(F.col("doc_id")).alias("doc"), "h", F.lit(True).alias("all")).distinct()
-    keep = best.unionByName(empty).withColumnsRenamed({"doc": "__doc", "h": "__h", "all": "__all"})
-    j = docs.withColumn("__doc", long_key(F.col("doc_id"))).withColumn("__h", text_hash()).join(keep, ["__doc", "__h"])
-    w = Window.partitionBy("__doc", "__h").orderBy("__all")
-    return j.withColumn("__no", F.row_number().over(w)).where("__all OR __no = 1").select(*docs.columns)
+    doc, h, all_, no = free(docs, "doc", "h", "all", "no")
+    keep = best.unionByName(empty).withColumnsRenamed({"doc": doc, "h": h, "all": all_})
+    j = docs.withColumn(doc, long_key(F.col("doc_id"))).withColumn(h, text_hash()).join(keep, [doc, h])
+    w = Window.partitionBy(doc, h).orderBy(all_)
+    return j.withColumn(no, F.row_number().over(w)).where(F.col(all_) | (F.col(no) == 1)).select(*docs.columns)

@@ -42,8 +42,7 @@ FROM embeddings t JOIN comp ON comp.id = t.vec_id"""
 
 OP7_SQL = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[ 	-
-]+'), lambda x: x <> '') AS w FROM documents),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
 z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
