@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import long_key, stored
+from tessel.llm.common import free, long_key, stored
 from tessel.plans.rank import bucketed_rank
 
 LEVELS = ("domain", "lang", "source")
@@ -69,15 +69,17 @@ def deal(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     d = children.withColumn("ratio", F.when(F.col("weight") > 0, F.col("cap").cast("double") / F.col("weight")).otherwise(F.lit(1e300)))
     d = (d.withColumn("rest", F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
          .withColumn("weights", F.sum("weight").over(after)).withColumn("no", F.row_number().over(w)))
-    fills = F.col("cap") * F.col("weights") <= F.col("weight") * F.col("rest")
+    # products in 38 digits: capacities and weights may both be large
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    fills = big("cap") * big("weights") <= big("weight") * big("rest")
     all_ = Window.partitionBy(*parent)
     d = d.withColumn("open_no", F.coalesce(F.min(F.when(~fills, F.col("no"))).over(all_), F.lit(1 << 62)))
     d = (d.withColumn("r", F.max(F.when(F.col("no") == F.col("open_no"), F.col("rest"))).over(all_))
          .withColumn("s", F.max(F.when(F.col("no") == F.col("open_no"), F.col("weights"))).over(all_)))
     open_ = (F.col("no") >= F.col("open_no")) & (F.col("weight") > 0)
-    product = F.col("weight") * F.col("r")
-    d = d.withColumn("share", F.when(F.col("no") < F.col("open_no"), F.col("cap")).when(open_, F.least(F.col("cap"), F.expr("(weight * r) div s"))).otherwise(0))
-    d = d.withColumn("over", F.when(open_ & (F.col("share") < F.col("cap")), product % F.col("s")).otherwise(-1))
+    product = big("weight") * big("r")
+    d = d.withColumn("share", F.when(F.col("no") < F.col("open_no"), F.col("cap")).when(open_, F.least(F.col("cap"), F.call_function("div", product, big("s")))).otherwise(0))
+    d = d.withColumn("over", F.when(open_ & (F.col("share") < F.col("cap")), product % big("s")).otherwise(F.lit(-1).cast("decimal(19,0)")))
     d = d.withColumn("left", F.col("budget") - F.sum("share").over(all_))
     d = d.withColumn("turn", F.row_number().over(Window.partitionBy(*parent).orderBy(F.desc("over"), name)))
     return d.withColumn("share", F.col("share") + F.when((F.col("over") >= 0) & (F.col("turn") <= F.col("left")), 1).otherwise(0)).drop(
@@ -126,14 +128,15 @@ def decide(docs: DataFrame, domain: Column | None = None, budget_percent: int =
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """``docs`` as the mix has them: a document taken in n epochs is n rows."""
+    doc, h, copies, epoch, *leaf = free(docs, "doc", "h", "copies", "epoch", *(f"of_{c}" for c in LEVELS))
     chosen = stored(decide(docs, **how).where("copies > 0").select(
-        "doc", "h", *[F.col(c).alias(f"__{c}") for c in LEVELS], "copies").withColumnsRenamed({"doc": "__doc", "h": "__h", "copies": "__copies"}), "chosen")
-    key = [long_key(F.col("doc_id")).alias("__doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit("\x00"))).alias("__h")]
+        F.col("doc").alias(doc), F.col("h").alias(h), *[F.col(c).alias(n) for c, n in zip(LEVELS, leaf)], F.col("copies").alias(copies)), "chosen")
     domain = how.get("domain")
     domain = by_source() if domain is None else domain
-    leaf = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(f"__{n}") for n, c in zip(LEVELS, (domain, F.col("lang"), F.col("source")))]
-    j = docs.select("*", *key, *leaf).join(chosen, ["__doc", "__h", *[f"__{c}" for c in LEVELS]])
-    return j.withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(*docs.columns)
+    key = [long_key(F.col("doc_id")).alias(doc), F.xxhash64(F.coalesce(F.col("text"), F.lit("\x00"))).alias(h)]
+    key += [F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in zip(leaf, (domain, F.col("lang"), F.col("source")))]
+    j = docs.select("*", *key).join(chosen, [doc, h, *leaf])
+    return j.withColumn(epoch, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies)))).select(*docs.columns)
 
 
 def _level_sql(name: str, parent: str, over: str, keys: list[str], level: str, weight: str) -> str:
