@@ -110,20 +110,13 @@ def cleaning_report(df: DataFrame, min_len: int = 400, id_col: str = "doc_id",
     return out.drop("__short", "__dup", "__nd")
 
 
-def near_dup_losers(live: DataFrame, min_docs: int = 5, threshold: float = 0.9, bands: int = 16, rows: int = 4,
+def near_dup_losers(live: DataFrame, min_docs: int = 500, min_len: int = 800, threshold: float = 0.9, bands: int = 16, rows: int = 4,
                     id_col: str = "doc_id", domain_col: str = "domain", text_col: str = "text_norm") -> DataFrame:
-    """Ids of near-duplicates to drop within each domain of at least ``min_docs`` documents: all of a
-    cluster but the longest text (then most chars, then first position)."""
-    from tessel.operators import minhash as MH
-    big = live.where(F.col(domain_col) != "").groupBy(domain_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= int(min_docs)).select(domain_col)
-    d = live.join(big, domain_col, "left_semi")
-    sigs = materialize(MH.signatures(d, id_col, text_col, domain_col))
-    edges = MH.lsh_pairs(sigs, bands, rows, threshold).select("id_a", "id_b").unionByName(MH.copy_edges(sigs))
-    comp = MH.connected_components(sigs.select("id"), edges)
-    r = comp.join(d.select(F.col(id_col).alias("id"), "text_len", "chars", "pos"), "id")
-    order = F.struct((-F.col("text_len")).alias("l"), (-F.col("chars")).alias("c"), "pos", "id")
-    best = r.groupBy("comp").agg(F.min(order).alias("w")).select(F.col("w.id").alias("id"))
-    return r.join(best, "id", "left_anti").select("id")
+    """Ids of near-duplicates to drop within each domain of at least ``min_docs`` documents, among texts of ``min_len``
+    characters or more: of each greedy cluster all but the longest text (then most chars, then first position)."""
+    from tessel.operators.greedy import greedy_clusters
+    found = greedy_clusters(live, min_docs, min_len, threshold, bands, rows, id_col, domain_col, text_col)
+    return found.where("NOT kept").select("id")
 
 
 def write_id_lists(report: DataFrame, path: str, id_col: str = "doc_id") -> tuple[str, str]:
