@@ -45,6 +45,17 @@ def q_shard_totals(spark, sf):
     return q_shard_export(spark, sf).agg(F.sum("n_rows").alias("n_rows"), (F.max("n_rows") <= 50).alias("within_size"))
 
 
+@query("shard_export_exact", f"""WITH {PREP}, n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM v WHERE split = 'train')
+SELECT printf('train_%03d', k // 50) AS shard, count(*) AS n_rows, min(id) AS first_id, max(id) AS last_id, 1::BIGINT AS n_files FROM n GROUP BY 1""")
+def q_shard_export_exact(spark, sf):
+    """Numbered shards of exactly 50 rows, read back."""
+    v = prepare(spark, sf).where("split = 'train'")
+    path = TSV.write_exact_shards(v, _scratch(spark, "shards-exact"), 50, "id", ["id"])
+    back = spark.read.parquet(path).select("shard", "id", F.col("_metadata.file_name").alias("f"))
+    return back.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+                                     F.count_distinct("f").alias("n_files")).withColumn("shard", F.col("shard").cast("string"))
+
+
 @query("tei_text_len_filter", f"""SELECT 'd' || doc_id AS id, CAST(length(replace({_CLEAN}, chr(10), '')) AS BIGINT) AS head_p_len
 FROM documents WHERE length(replace({_CLEAN}, chr(10), '')) >= 300""")
 def q_tei_len_filter(spark, sf):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessel.plans import sql as Q
 from tessel.plans.prepare import PrepareParams, prepare, prepare_frame
+from tessel.plans.rank import first_n
 from tessel.plans.registry import query
 from tessel.session import scratch_path
 from tessel.sources import tei as TEI
@@ -104,3 +105,38 @@ def q_write_view(spark, sf):
         .write.mode("overwrite").partitionBy("split").parquet(path)
     back = spark.read.parquet(path)
     return back.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def _nameless_corpora(spark, sf):
+    """The two corpora in the order of their ids over several files each; every third of the documents has no id."""
+    d = read_table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    c = read_table(spark, sf, "conversations").select("conv_id", "turn", "text", F.lit("xx").alias("lang"), F.col("role").alias("source"))
+    c = c.withColumn("cid", F.concat_ws("_", "conv_id", "turn"))
+    out = []
+    for df, order, ident, name in ((d, ["doc_id"], "doc_id", "documents"), (c, ["conv_id", "turn"], "cid", "conversations")):
+        df = df.sort(*order)  # a range-partitioned sort: file after file in order
+        rec = TEI.tei_records(df, ident, "text", "lang", "source")
+        if name == "documents":
+            key = F.regexp_extract("value", '^<TEI xml:id="d([0-9]+)"', 1).cast("bigint")
+            rec = rec.select(F.when(key % 3 == 0, F.regexp_replace("value", '^<TEI xml:id="[^"]*"', "<TEI")).otherwise(F.col("value")).alias("value"))
+        out.append((TEI.write_tei(rec, _scratch(spark, f"tei-order-{name}")), name, None))
+    return out
+
+
+_ORDER_SQL = f"""o AS (SELECT 'documents' AS corpus_id, CASE WHEN doc_id % 3 <> 0 THEN 'd' || doc_id END AS id, {BODY} AS body, row_number() OVER (ORDER BY doc_id) AS ordinal FROM documents
+  UNION ALL SELECT 'conversations', 'd' || conv_id || '_' || turn, {BODY}, (SELECT count(*) FROM documents) + row_number() OVER (ORDER BY conv_id, turn) FROM conversations),
+n AS (SELECT corpus_id, coalesce(id, 'doc_' || ordinal) AS id, ordinal, body FROM o)"""
+
+
+@query("tei_ordinals", f"WITH {_ORDER_SQL} SELECT corpus_id, id, ordinal, md5(body) AS text_md5 FROM n")
+def q_tei_ordinals(spark, sf):
+    """The running index of documents through two corpora, and the names it gives to documents without an id."""
+    s = TEI.scan_in_order(spark, _nameless_corpora(spark, sf))
+    return s.select("corpus_id", "id", "ordinal", F.md5("text").alias("text_md5"))
+
+
+@query("max_docs_file_order", f"WITH {_ORDER_SQL} SELECT id, ordinal FROM n WHERE length(body) >= 200 ORDER BY ordinal LIMIT 700")
+def q_max_docs_file_order(spark, sf):
+    """The first 700 documents of 200 characters or more, in file order through both corpora."""
+    s = TEI.scan_in_order(spark, _nameless_corpora(spark, sf)).where(F.length("text") >= 200)
+    return first_n(s.select("ordinal", "id"), 700, ["ordinal"], "ordinal").select("id", "ordinal")

@@ -16,11 +16,14 @@ so a group holding a third of the rows is spread over ``16^k`` keys.
 
 from __future__ import annotations
 
+import uuid
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.session import scratch_path
+
 
 def bucketed_rank(df: DataFrame, group_cols: Sequence[str], order_col: str,
                   tie_col: str, rank_col: str = "rank", n_col: str | None = "n",
@@ -86,3 +89,26 @@ def top_k(df: DataFrame, value_col: str, tie_col: str, k: int) -> DataFrame:
     ties = df.where(F.col(value_col) == cv).withColumn("__tk", F.col(tie_col).cast("string"))
     ranked = bucketed_rank(ties, [], "__tk", tie_col, rank_col="__r", n_col=None)
     return above.unionByName(ranked.where(F.col("__r") <= need).drop("__r", "__tk"))
+
+
+def row_numbers(df: DataFrame, order: Sequence, number_col: str = "row_no") -> DataFrame:
+    """``df`` with ``number_col``: 0, 1, 2, ... in ``order`` (which should tell all rows apart).
+
+    One range-partitioned sort, written once; rows are numbered within their partition and
+    only the partitions' sizes (one row each) are added up. Give key columns only: texts
+    have no place in the sort."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"numbered-{uuid.uuid4().hex[:12]}")
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    df.sort(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", at).write.parquet(path)
+    s = spark.read.parquet(path)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = s.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    j = s.join(F.broadcast(sizes.select("__part", "__before")), "__part")  # one row per partition
+    return j.withColumn(number_col, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+
+
+def first_n(df: DataFrame, n: int, order: Sequence[str], key: str) -> DataFrame:
+    """Exactly the first ``n`` rows in ``order``, of any size: a sort of the small columns and a semi join on the unique ``key``."""
+    rows = row_numbers(df.select(key, *[c for c in order if c != key]), list(order))
+    return df.join(rows.where(F.col("row_no") < int(n)).select(key), key, "left_semi")

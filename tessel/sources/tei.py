@@ -17,11 +17,13 @@ import xml.etree.ElementTree as ET
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, MapType, StringType,
                                StructField, StructType)
 
+from tessel.session import materialize
+
 XML_ID = "{http://www.w3.org/XML/1998/namespace}id"
 PARSED = StructType([
     StructField("id", StringType()), StructField("terms", MapType(StringType(), ArrayType(StringType()))),
@@ -113,24 +115,59 @@ def close_tag(spark: SparkSession, path: str) -> str:
     return f"</{first['p'] if first else ''}TEI>"
 
 
+def _records(spark: SparkSession, path: str, end: str) -> DataFrame:
+    """``value`` (all up to an end tag), the split it was read in (``file, start``) and its place in the scan (``at``)."""
+    return spark.read.text(path, lineSep=end).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+
+
 def scan_tei(spark: SparkSession, path: str, corpus_id: str | None = None,
-             default_modality: str | None = None, with_record: bool = False) -> DataFrame:
+             default_modality: str | None = None, with_record: bool = False, ordinals: DataFrame | None = None) -> DataFrame:
     """One row per ``<TEI>`` document: ``id, text, modality, url, md5_text,
     chars, langs, terms, corpus_id, _corrupt`` (and the document's own XML as ``record``).
     Modality = ``modality`` term, else the corpus default, else ``unknown``. A document without an id
-    is named by its file and place in the scan, so equal ones stay apart."""
+    is named by its file and place in the scan, so equal ones stay apart; given ``ordinals`` (of ``scan_in_order``), by its number, which becomes a column too."""
     end = close_tag(spark, path)
-    raw = spark.read.text(path, lineSep=end).select(
-        "value", F.concat(F.lit("doc_"), F.substring(F.md5("_metadata.file_path"), 1, 8), F.lit("_"), F.monotonically_increasing_id().cast("string")).alias("place"))
+    raw = _records(spark, path, end)
+    if ordinals is None:
+        place = F.concat(F.lit("doc_"), F.substring(F.md5("file"), 1, 8), F.lit("_"), F.col("at").cast("string"))
+        raw = raw.select("value", place.alias("place"), F.lit(None).cast("bigint").alias("ordinal"))
+    else:  # one row per split
+        raw = raw.join(F.broadcast(ordinals), ["file", "start"]).withColumn("ordinal", F.col("before") + F.col("at") - F.col("first") + 1)
+        raw = raw.select("value", F.concat(F.lit("doc_"), F.col("ordinal").cast("string")).alias("place"), "ordinal")
     # records without a <TEI> start (wrapper tail) parse to an all-null struct
-    p = raw.select("value", "place", parse_tei("value").alias("d")).where(F.col("d._corrupt").isNotNull()).select("value", "place", "d.*")
+    p = raw.select("value", "place", "ordinal", parse_tei("value").alias("d")).where(F.col("d._corrupt").isNotNull()).select("value", "place", "ordinal", "d.*")
     first_term = lambda t: F.element_at(F.filter(F.col("terms")[t], lambda x: x != ""), 1)
     record = F.concat(F.regexp_extract("value", r"(?s)(<(?:[A-Za-z_][\w.-]*:)?TEI[\s>].*)", 1), F.lit(end))
     return p.select(
         F.when(~F.col("_corrupt"), F.coalesce("id", "place")).alias("id"), "text",
         F.coalesce(first_term("modality"), F.lit(default_modality).cast("string"), F.lit("unknown")).alias("modality"),
         "url", "md5_text", "chars", "langs", "terms", "head_p_len",
-        F.lit(corpus_id).cast("string").alias("corpus_id"), "_corrupt", *([record.alias("record")] if with_record else []))
+        F.lit(corpus_id).cast("string").alias("corpus_id"), "_corrupt", *([record.alias("record")] if with_record else []),
+        *(["ordinal"] if ordinals is not None else []))
+
+
+def scan_in_order(spark: SparkSession, corpora: list[tuple[str, str, str | None]]) -> DataFrame:
+    """Documents of several corpora (path, corpus id, default modality) with ``ordinal``: 1, 2, ... through all of them, corpora as
+    listed, files by path, documents as they stand. A document without an id is called ``doc_<ordinal>``.
+
+    A first pass counts the documents of each split without parsing them; the sums of the splits before give each split
+    its first number, whatever the splits' size. (A record is numbered by its place in its split: only what
+    follows a file's last document may be none.)"""
+    counts = None
+    for no, (path, _, _) in enumerate(corpora):
+        raw = _records(spark, path, close_tag(spark, path)).where(F.col("value").rlike(_START_RE.pattern))
+        c = raw.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("corpus", F.lit(no))
+        counts = c if counts is None else counts.unionByName(c)
+    # one row per split
+    earlier = Window.orderBy("corpus", "file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = materialize(counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
+    out = None
+    for no, (path, corpus_id, default) in enumerate(corpora):
+        mine = splits.where(F.col("corpus") == no).select("file", "start", "first", "before")
+        d = scan_tei(spark, path, corpus_id, default, ordinals=mine)
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 def export_kept(spark: SparkSession, path: str, keep_ids: DataFrame, out: str) -> str:

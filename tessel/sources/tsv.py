@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.plans.rank import row_numbers
+
 # The interchange file's format and column order.
 TSV_COLUMNS = ("id", "label", "label_raw", "modality")
 TSV_OPTIONS = {"sep": "\t", "header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
@@ -34,3 +36,15 @@ def write_shards(df: DataFrame, path: str, shard_size: int) -> str:
     """Parquet shards of at most ``shard_size`` rows each (``maxRecordsPerFile``)."""
     df.write.mode("overwrite").option("maxRecordsPerFile", int(shard_size)).parquet(path)
     return path
+
+
+def write_exact_shards(df: DataFrame, path: str, shard_size: int, key: str, order: list[str], prefix: str = "train") -> str:
+    """Parquet shards ``<prefix>_000``, ``_001``, ... of exactly ``shard_size`` rows (the last one may be shorter) in ``order``: one
+    file each, in a folder ``shard=<name>``. Rows are numbered on the small columns and meet their
+    shard by the unique ``key``; the write commits all shards or none."""
+    no = row_numbers(df.select(key, *[c for c in order if c != key]), list(order))
+    shard = F.floor(F.col("row_no") / int(shard_size)).cast("bigint")
+    name = F.concat(F.lit(f"{prefix}_"), F.when(shard < 1000, F.lpad(shard.cast("string"), 3, "0")).otherwise(shard.cast("string")))
+    rows = df.join(no.select(key, name.alias("shard"), "row_no"), key)
+    rows.repartition("shard").sortWithinPartitions("shard", "row_no").drop("row_no").write.mode("overwrite").partitionBy("shard").parquet(path)
+    return path
