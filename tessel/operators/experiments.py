@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tessel.functions.hashing import order_key
 from tessel.operators.metrics import report_from_confusion, summary_metrics
 from tessel.plans.rank import bucketed_rank
+from tessel.session import materialize
 
 MODELS = ("majority", "source_majority")
 
@@ -85,3 +86,21 @@ def merge_maps(*maps):
     for m in maps[1:]:
         out = F.map_zip_with(out, m, lambda k, v1, v2: F.coalesce(v2, v1))
     return out
+
+
+def flatten_json(df: DataFrame, json_col: str, keys: Sequence[str]) -> DataFrame:
+    """``keys..., key, value``: a row for each leaf of a JSON object, nested objects as dotted keys; other values (arrays, too) as text,
+    null as null. Empty objects and text that is no JSON object have no rows. One level of nesting a step, until no object is left."""
+    spark = df.sparkSession
+    todo = df.select(*keys, F.lit("").alias("__path"), F.try_parse_json(json_col).alias("__v"))
+    todo, out = todo.where(F.schema_of_variant("__v").startswith("OBJECT")), None
+    while True:
+        level = todo.lateralJoin(spark.tvf.variant_explode(F.col("__v").outer())).where("key IS NOT NULL").select(
+            *keys, F.concat("__path", F.col("key")).alias("key"), F.col("value").alias("__v"))
+        inner = F.schema_of_variant("__v").startswith("OBJECT")
+        level = materialize(level.withColumn("__inner", F.coalesce(inner, F.lit(False))))
+        leaves = level.where("NOT __inner").select(*keys, "key", F.col("__v").cast("string").alias("value"))
+        out = leaves if out is None else out.unionByName(leaves)
+        todo = level.where("__inner").select(*keys, F.concat("key", F.lit(".")).alias("__path"), "__v")
+        if not todo.limit(1).count():
+            return out

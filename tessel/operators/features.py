@@ -65,3 +65,17 @@ def tfidf_pipeline(df: DataFrame, id_col: str = "id", text_col: str = "text", mi
     n_docs = terms.select(F.count_distinct("id")).scalar()
     vocab = materialize(fit_vocabulary(terms, n_docs, min_df, max_features))
     return tfidf(terms, vocab, max_features), vocab
+
+
+def chi2_terms(vectors: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+    """``term, chi2``: each term's chi-square statistic against the label, from one aggregation of its weights by class;
+    the ``k`` best (ties by term), or all. ``labels`` has one row per ``id`` with a ``label``.
+
+    With observed class sums o and expected ones e = share of the class * sum of the term,
+    the sum of (o - e)^2 / e over all classes is the sum of o^2 / e less the term's sum."""
+    share = labels.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    share = share.join(F.broadcast(share.agg(F.sum("c").alias("n")))).select("label", (F.col("c") / F.col("n")).alias("p"))  # one row per class
+    seen = vectors.join(labels.select("id", "label"), "id").groupBy("term", "label").agg(F.sum("w").alias("o"))
+    x = seen.join(F.broadcast(share), "label").groupBy("term").agg(F.sum("o").alias("s"), F.sum(F.col("o") * F.col("o") / F.col("p")).alias("q"))
+    x = x.select("term", F.round(F.greatest(F.col("q") / F.col("s") - F.col("s"), F.lit(0.0)), 6).alias("chi2"))
+    return top_k(materialize(x), "chi2", "term", int(k)) if k else x

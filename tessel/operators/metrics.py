@@ -14,13 +14,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MISSING = "__missing__"
-NO_PRED = "__NO_PRED__"
+# Marks of a row without a label or a prediction.
+NO_LABEL, NO_PRED = "__NO_LABEL__", "__NO_PRED__"
+
+
+def argmax_label(scores, mark: str):
+    """The label of the highest score in a ``map<string,double>``, the first one in the map at ties; ``mark`` where there is
+    no map, no entry or no score."""
+    entries = F.filter(F.map_entries(scores), lambda e: e["value"].isNotNull() & ~F.isnan(e["value"]))
+    first = F.aggregate(entries, F.struct(F.lit(None).cast("string").alias("k"), F.lit(None).cast("double").alias("v")),
+                        lambda a, e: F.when(a["v"].isNull() | (e["value"] > a["v"]), F.struct(e["key"].alias("k"), e["value"].alias("v"))).otherwise(a))
+    return F.coalesce(first["k"], F.lit(mark))
 
 
 def confusion(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
               keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
-    return (df.select(*keys, F.col(y_true).cast("string").alias("y_true"),
+    return (df.select(*keys, F.coalesce(F.col(y_true).cast("string"), F.lit(NO_LABEL)).alias("y_true"),
                       F.coalesce(F.col(y_pred).cast("string"), F.lit(NO_PRED)).alias("y_pred"))
             .groupBy(*keys, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("cnt")))
 
@@ -100,7 +110,7 @@ def metrics_by_group(df: DataFrame, fields: Sequence[str], y_true: str = "y_true
     """
     fields = list(fields)
     d = df.select(*[F.coalesce(F.col(f).cast("string"), F.lit(MISSING)).alias(f) for f in fields],
-                  F.col(y_true).cast("string").alias("y_true"),
+                  F.coalesce(F.col(y_true).cast("string"), F.lit(NO_LABEL)).alias("y_true"),
                   F.coalesce(F.col(y_pred).cast("string"), F.lit(NO_PRED)).alias("y_pred"))
     g = d.groupingSets([[f, "y_true", "y_pred"] for f in fields], *fields, "y_true", "y_pred").agg(
         F.count(F.lit(1)).alias("cnt"), *[F.grouping(f).alias(f"__g{i}") for i, f in enumerate(fields)])

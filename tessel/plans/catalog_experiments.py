@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessel.operators import dedup as D
 from tessel.operators import experiments as X
-from tessel.operators.metrics import quality_flags
+from tessel.operators.metrics import NO_LABEL, NO_PRED, argmax_label, quality_flags
 from tessel.plans import sql as Q
 from tessel.plans.prepare import PrepareParams, filtered_docs
 from tessel.plans.registry import query
@@ -186,3 +186,38 @@ def q_metrics_tree(spark, sf):
     RF.write_table(RF.metrics_tree(spark, f"{root}/reports"), f"{root}/summary", RF.SUMMARY_COLUMNS, RF.DIMENSIONS)
     s = RF.read_table_tsv(spark, f"{root}/summary", RF.SUMMARY_COLUMNS)
     return s.select(*RF.SUMMARY_COLUMNS[:8], *[F.col(c).try_cast("double").alias(c) for c in _NUM])
+
+
+@query("metrics_flat", """WITH m AS (SELECT d.source, d.lang, count(*) AS n, sum(length(text)) AS chars, count(*) FILTER (l.quality = 1) AS good, count(*) FILTER (l.quality = 0) AS bad
+  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id) GROUP BY d.source, d.lang)
+SELECT source, lang, k AS key, v AS value FROM (SELECT source, lang, unnest(['n', 'report.length.sum', 'report.labels.good', 'report.labels.bad', 'report.tags', 'name.first']) AS k,
+  unnest([n::VARCHAR, chars::VARCHAR, good::VARCHAR, bad::VARCHAR, '["' || lang || '",1]', source]) AS v FROM m)""")
+def q_metrics_flat(spark, sf):
+    """Nested metrics files, one per source and language, written by Spark into a tree of folders, scanned and flattened to dotted keys."""
+    quality = read_table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    d = read_table(spark, sf, "documents").select("doc_id", "source", "lang", F.length("text").alias("chars")).join(quality, "doc_id", "left")
+    m = d.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.count(F.when(F.col("quality") == 1, 1)).alias("good"),
+                                        F.count(F.when(F.col("quality") == 0, 1)).alias("bad"))
+    nested = F.struct("n", F.struct(F.struct(F.col("chars").alias("sum")).alias("length"), F.struct("good", "bad").alias("labels")).alias("report"),
+                      F.struct(F.col("source").alias("first")).alias("name"))
+    # an array of mixed types has no Spark type: its JSON is put together as text
+    text = F.regexp_replace(F.to_json(nested), '"labels":', F.concat(F.lit('"tags":["'), "lang", F.lit('",1],"labels":')))
+    path = scratch_path(spark, RF.fresh("metrics-tree"))
+    m.select("source", "lang", text.alias("value")).repartition("source", "lang").write.partitionBy("source", "lang").text(path)
+    files = spark.read.option("wholetext", True).text(path)
+    return X.flatten_json(files, "value", ["source", "lang"])
+
+
+@query("label_marks", """WITH l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id)
+SELECT d.doc_id AS id, CASE WHEN q IS NULL THEN '__NO_LABEL__' WHEN q = 1 THEN 'good' ELSE 'bad' END AS y_true,
+  CASE WHEN t IS NULL THEN '__NO_PRED__' WHEN t = 1 THEN 'toxic' ELSE 'clean' END AS y_pred FROM documents d LEFT JOIN l USING (doc_id)""")
+def q_label_marks(spark, sf):
+    """Class scores to labels by argmax, with the marks of documents that have none."""
+    lab = read_table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    d = read_table(spark, sf, "documents").select("doc_id").join(lab, "doc_id", "left")
+
+    def scores(c, yes, no):
+        s = F.col(c).cast("double")
+        return F.when(s.isNotNull(), F.create_map(F.lit(no), 1 - s, F.lit(yes), s)).otherwise(F.create_map().cast("map<string,double>"))
+    return d.select(F.col("doc_id").alias("id"), argmax_label(scores("q", "good", "bad"), NO_LABEL).alias("y_true"),
+                    argmax_label(scores("t", "toxic", "clean"), NO_PRED).alias("y_pred"))
