@@ -10,18 +10,28 @@ Features: lower-cased word tokens (>= 2 chars) + bigrams -> CountVectorizer
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassificationModel, DecisionTreeClassifier, LinearSVC, LinearSVCModel,
+                                       LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel,
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, HashingTF, IndexToString, NGram, Normalizer,
-                                RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler)
+                                RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer)
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.operators import perceptron
 from tessel.operators.balance import class_weights
 from tessel.operators.metrics import classification_report
+from tessel.session import scratch_path
 
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -45,6 +55,11 @@ def fit_tfidf(train: DataFrame, min_df: int = 5, vocab_size: int = 50000, bigram
     return PipelineModel(stages=[*counts.stages, scale, Normalizer(inputCol="__tfidf", outputCol="features", p=2.0)])
 
 
+#: Trees read so many terms, those of the highest chi-square.
+TREE_TERMS = 1000
+TREES = ("dtree", "rforest")
+
+
 def estimator(kind: str, C: float = 1.0, n_train: int = 1000):
     kind = kind.lower()
     if kind == "svm_linear":
@@ -59,30 +74,136 @@ def estimator(kind: str, C: float = 1.0, n_train: int = 1000):
     raise ValueError(f"unknown estimator {kind!r}")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared scratch folder: texts are tokenised once for it, and every later pass reads numbers."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+class TextModel:
+    """A fitted classifier with its feature fit and label index; ``save`` and ``load`` go through the shared folder."""
+
+    def __init__(self, counts: PipelineModel, weigh: PipelineModel, model, labels: list[str]):
+        self.counts, self.weigh, self.model, self.labels = counts, weigh, model, labels
+
+    def scores(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """``keep`` columns, ``scores`` (label to score) and ``y_pred`` of every row with a ``text``."""
+        tf = self.counts.transform(df).select(*keep, "__tf")
+        return self.scores_of_counts(tf, keep)
+
+    def scores_of_counts(self, tf: DataFrame, keep: list[str]) -> DataFrame:
+        pred = self.model.transform(self.weigh.transform(tf))
+        raw = vector_to_array("probability" if "probability" in pred.columns else "rawPrediction")
+        names = F.array(*[F.lit(x) for x in self.labels])
+        back = F.element_at(names, F.col("prediction").cast("int") + 1)
+        return pred.select(*keep, F.map_from_arrays(F.slice(names, 1, F.size(raw)), raw).alias("scores"), back.alias("y_pred"))
+
+    def save(self, path: str) -> str:
+        spark = SparkSession.active()
+        for name, part in (("counts", self.counts), ("weigh", self.weigh), ("model", self.model)):
+            part.write().overwrite().save(f"{path}/{name}")
+        spark.createDataFrame(list(enumerate(self.labels)), "id int, label string").coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+        return path
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TextModel:
+        kind = DefaultParamsReader.loadMetadata(f"{path}/model", spark)["class"].rsplit(".", 1)[-1]
+        reader = {"LinearSVCModel": LinearSVCModel, "LogisticRegressionModel": LogisticRegressionModel, "OneVsRestModel": OneVsRestModel,
+                  "DecisionTreeClassificationModel": DecisionTreeClassificationModel, "RandomForestClassificationModel": RandomForestClassificationModel}
+        labels = [r.label for r in spark.read.parquet(f"{path}/labels").orderBy("id").collect()]  # one row per class
+        return cls(PipelineModel.load(f"{path}/counts"), PipelineModel.load(f"{path}/weigh"), reader[kind].load(f"{path}/model"), labels)
+
+
+def best_terms(rows: DataFrame, k: int, size: int) -> list[int]:
+    """Positions of the ``k`` features of the highest chi-square against ``__y``, ascending: one sum of vectors per class
+    (``size`` numbers each, bounded by the vocabulary)."""
+    per = rows.groupBy("__y").agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("features")).alias("o")).collect()
+    total = sum(r["n"] for r in per)
+    o = np.array([r["o"].toArray() for r in per]).reshape(len(per), size)
+    e = np.outer([r["n"] / total for r in per], o.sum(0))
+    chi2 = np.where(e > 0, (o - e) ** 2 / np.where(e > 0, e, 1), 0).sum(0)
+    return sorted(np.lexsort((np.arange(size), -np.round(chi2, 9)))[:k].tolist())
+
+
+class Training:
+    """Feature fit, label index and the written training rows (``id, label, __y, __w, features``) of one view."""
+
+    def __init__(self, counts, weigh, labels, rows, also, size):
+        self.counts, self.weigh, self.labels, self.rows, self.also, self.size = counts, weigh, labels, rows, also, size
+
+
+def training(train: DataFrame, min_df: int = 5, vocab_size: int = 50000, use_class_weights: bool = True, select_terms: int | None = None,
+             also: DataFrame | None = None) -> Training:
+    """Two passes read texts: the vocabulary's, and one that writes the counts of ``train`` (id, text, label) and of
+    ``also`` (id, text, label: rows to predict); everything else reads that table. ``select_terms``: only the terms of the highest chi-square."""
+    counts = Pipeline(stages=tfidf_stages(min_df, vocab_size)).fit(train)
+    both = train.select("id", "text", "label", F.lit("train").alias("__part"))
+    if also is not None:
+        both = both.unionByName(also.select("id", "text", "label", F.lit("also").alias("__part")))
+    table = written(counts.transform(both).select("id", "label", "__part", "__tf"), "counts")
+    rows = table.where("__part = 'train'")
+    idf = IDF(inputCol="__tf", outputCol="__tfidf").fit(rows)
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="__tf", outputCol="__tfidf")
+    weigh = [scale, Normalizer(inputCol="__tfidf", outputCol="features", p=2.0)]
+    # the label index is fitted on train only; evaluation rows keep their raw label
+    idx = StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc").fit(rows)
+    rows = idx.transform(PipelineModel(stages=weigh).transform(rows))
+    if use_class_weights:
+        w = class_weights(rows.select("label")).select(F.col("label").alias("__lw"), F.col("weight").alias("__w"))
+        rows = rows.join(F.broadcast(w), rows["label"] == w["__lw"]).drop("__lw")  # one row per class
+    else:
+        rows = rows.withColumn("__w", F.lit(1.0))
+    size = len(counts.stages[-1].vocabulary)
+    if select_terms and size > select_terms:
+        weigh[-1].setOutputCol("__all")
+        weigh.append(VectorSlicer(inputCol="__all", outputCol="features", indices=best_terms(rows, select_terms, size)))
+        rows, size = weigh[-1].transform(rows.withColumnRenamed("features", "__all")), select_terms
+    rows = written(rows.select("id", "label", "__y", "__w", "features"), "features")
+    return Training(counts, PipelineModel(stages=weigh), idx.labels, rows, table.where("__part = 'also'").drop("__part") if also is not None else None, size)
+
+
+def fit_text_model(train: DataFrame, kind: str, min_df: int = 5, vocab_size: int = 50000, use_class_weights: bool = True, C: float = 1.0,
+                   tree_terms: int = TREE_TERMS, also: DataFrame | None = None) -> tuple[TextModel, DataFrame | None]:
+    """Fit on ``train`` (id, text, label); returns the model and the counts of ``also``."""
+    t = training(train, min_df, vocab_size, use_class_weights, tree_terms if kind in TREES else None, also)
+    est = estimator(kind, C, t.rows.count())
+    if kind == "svm_linear" and len(t.labels) > 2:
+        est = OneVsRest(classifier=est, labelCol="__y", weightCol="__w")
+    return TextModel(t.counts, t.weigh, est.fit(t.rows), t.labels), t.also
+
+
+def sparse(df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns and the ``features`` vector as ``at`` (positions) and ``x`` (values)."""
+    kinds = ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep), "at array<int>", "x array<double>"])
+
+    def run(batches):
+        for b in batches:
+            f = b.column(len(keep))
+            at, x = f.field("indices").to_pylist(), f.field("values").to_pylist()
+            at = [list(range(len(v))) if i is None else i for i, v in zip(at, x)]  # a dense vector names no positions
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))],
+                                             names=[*keep, "at", "x"])
+
+    return df.select(*keep, "features").mapInArrow(run, kinds)
+
+
+def perceptron_predict(view: DataFrame, min_df: int = 5, vocab_size: int = 50000, max_iter: int = 50, tol: float = 1e-3) -> DataFrame:
+    """``id, y_true, y_pred`` of the job split by an averaged perceptron on the TF-IDF features of the train split, class-weighted."""
+    t = training(view.where("split = 'train'"), min_df, vocab_size, also=view.where("split = 'job'"))
+    rows = written(sparse(t.rows.select(F.col("__y").cast("int").alias("y"), F.col("__w").alias("w"), "features"), ["y", "w"]), "sparse")
+    weights, _ = perceptron.fit(rows, len(t.labels), t.size, max_iter, tol)
+    test = sparse(t.weigh.transform(t.also), ["id", "label"])
+    return perceptron.predict(test, weights, t.labels, ["id", "label"]).select("id", F.col("label").alias("y_true"), "y_pred")
+
+
 def fit_predict(view: DataFrame, kind: str, min_df: int = 5, vocab_size: int = 50000,
                 use_class_weights: bool = True, C: float = 1.0, eval_df: DataFrame | None = None) -> DataFrame:
     """Train on ``split='train'`` rows, predict ``eval_df`` (default: the job
     split of ``view``). Returns ``(id, y_true, y_pred)``."""
-    train = view.where(F.col("split") == "train")
     test = eval_df if eval_df is not None else view.where(F.col("split") == "job")
-    if use_class_weights:
-        w = class_weights(train).select(F.col("label").alias("__lw"), F.col("weight").alias("__w"))
-        train = train.join(w, train["label"] == w["__lw"]).drop("__lw")  # one row per class; AQE decides
-    else:
-        train = train.withColumn("__w", F.lit(1.0))
-    # the label index is fitted on train only; evaluation rows keep their raw label
-    idx = StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc").fit(train)
-    labels = idx.labels
-    train = idx.transform(train)
-    n_train = train.count()
-    est = estimator(kind, C, n_train)
-    if kind == "svm_linear" and len(labels) > 2:
-        est = OneVsRest(classifier=est, labelCol="__y", weightCol="__w")
-    features = fit_tfidf(train, min_df, vocab_size)
-    model = est.fit(features.transform(train))
-    back = IndexToString(inputCol="prediction", outputCol="y_pred", labels=labels)
-    pred = back.transform(model.transform(features.transform(test)))
-    return pred.select("id", F.col("label").alias("y_true"), "y_pred")
+    model, counts = fit_text_model(view.where(F.col("split") == "train"), kind, min_df, vocab_size, use_class_weights, C, also=test)
+    return model.scores_of_counts(counts, ["id", "label"]).select("id", F.col("label").alias("y_true"), "y_pred")
 
 
 def bow_predict(view: DataFrame, label_col: str = "label", num_features: int = 1 << 18) -> DataFrame:
