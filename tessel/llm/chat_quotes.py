@@ -9,18 +9,18 @@ as its own, level 0 text). The lowest level with such a link decides: the messag
 characters of that level is the parent (ties: the later one). A message without any link replies to the one before it.
 
 Reply order: a linked message, and what follows it without a link of its own, stands right
-after the message it quotes. ``reply_path`` is the key of that order: the
-first turn, then (quoted turn, replying turn) for each link on the way, then the turn itself;
-sorting by (conv_id, reply_path) gives the conversations, and a message always comes after its parent.
+after the message it quotes (several such by turn), before the message that followed there. ``position`` is a
+message's place in that order, from 0: the preorder of the tree of parents, found as the ranks of its Euler tour by pointer jumping;
+sorting by (conv_id, position) gives the conversations, and a message always comes after its parent.
 ``text`` has no quoted lines and no "On ... wrote:" line before them.
 
 Distribution: every "latest earlier turn" is found within ranges of ``RANGE``
 turns, with the last turn of earlier ranges carried over, so that a conversation that
-holds a third of all rows is many small groups. Paths along chains of links
-are joined by doubling. The final order is a range-partitioned sort.
+holds a third of all rows is many small groups. The tour of a conversation of n messages takes about log2(2n)
+joins of one row per element by unique pointers, however long a chain of replies is; conversations without links need none.
 
 Defined results: null text stays null; an empty text stays empty; a text without quoted lines
-stays as it is. Rows with a null conv_id or turn keep their cleaned text and have no parent or path. Rows
+stays as it is. Rows with a null conv_id or turn keep their cleaned text and have no parent or position. Rows
 of the same conv_id and turn are one turn for links, and all of them are returned. Extra columns are
 ignored. Quoted lines without an original are dropped from the text like others.
 """
@@ -99,7 +99,7 @@ def parents(messages: DataFrame) -> DataFrame:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, text, parent_turn, quotes, reply_path`` per message, in reply order."""
+    """``conv_id, turn, role, text, parent_turn, quotes, position`` per message, in reply order."""
     messages = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
                                     F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
@@ -107,29 +107,55 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     turns = stored(known.select("conv_id", "turn").distinct(), "turns")
     turns = latest_before(turns, turns, ["conv_id"], "turn", "turn", "before").join(links, ["conv_id", "turn"], "left")
     turns = stored(turns.withColumn("parent_turn", F.coalesce("linked", "before")), "turns")
-    # a branch runs from its head (a first turn or a linked one) to the turn before the next head
-    heads = turns.where("linked IS NOT NULL OR before IS NULL").select("conv_id", F.col("turn").alias("head"), "linked")
-
-    def branch_of(df: DataFrame, at: str, out: str) -> DataFrame:
-        q = df.withColumn("__after", F.col(at) + 1)
-        return latest_before(q, heads, ["conv_id"], "__after", "head", out).drop("__after")
-
-    turns = stored(branch_of(turns, "turn", "head"), "turns")
-    roots = heads.where("linked IS NULL").select("conv_id", "head", F.lit(None).cast("bigint").alias("up"), F.array("head").alias("path"))
-    replies = branch_of(heads.where("linked IS NOT NULL"), "linked", "up").select("conv_id", "head", "up", F.array("linked", "head").alias("path"))
-    paths = stored(roots.unionByName(replies), "paths")
-    while count_rows(paths.where("up IS NOT NULL")):
-        above = paths.select("conv_id", F.col("head").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        paths = stored(paths.join(above, ["conv_id", "up"], "left").select(
-            "conv_id", "head", F.col("up2").alias("up"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path")), "paths")
-    info = turns.join(paths, ["conv_id", "head"]).select(
-        "conv_id", "turn", "parent_turn", F.col("linked").isNotNull().alias("quotes"), F.concat("path", F.array("turn")).alias("reply_path"))
+    threaded = stored(turns.join(links.select("conv_id").distinct(), "conv_id", "left_semi"), "threaded")
+    plain = turns.join(links.select("conv_id").distinct(), "conv_id", "left_anti")
+    place = stored(in_turn_order(plain).unionByName(in_reply_order(threaded)), "places")
+    info = turns.join(place, ["conv_id", "turn"]).select("conv_id", "turn", "parent_turn", F.col("linked").isNotNull().alias("quotes"), "position")
     out = messages.join(info, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", "role", clean_text().alias("text"), "parent_turn", F.coalesce("quotes", F.lit(False)).alias("quotes"), "reply_path")
-    return out.orderBy("conv_id", "reply_path", "role", "text")
-
-
-#: The same rows in DuckDB where level 1 gives every link (deeper levels are not joined there); paths as text there and in the query.
+        "conv_id", "turn", "role", clean_text().alias("text"), "parent_turn", F.coalesce("quotes", F.lit(False)).alias("quotes"), "position")
+    return out.orderBy("conv_id", "position", "role", "text")
+
+
+def in_turn_order(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, position`` where the order is that of the turns, counted by ranges."""
+    t = turns.select("conv_id", "turn").withColumn("range", F.floor(F.col("turn") / RANGE))
+    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = t.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("conv_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy("turn")) - 1
+    return t.withColumn("inside", inside).join(sizes, ["conv_id", "range"]).select("conv_id", "turn", (F.col("before") + F.col("inside")).alias("position"))
+
+
+def in_reply_order(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, position`` for ``conv_id, turn, linked, before``: ranks of the Euler tour. Element 2t enters message t, 2t + 1
+    leaves it; the replies that quote a message come first, by turn, then the message that follows it."""
+    quoting = turns.where("linked IS NOT NULL").select("conv_id", F.col("linked").alias("parent"), "turn")
+    follows = turns.where("linked IS NULL AND before IS NOT NULL").select("conv_id", F.col("before").alias("parent"), F.col("turn").alias("follower"))
+    first = quoting.groupBy("conv_id", "parent").agg(F.min("turn").alias("quoted_by"))
+    t = (turns.select("conv_id", "turn", F.coalesce("linked", "before").alias("parent"), F.col("linked").isNotNull().alias("quotes"))
+         .join(first.withColumnRenamed("parent", "turn"), ["conv_id", "turn"], "left")
+         .join(follows.withColumnRenamed("parent", "turn"), ["conv_id", "turn"], "left"))
+    # the next reply to the same message: the largest negated turn below one's own
+    back = quoting.select("conv_id", "parent", (-F.col("turn")).alias("back"))
+    later = latest_before(back, back, ["conv_id", "parent"], "back", "back", "next").select(
+        "conv_id", (-F.col("back")).alias("turn"), (-F.col("next")).alias("next"))
+    up = follows.withColumnRenamed("follower", "parents_follower")
+    t = t.join(later, ["conv_id", "turn"], "left").join(up, ["conv_id", "parent"], "left")
+    after = F.coalesce("next", F.when(F.col("quotes"), F.col("parents_follower")))
+    enter = F.coalesce(2 * F.coalesce("quoted_by", "follower"), 2 * F.col("turn") + 1)
+    leave = F.coalesce(2 * after, 2 * F.col("parent") + 1)
+    both = F.array(F.struct((2 * F.col("turn")).alias("e"), enter.alias("to"), F.lit(1).cast("bigint").alias("n")),
+                   F.struct((2 * F.col("turn") + 1).alias("e"), leave.alias("to"), F.lit(0).cast("bigint").alias("n")))
+    tour = stored(t.select("conv_id", F.explode(both).alias("x")).select("conv_id", "x.*"), "tour")
+    while count_rows(tour.where("to IS NOT NULL")):  # n: messages entered from an element up to where its pointer leads
+        ahead = tour.select("conv_id", F.col("e").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"))
+        tour = stored(tour.join(ahead, ["conv_id", "to"], "left").select("conv_id", "e", F.col("to2").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), "tour")
+    entered = tour.where("pmod(e, 2) = 0").select("conv_id", F.expr("e div 2").alias("turn"), "n")
+    total = entered.groupBy("conv_id").agg(F.max("n").alias("all"))
+    return entered.join(total, "conv_id").select("conv_id", "turn", (F.col("all") - F.col("n")).alias("position"))
+
+
+#: The same rows in DuckDB, with the order by paths of (quoted turn, replying turn).
 SQL = r"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, text FROM conversations),
 known AS (SELECT * FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
@@ -145,24 +171,24 @@ pas AS (SELECT *, sum(nw) OVER (PARTITION BY conv_id, turn, r ORDER BY pos) AS p
 u AS (SELECT DISTINCT conv_id, turn, level, md5(norm) AS unit, length(norm) AS size FROM (
         SELECT conv_id, turn, level, string_agg(norm, ' ' ORDER BY pos) AS norm FROM pas WHERE norm <> '' GROUP BY conv_id, turn, r, passage, level
         UNION ALL SELECT conv_id, turn, level, norm FROM pas WHERE norm <> '')),
-hit AS (SELECT q.conv_id, q.turn, q.unit, q.size, max(o.turn) AS original FROM u q JOIN u o
-        ON o.conv_id = q.conv_id AND o.unit = q.unit AND o.level = 0 AND o.turn < q.turn WHERE q.level = 1 GROUP BY ALL),
-sums AS (SELECT conv_id, turn, original, sum(size) AS size FROM hit GROUP BY ALL),
-link AS (SELECT conv_id, turn, original AS linked FROM sums QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY size DESC, original DESC) = 1),
+hit AS (SELECT q.conv_id, q.turn, q.level, q.unit, q.size, max(o.turn) AS original FROM u q JOIN u o
+        ON o.conv_id = q.conv_id AND o.unit = q.unit AND o.level < q.level AND o.turn < q.turn WHERE q.level > 0 GROUP BY ALL),
+sums AS (SELECT conv_id, turn, level, original, sum(size) AS size FROM hit GROUP BY ALL),
+link AS (SELECT conv_id, turn, original AS linked FROM sums QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, size DESC, original DESC) = 1),
 t0 AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM known)),
 t1 AS (SELECT t0.*, linked, coalesce(linked, before) AS parent_turn, CASE WHEN linked IS NOT NULL OR before IS NULL THEN turn END AS is_head
        FROM t0 LEFT JOIN link USING (conv_id, turn)),
 t AS (SELECT *, max(is_head) OVER (PARTITION BY conv_id ORDER BY turn) AS head FROM t1),
 path(conv_id, head, path) AS (
-  SELECT conv_id, turn, '[' || turn FROM t WHERE is_head IS NOT NULL AND linked IS NULL
+  SELECT conv_id, turn, [turn] FROM t WHERE is_head IS NOT NULL AND linked IS NULL
   UNION ALL
-  SELECT x.conv_id, x.turn, p.path || ',' || x.linked || ',' || x.turn
+  SELECT x.conv_id, x.turn, list_concat(p.path, [x.linked, x.turn])
   FROM t x JOIN t l ON l.conv_id = x.conv_id AND l.turn = x.linked JOIN path p ON p.conv_id = l.conv_id AND p.head = l.head WHERE x.linked IS NOT NULL)
 SELECT m.conv_id, m.turn, m.role,
   CASE WHEN regexp_matches(m.text, '(?m)^[ \t]*>') THEN regexp_replace(array_to_string(list_transform(list_filter(
        list_zip(string_split(m.text, chr(10)), list_concat(string_split(m.text, chr(10))[2:], [''])),
        lambda x: NOT regexp_matches(x[1], '^[ \t]*>') AND NOT (regexp_matches(x[1], '^[ \t]*On .* wrote:[ \t]*$') AND regexp_matches(coalesce(x[2], ''), '^[ \t]*>'))),
        lambda x: x[1]), chr(10)), '^\s+|\s+$', '', 'g') ELSE m.text END AS text,
-  t.parent_turn, t.linked IS NOT NULL AS quotes, path.path || ',' || t.turn || ']' AS reply_path
+  t.parent_turn, t.linked IS NOT NULL AS quotes, CASE WHEN t.turn IS NOT NULL THEN dense_rank() OVER (PARTITION BY m.conv_id, t.turn IS NULL ORDER BY list_concat(path.path, [t.turn])) - 1 END AS position
 FROM m LEFT JOIN t ON t.conv_id = m.conv_id AND t.turn = m.turn LEFT JOIN path ON path.conv_id = t.conv_id AND path.head = t.head
 """

@@ -73,8 +73,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_chat_quotes", chat_quotes.SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chat_quotes.format_chats(read_table(spark, sf_dir, "conversations"))
-    return out.withColumn("reply_path", F.concat(F.lit("["), F.array_join("reply_path", ","), F.lit("]")))
+    return chat_quotes.format_chats(read_table(spark, sf_dir, "conversations"))
 
 
 @query("op9_exact_top_k", OP9_SQL)

@@ -22,7 +22,7 @@ ROWS = [
 
 def run(spark, rows):
     out = C.format_chats(spark.createDataFrame([(*r, 1, "clash") for r in rows], SCHEMA).repartition(3)).collect()
-    return [(r.conv_id, r.turn, r.role, r.text, r.parent_turn, r.quotes, None if r.reply_path is None else str(list(r.reply_path)).replace(" ", "")) for r in out]
+    return [(r.conv_id, r.turn, r.role, r.text, r.parent_turn, r.quotes, r.position) for r in out]
 
 
 def test_links_order_and_text(spark):
@@ -40,11 +40,19 @@ def test_links_order_and_text(spark):
     assert [r[3] for r in got if r[0] is None] == [None, "kept"] and len(got) == len(ROWS)
 
 
-def test_same_rows_as_sql(spark):
+def sql_rows(rows):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
-    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", ROWS)
-    assert sorted(con.execute(C.SQL).fetchall(), key=str) == sorted(run(spark, ROWS), key=str)
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    return con.execute(C.SQL).fetchall()
+
+
+DEEP = [(9, 0, "u", "alpha"), (9, 1, "u", "> alpha\nbeta"), (9, 2, "u", "c"), (9, 3, "u", ">> alpha\nd"), (9, 4, "u", ">>> alpha\n>> beta\n> c"), (9, 5, "u", ">>>> beta")]
+
+
+def test_same_rows_as_sql(spark):
+    rows = ROWS + DEEP
+    assert sorted(sql_rows(rows), key=str) == sorted(run(spark, rows), key=str)
 
 
 def test_long_chain_and_long_text(spark):
@@ -57,3 +65,40 @@ def test_long_chain_and_long_text(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def preorder(parent, linked):
+    """Positions by walking the tree: replies that quote a message first, by turn, then the one that follows."""
+    kids = {}
+    for t in sorted(parent):
+        kids.setdefault(parent[t], []).append(t)
+    out, stack = {}, sorted(kids.get(None, []), reverse=True)
+    while stack:
+        t = stack.pop()
+        out[t] = len(out)
+        mine = kids.get(t, [])
+        stack += reversed([k for k in mine if linked[k]] + [k for k in mine if not linked[k]])
+    return out
+
+
+def test_positions_are_the_preorder(spark):
+    import random
+    r = random.Random(11)
+    rows = []
+    for c in range(6):
+        turns = sorted(r.sample(range(-700, 2000), 60))
+        for i, t in enumerate(turns):
+            quoted = r.choice(turns[:i]) if i and r.random() < 0.5 else None
+            rows.append((c, t, "u", (f"> said {quoted}\n" if quoted is not None else "") + f"said {t}"))
+    got = run(spark, rows)
+    for c in range(6):
+        mine = {x[1]: x for x in got if x[0] == c}
+        assert {t: x[6] for t, x in mine.items()} == preorder({t: x[4] for t, x in mine.items()}, {t: x[5] for t, x in mine.items()})
+        assert sum(x[5] for x in mine.values()) > 15
+    assert sorted(got, key=str) == sorted(sql_rows(rows), key=str)
+
+
+def test_chain_of_quoting_messages(spark):
+    n = 3000
+    got = run(spark, [(1, i, "u", (f"> m{i - 1} of it\n" if i else "") + f"m{i} of it") for i in range(n)])
+    assert [(x[1], x[4], x[6]) for x in got] == [(i, i - 1 if i else None, i) for i in range(n)]
