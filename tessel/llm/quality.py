@@ -1,26 +1,29 @@
 """Quality classifier: Bradley-Terry pairwise ranking.
 
-Every document has a vector of text features. A preference pair is a document
+Every document has a vector of text features: surface measures, and the shares of its words and of its character
+trigrams in ``BUCKETS`` hash buckets each, so that faults of wording are learned as well. A preference pair is a document
 labelled good over one labelled bad; its probability is the logistic function of
 the difference of the two documents' scores, so a linear score w.x is learned by
 logistic loss on feature differences (ridge, Newton steps). The accepting
 threshold is the quantile of the training scores at the share of bad labels;
 scores are squashed to 0..1 so that the threshold lies at ``cut``.
 
-The fit uses a bounded sample of labelled rows (``sample_rows``, chosen by the
-hash of the id, at most ``pairs_per_row`` pairs a row): its feature rows are the only
+The fit uses a sample of at most ``sample_rows`` labelled rows (distinct id and label, chosen by the
+hash of the id, then cut by count, so that neither repeated labels nor repeated documents exceed it; ``pairs_per_row`` pairs a row): its feature rows are the only
 thing that reaches the driver. Scoring is one pass over whole texts without a
 shuffle.
 
 Defined results: null text is empty; an empty or one-word text has the features
 of an empty one plus its length; unlabelled rows, rows with a null id and null labels
 are not learned from; with no pair (one class missing) every score is ``NO_MODEL``;
-repeated rows are scored alike; extra columns pass through untouched.
+repeated rows are scored alike; extra columns pass through untouched (``score`` refuses a score column whose name is taken:
+name another).
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,16 +41,40 @@ CUT = 0.3
 NO_MODEL = 0.5
 SEED = 17
 
-FEATURES = ("log_words", "tiny", "symbols", "symbols_high", "upper", "upper_high", "digits", "pipes", "word_len", "long_words",
+#: Hash buckets of words, and as many of character trigrams.
+BUCKETS = 128
+#: Pairs whose differences are held at a time while fitting.
+PAIR_ROWS = 1 << 14
+
+SURFACE = ("log_words", "tiny", "symbols", "symbols_high", "upper", "upper_high", "digits", "pipes", "word_len", "long_words",
             "repeats", "repeats_high", "neighbours", "same_lines", "lines_per_word", "end_marks")
+N_FEATURES = len(SURFACE) + 2 * BUCKETS
+
 
+def hashed(raw: bytes, words: list[bytes]) -> np.ndarray:
+    """Shares of the words, then of the character trigrams (bytes, letters lower-cased), in each bucket."""
+    out = np.zeros(2 * BUCKETS)
+    if words:
+        out[:BUCKETS] = np.bincount(np.fromiter((zlib.crc32(w.lower()) for w in words), np.int64, len(words)) % BUCKETS, minlength=BUCKETS) / len(words)
+    low = raw.lower()
+    for at in range(0, len(low) - 2, 1 << 20):
+        b = np.frombuffer(low[at:at + (1 << 20) + 2], np.uint8).astype(np.uint32)
+        code = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA6B)) ^ (b[2:] * np.uint32(0xC2B2AE35))
+        out[BUCKETS:] += np.bincount((code >> np.uint32(13)) % BUCKETS, minlength=BUCKETS)
+    out[BUCKETS:] /= max(1, len(low) - 2)
+    return out
 
-def text_features(raw: bytes) -> list[float]:
+
+def text_features(raw: bytes) -> np.ndarray:
     """Features of one whole text, each in a bounded range."""
     words = raw.split()
+    return np.concatenate([surface(raw, words), hashed(raw, words)])
+
+
+def surface(raw: bytes, words: list[bytes]) -> list[float]:
     n = len(words)
     if not n:
-        return [0.0, 1.0] + [0.0] * (len(FEATURES) - 2)
+        return [0.0, 1.0] + [0.0] * (len(SURFACE) - 2)
     hist = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     upper, lower, high = int(hist[65:91].sum()), int(hist[97:123].sum()), int(hist[128:].sum())
     digits, space = int(hist[48:58].sum()), int(hist[32] + hist[9:14].sum())
@@ -67,28 +94,37 @@ def text_features(raw: bytes) -> list[float]:
             min(1.0, 10 * (int(hist[46]) + int(hist[33]) + int(hist[63])) / n)]
 
 
-def bradley_terry(x: np.ndarray, good: np.ndarray, pairs_per_row: int = PAIRS_PER_ROW, ridge: float = 1e-2,
-                  seed: int = SEED, steps: int = 30) -> np.ndarray | None:
-    """Weights w that maximise sum log sigmoid(w.(x_good - x_bad)) - ridge; None without pairs."""
+def preference_pairs(good: np.ndarray, pairs_per_row: int = PAIRS_PER_ROW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(good row, bad row) numbers: every row takes part; permutations repeated and paired at random."""
     g, b = np.flatnonzero(good), np.flatnonzero(~good)
-    if not len(g) or not len(b):
-        return None
     rng = np.random.default_rng(seed)
     m = pairs_per_row * (len(g) + len(b))
-    # every row takes part: permutations repeated up to m, paired at random
     left = np.concatenate([rng.permutation(g) for _ in range(-(-m // len(g)))])[:m]
     right = np.concatenate([rng.permutation(b) for _ in range(-(-m // len(b)))])[:m]
-    d = x[left] - x[rng.permutation(right)]
-    w = np.zeros(x.shape[1])
+    return left, rng.permutation(right)
+
+
+def bradley_terry(x: np.ndarray, good: np.ndarray, pairs_per_row: int = PAIRS_PER_ROW, ridge: float = 1e-2,
+                  seed: int = SEED, steps: int = 30) -> np.ndarray | None:
+    """Weights w that maximise sum log sigmoid(w.(x_good - x_bad)) - ridge; None without pairs."""
+    if good.all() or not good.any():
+        return None
+    left, right = preference_pairs(good, pairs_per_row, seed)
+    m, w = len(left), np.zeros(x.shape[1])
+    parts = [slice(at, at + PAIR_ROWS) for at in range(0, m, PAIR_ROWS)]
 
     def loss(v: np.ndarray) -> float:
-        return float(np.logaddexp(0, -d @ v).mean() + ridge * v @ v / 2)
+        s = x @ v
+        return float(np.logaddexp(0, s[right] - s[left]).mean() + ridge * v @ v / 2)
 
     now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
-        grad = ridge * w - d.T @ p / m
-        hess = ridge * np.eye(len(w)) + (d * (p * (1 - p))[:, None]).T @ d / m
+        grad, hess = ridge * w, ridge * np.eye(len(w))
+        for part in parts:
+            d = x[left[part]] - x[right[part]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
+            grad -= d.T @ p / m
+            hess += (d * (p * (1 - p))[:, None]).T @ d / m
         step = np.linalg.solve(hess, grad)
         rate = 1.0
         while (new := loss(w - rate * step)) > now and rate > 1e-6:
@@ -104,7 +140,7 @@ class QualityModel:
     """Score w.x, squashed around the quantile threshold."""
 
     def __init__(self, x: np.ndarray, good: np.ndarray, cut: float = CUT, reject_share: float | None = None):
-        self.mean, self.scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
+        self.mean, self.scale = (x.mean(0), np.maximum(x.std(0), 1e-6)) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
         self.w = bradley_terry((x - self.mean) / self.scale, good)
         self.cut, self.threshold, self.slope = cut, 0.0, 1.0
         if self.w is not None:
@@ -125,24 +161,24 @@ class QualityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cut: float = CUT) -> QualityModel:
     """Learn from ``labels`` (doc_id, quality) joined with ``docs`` (doc_id, text)."""
-    lab = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
+    lab = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("quality").cast("int") == 1).alias("good")).dropna().distinct()
     n = count_rows(lab)
     share = 1_000_000 if n <= sample_rows else sample_rows * 1_000_000 // n
-    # at most about sample_rows rows of 12 bytes: a proven bound for the broadcast
+    # at most about sample_rows ids, two rows each: a proven bound for the broadcast
     sample = lab.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < share)
-    spec = "doc_id long, quality int, x array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_slices(batches):
-            x = pa.array([text_features(t) for t in byte_texts(b.column(1))], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), x], names=["doc_id", "quality", "x"])
-
-    rows: pd.DataFrame = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                          .join(F.broadcast(sample), "doc_id").mapInArrow(run, spec).toPandas())
-    rows["k"] = [tuple(v) for v in rows["x"]]
-    rows = rows.sort_values(["doc_id", "quality", "k"])
-    x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
-    return QualityModel(x, rows["quality"].to_numpy() == 1, cut)
+            x = pa.array([text_features(t).astype("<f4").tobytes() for t in byte_texts(b.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), x], names=["doc_id", "good", "x"])
+
+    found = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+             .join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id long, good boolean, x binary"))
+    # the cut by count holds even if one document comes many times
+    rows: pd.DataFrame = found.orderBy(F.xxhash64("doc_id", "good", "x"), "doc_id", "good", "x").limit(sample_rows).toPandas()
+    rows = rows.sort_values(["doc_id", "good", "x"])
+    x = np.frombuffer(b"".join(rows["x"]), "<f4").reshape(len(rows), N_FEATURES).astype(np.float64)
+    return QualityModel(x, rows["good"].to_numpy(bool), cut)
 
 
 def score(docs: DataFrame, model: QualityModel, score_col: str = "quality_score") -> DataFrame:

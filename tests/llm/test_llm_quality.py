@@ -48,10 +48,88 @@ def test_one_class_only_gives_the_constant_score(spark):
 
 
 def test_weights_against_plain_gradient_descent():
+    """The same loss on the same pairs, by small steps down its gradient, pair by pair; and the quantile by sorting."""
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 3))
-    good = (x @ np.array([2.0, -1.0, 0.0]) + rng.normal(size=200)) > 0
-    w = Q.bradley_terry(x, good)
-    assert w[0] > 0.5 and w[1] < -0.2 and abs(w[2]) < 0.3
-    s = x @ w
-    assert np.mean([a > b for a in s[good] for b in s[~good]]) > 0.9  # pairwise accuracy
+    x = rng.normal(size=(60, 3))
+    good = (x @ np.array([2.0, -1.0, 0.0]) + rng.normal(size=60)) > 0
+    pairs = list(zip(*Q.preference_pairs(good)))
+    assert {i for i, _ in pairs} == set(np.flatnonzero(good)) and {j for _, j in pairs} == set(np.flatnonzero(~good))
+    w = [0.0, 0.0, 0.0]
+    for _ in range(3000):
+        grad = [1e-2 * v for v in w]
+        for i, j in pairs:
+            d = x[i] - x[j]
+            p = 1 / (1 + np.exp(d[0] * w[0] + d[1] * w[1] + d[2] * w[2]))
+            for c in range(3):
+                grad[c] -= p * d[c] / len(pairs)
+        w = [v - 0.8 * g for v, g in zip(w, grad)]
+        if max(map(abs, grad)) < 1e-7:
+            break
+    assert np.allclose(Q.bradley_terry(x, good), w, atol=1e-4)
+    m = Q.QualityModel(x, good)
+    scores = sorted(m.raw(x).tolist())
+    k = round(60 * float((~good).mean()))
+    assert m.threshold == (scores[k - 1] + scores[k]) / 2
+    s = m.score(x)
+    assert ((s >= Q.CUT) == (m.raw(x) >= m.threshold)).all() and sum(s < Q.CUT) == k
+
+
+def test_faults_of_wording_are_learned(spark):
+    """Bad documents look like the others but for some of their words."""
+    r = random.Random(5)
+    vocab = ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(400)]
+    rows = []
+    for i in range(900):
+        bad = r.random() < 0.4
+        words = r.choices(vocab, k=60)
+        if bad:
+            for _ in range(8):
+                words[r.randrange(60)] = r.choice(["casino", "jackpot", "freespin"])
+        rows.append((i, " ".join(words) + ".", int(not bad)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = Q.fit(docs, spark.createDataFrame([(i, q) for i, _, q in rows if i < 600], "doc_id long, quality int"))
+    by = {x.doc_id: x.quality_score for x in Q.score(docs, model).collect()}
+    assert np.mean([(by[i] >= Q.CUT) == (q == 1) for i, _, q in rows if i >= 600]) >= 0.93
+
+
+def test_the_sample_is_cut_by_count(spark):
+    docs = spark.createDataFrame([(1, f"text {i} of one id") for i in range(300)] + [(i, "other text here") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 200 + [(1, 0)] * 200 + [(i, i % 2) for i in range(2, 60)], "doc_id long, quality int")
+    seen = []
+    make = Q.QualityModel
+
+    class Counted(make):
+        def __init__(self, x, good, *rest):
+            seen.append(len(x))
+            super().__init__(x, good, *rest)
+    Q.QualityModel = Counted
+    try:
+        Q.fit(docs, labels, sample_rows=100)
+    finally:
+        Q.QualityModel = make
+    assert seen[0] <= 100
+
+
+def test_queries_fold_null_ids_and_types(spark):
+    """The registered queries of languages and quality: folds by crc32 of the id, null ids, column types."""
+    import zlib
+
+    from tessel.llm.queries import QUERIES
+    from tessel.session import scratch_path
+    path = scratch_path(spark, f"folds-{random.random()}")
+    rows = [(i, f"the words of text {i} and some more", ["en", "fr", None][i % 3], "s") for i in range(80)] + [(None, "no id here", "en", None), (90, None, "en", "s"), (91, "½", "fr", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    for name, folds, left_out, types in (("op1_language_id", 4, 2, {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"}),
+                                         ("op4_quality", 5, 0, {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"})):
+        out = QUERIES[name](spark, path)
+        assert {c: t for c, t in out.dtypes if c in types} == types
+        got = out.collect()
+        assert sorted((str(r.doc_id) for r in got)) == sorted(str(r[0]) for r in rows)
+        for r in got:
+            assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % folds == left_out)
+            assert 0 <= r.score <= 1
+        if name == "op1_language_id":
+            assert {r.doc_id: r.lang_pred for r in got}[90] == "und" and {r.doc_id: r.lang_pred for r in got}[91] == "und"
+        else:
+            assert all(r.predicted == int(r.score >= 0.3) for r in got)
