@@ -43,6 +43,8 @@ SEED = 17
 
 #: Hash buckets of words, and as many of character trigrams.
 BUCKETS = 128
+#: A hashed feature counts a quarter of a surface one, so the ridge holds it down sixteen times as much.
+HASHED_WEIGHT = 0.25
 #: Pairs whose differences are held at a time while fitting.
 PAIR_ROWS = 1 << 14
 
@@ -141,6 +143,7 @@ class QualityModel:
 
     def __init__(self, x: np.ndarray, good: np.ndarray, cut: float = CUT, reject_share: float | None = None):
         self.mean, self.scale = (x.mean(0), np.maximum(x.std(0), 1e-6)) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
+        self.scale[len(SURFACE):] /= HASHED_WEIGHT
         self.w = bradley_terry((x - self.mean) / self.scale, good)
         self.cut, self.threshold, self.slope = cut, 0.0, 1.0
         if self.w is not None:

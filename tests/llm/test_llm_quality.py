@@ -66,7 +66,7 @@ def test_weights_against_plain_gradient_descent():
         if max(map(abs, grad)) < 1e-7:
             break
     assert np.allclose(Q.bradley_terry(x, good), w, atol=1e-4)
-    m = Q.QualityModel(x, good)
+    m = Q.QualityModel(x, good)  # three surface measures only
     scores = sorted(m.raw(x).tolist())
     k = round(60 * float((~good).mean()))
     assert m.threshold == (scores[k - 1] + scores[k]) / 2
