@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tessel.operators import dedup as D
 from tessel.operators import experiments as X
-from tessel.operators.metrics import NO_LABEL, NO_PRED, argmax_label, quality_flags
+from tessel.operators.metrics import (NO_LABEL, NO_PRED, argmax_label, classification_report, majority_label, quality_flags,
+                                      source_majority_predictions, summary_metrics)
 from tessel.plans import sql as Q
-from tessel.plans.prepare import PrepareParams, filtered_docs
+from tessel.plans.prepare import PrepareParams, filtered_docs, prepare
 from tessel.plans.registry import query
 from tessel.session import materialize, scratch_path
 from tessel.sources import runs as RF
@@ -102,32 +103,53 @@ def q_grid(spark, sf):
                     F.to_json(F.struct("corpus", "train_prop", "model")).alias("axis_values_json"))
 
 
-BROKEN = "000003"  # its metrics file is cut short, as after a crash
-RUNS = f"""run0 AS (SELECT *, CASE WHEN n_train IS NULL THEN 'failed' ELSE 'success' END AS status, 'p' || CAST(train_prop AS VARCHAR) || '_' || balance AS view FROM sweep),
-seen AS (SELECT run_id, CASE WHEN status = 'success' AND run_id <> '{BROKEN}' THEN 1 END AS ok FROM run0)"""
+#: One run per language, source and baseline: the runs grow with the data's keys.
+GROUP = ("corpus_id", "view", "model_id")
+RUNS = f"""gmaj AS (SELECT label AS majority FROM v WHERE split = 'train' GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),
+smaj AS (SELECT source AS s, label AS lab FROM (SELECT source, label, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, label) AS r
+           FROM v WHERE split = 'train' GROUP BY source, label) WHERE r = 1),
+pred AS (SELECT v.modality AS corpus_id, v.source AS view, m.model_id, v.label AS y_true, CASE WHEN m.model_id = 'majority' THEN gmaj.majority ELSE coalesce(smaj.lab, gmaj.majority) END AS y_pred
+         FROM v LEFT JOIN smaj ON v.source = smaj.s, gmaj, (VALUES ('majority'), ('source_majority')) m(model_id) WHERE v.split = 'job'),
+{Q.report('pred', GROUP)},
+gsum AS ({Q.summary('rep', GROUP)}),
+run0 AS (SELECT d.lang || '-' || d.source || '-' || m.model_id AS run_id, d.lang AS corpus_id, d.source AS view, m.model_id, CASE WHEN n_eval IS NULL THEN 'failed' ELSE 'success' END AS status,
+         accuracy, macro_f1, precision_macro, recall_macro, n_eval FROM (SELECT DISTINCT lang, source FROM documents) d, (VALUES ('majority'), ('source_majority')) m(model_id)
+         LEFT JOIN gsum ON gsum.corpus_id = d.lang AND gsum.view = d.source AND gsum.model_id = m.model_id)"""
+#: A run leaves a meta file besides its metrics only if it judged so many documents.
+META_LEAST = 3
+
+
+def _group_runs(spark, sf):
+    """``run_id, corpus_id`` (language), ``view`` (source), ``model_id, status`` and the metrics of both baselines for every language and
+    source of the documents; a run fails where the job split has no document of them."""
+    v = prepare(spark, sf, with_text=False)
+    by_source = source_majority_predictions(v, id_col="rid").select("rid", F.col("y_pred").alias("by_source"))
+    maj = majority_label(v.where("split = 'train'")).scalar()
+    job = v.where("split = 'job'").join(by_source, "rid")
+    models = F.explode(F.array(F.struct(F.lit("majority").alias("model_id"), maj.alias("y_pred")),
+                               F.struct(F.lit("source_majority").alias("model_id"), F.col("by_source").alias("y_pred")))).alias("m")
+    pred = job.select(F.col("modality").alias("corpus_id"), F.col("source").alias("view"), F.col("label").alias("y_true"), models).select("*", "m.*")
+    summ = summary_metrics(classification_report(pred, keys=GROUP), GROUP)
+    plan = read_table(spark, sf, "documents").select(F.col("lang").alias("corpus_id"), F.col("source").alias("view")).distinct()
+    plan = plan.withColumn("model_id", F.explode(F.array(F.lit("majority"), F.lit("source_majority"))))
+    r = plan.join(summ, list(GROUP), "left").withColumn("status", F.when(F.col("n_eval").isNull(), "failed").otherwise("success"))
+    return materialize(r.withColumn("run_id", F.concat_ws("-", *GROUP)).withColumn("family", F.lit("baseline")))
 
 
 def _run_files(spark, sf):
-    """Every run of the sweep leaves a metrics file (failed runs none) in the tree; returns the
-    root, the tree's path, and the runs table as it was written."""
+    """Spark writes the metrics tree (a folder per corpus, view, family and model; failed runs have none), the meta tree beside it and the
+    runs table. Returns their root and the runs table as it was read back."""
     root = scratch_path(spark, RF.fresh("exp"))
-    sw = _sweep(spark, sf)
-    d = sw.withColumn("status", F.when(F.col("n_train").isNull(), "failed").otherwise("success"))
-    d = d.withColumn("view", F.concat(F.lit("p"), F.col("train_prop").cast("string"), F.lit("_"), F.col("balance")))
-    here = F.concat_ws("/", F.lit(f"{root}/reports"), F.lit("docs"), "view", F.lit("baseline"), "model")
-    d = d.withColumn("dir", here)
-    metrics = F.to_json(F.struct("accuracy", "macro_f1", "precision_macro", "recall_macro", F.struct(F.lit(1).alias("support")).alias("report")), {"pretty": "true"})
+    d = _group_runs(spark, sf)
+    metrics = F.to_json(F.struct("accuracy", "macro_f1", "precision_macro", "recall_macro", F.struct(F.col("n_eval").alias("support")).alias("report")), {"pretty": "true"})
     meta = F.to_json(F.struct(F.lit("quick").alias("profile"), F.lit("label").alias("label_field"), F.lit("1").alias("pipeline_version"), F.col("n_eval").alias("n_eval_docs")), {"pretty": "true"})
-    # one row per run: a plan has as many runs as cells and models
-    for r in d.where("status = 'success'").select("run_id", "dir", metrics.alias("m"), meta.alias("e")).collect():
-        RF.write_text(spark, f"{r.dir}/metrics.json", r.m[:20] if r.run_id == BROKEN else r.m)
-        if r.run_id != "000000":
-            RF.write_text(spark, f"{r.dir}/meta_eval.json", r.e)
-    runs = d.select("run_id", F.lit("sweep").alias("exp_id"), F.lit("train").alias("stage"), "status", F.lit("baseline").alias("family"),
-                    F.col("model").alias("model_id"), F.lit("docs").alias("corpus_id"), "view",
-                    F.to_json(F.struct("train_prop", "balance", "model")).alias("axis_values_json"),
-                    F.to_json(F.struct(F.col("train_prop").cast("string").alias("TRAIN_PROP"))).alias("make_vars_json"),
-                    F.concat("dir", F.lit("/metrics.json")).alias("metrics_path"), F.concat(F.lit("logs/"), "run_id", F.lit(".log")).alias("log_path"))
+    done = d.where("status = 'success'")
+    RF.write_tree(done.withColumn("value", metrics), f"{root}/metrics")
+    RF.write_tree(done.where(F.col("n_eval") >= META_LEAST).withColumn("value", meta), f"{root}/meta")
+    runs = d.select("run_id", F.lit("groups").alias("exp_id"), F.lit("train").alias("stage"), "status", "family", "model_id", "corpus_id", "view",
+                    F.to_json(F.struct(F.col("corpus_id").alias("lang"), F.col("view").alias("source"), F.col("model_id").alias("model"))).alias("axis_values_json"),
+                    F.to_json(F.struct(F.lit("0.8").alias("TRAIN_PROP"))).alias("make_vars_json"),
+                    RF.leaf_of(F.lit(f"{root}/metrics")).alias("metrics_path"), F.concat(F.lit("logs/"), "run_id", F.lit(".log")).alias("log_path"))
     RF.write_table(runs, f"{root}/runs", RF.RUN_COLUMNS)
     return root, RF.read_table_tsv(spark, f"{root}/runs", RF.RUN_COLUMNS)
 
@@ -135,30 +157,30 @@ def _run_files(spark, sf):
 _NUM = ("accuracy", "macro_f1", "precision_macro", "recall_macro")
 
 
-@query("metrics_global", f"""WITH {PREP}, {SWEEP}, {RUNS}
-SELECT run_id, status, 'baseline' AS family, model AS model_id, 'docs' AS corpus_id, view, '' AS dataset_id, CAST(train_prop AS VARCHAR) AS make_TRAIN_PROP,
-       CAST(train_prop AS VARCHAR) AS axis_train_prop, balance AS axis_balance, model AS axis_model, CASE WHEN ok = 1 THEN '{{"support":1}}' ELSE '' END AS report,
-       {", ".join(f"CASE WHEN ok = 1 THEN {c} END AS {c}" for c in _NUM)} FROM run0 JOIN seen USING (run_id)""")
+@query("metrics_global", f"""WITH {PREP}, {RUNS}
+SELECT run_id, status, 'baseline' AS family, model_id, corpus_id, view, '' AS dataset_id, '0.8' AS make_TRAIN_PROP, corpus_id AS axis_lang, view AS axis_source,
+       model_id AS axis_model, CASE WHEN status = 'success' THEN '{{"support":' || n_eval || '}}' ELSE '' END AS report, {", ".join(_NUM)} FROM run0""")
 def q_metrics_global(spark, sf):
     root, runs = _run_files(spark, sf)
-    g = RF.metrics_global(runs, RF.json_files(spark, f"{root}/reports", "metrics.json"))
-    return g.select("run_id", "status", "family", "model_id", "corpus_id", "view", "dataset_id", "make_TRAIN_PROP", "axis_train_prop", "axis_balance",
+    files = RF.tree_files(spark, f"{root}/metrics")
+    g = RF.metrics_global(runs, files.withColumn("path", F.col("dir")))
+    return g.select("run_id", "status", "family", "model_id", "corpus_id", "view", "dataset_id", "make_TRAIN_PROP", "axis_lang", "axis_source",
                     "axis_model", "report", *[F.col(c).try_cast("double").alias(c) for c in _NUM])
 
 
-@query("run_report", f"""WITH {PREP}, {SWEEP}, {RUNS}
+@query("run_report", f"""WITH {PREP}, {RUNS}
 SELECT count(*) AS n_runs, CAST(sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) AS BIGINT) AS n_success,
        CAST(sum(CASE WHEN status <> 'success' THEN 1 ELSE 0 END) AS BIGINT) AS n_failed FROM run0""")
 def q_run_report(spark, sf):
     return X.run_report(_run_files(spark, sf)[1])
 
 
-@query("run_report_lines", f"""WITH {PREP}, {SWEEP}, {RUNS}, c AS (SELECT count(*) AS n, sum((status = 'success')::INT) AS s FROM run0)
-SELECT unnest(['h00', 'h01', 'h02', 'h03', 'h04', 'h05', 'h06']) AS no, unnest(['# Experiment report: sweep', '', 'Total runs: ' || n,
+@query("run_report_lines", f"""WITH {PREP}, {RUNS}, c AS (SELECT count(*) AS n, sum((status = 'success')::INT) AS s FROM run0)
+SELECT unnest(['h00', 'h01', 'h02', 'h03', 'h04', 'h05', 'h06']) AS no, unnest(['# Experiment report: groups', '', 'Total runs: ' || n,
   'Successes: ' || s, 'Failures: ' || (n - s), '', '## Runs']) AS line FROM c
 UNION ALL SELECT 'r' || run_id, '- **' || run_id || '** — status: ' || status || ', log: logs/' || run_id || '.log' FROM run0""")
 def q_run_report_lines(spark, sf):
-    return RF.report_lines(_run_files(spark, sf)[1], "sweep")
+    return RF.report_lines(_run_files(spark, sf)[1], "groups")
 
 
 @query("typed_metrics", f"""WITH {PREP}, {SWEEP}
@@ -174,16 +196,15 @@ def q_typed_metrics(spark, sf):
     return raw.select(*[(F.col(c).try_cast("double") if flags[c] == 0 else F.col(c)).alias(c) for c in raw.columns])
 
 
-@query("metrics_tree", f"""WITH {PREP}, {SWEEP}, {RUNS}
-SELECT 'docs' AS corpus_id, view, 'baseline' AS family, model AS model_id,
-       CASE WHEN run_id <> '000000' THEN 'quick' ELSE '' END AS profile, CASE WHEN run_id <> '000000' THEN 'label' ELSE '' END AS label_field,
-       CASE WHEN run_id <> '000000' THEN '1' ELSE '' END AS pipeline_version, CASE WHEN run_id <> '000000' THEN CAST(n_eval AS VARCHAR) ELSE '' END AS n_eval_docs,
-       {", ".join(f"CASE WHEN ok = 1 THEN {c} END AS {c}" for c in _NUM)} FROM run0 JOIN seen USING (run_id) WHERE status = 'success'""")
+@query("metrics_tree", f"""WITH {PREP}, {RUNS}
+SELECT corpus_id, view, 'baseline' AS family, model_id, CASE WHEN n_eval >= {META_LEAST} THEN 'quick' ELSE '' END AS profile, CASE WHEN n_eval >= {META_LEAST} THEN 'label' ELSE '' END AS label_field,
+       CASE WHEN n_eval >= {META_LEAST} THEN '1' ELSE '' END AS pipeline_version, CASE WHEN n_eval >= {META_LEAST} THEN CAST(n_eval AS VARCHAR) ELSE '' END AS n_eval_docs,
+       {", ".join(_NUM)} FROM run0 WHERE status = 'success'""")
 def q_metrics_tree(spark, sf):
-    """Scan the tree, join each metrics file with its sibling meta file, write the twelve-column
-    summary and read it back."""
+    """Scan the tree, join each metrics file with its meta file, write the twelve-column summary and read it back."""
     root, _ = _run_files(spark, sf)
-    RF.write_table(RF.metrics_tree(spark, f"{root}/reports"), f"{root}/summary", RF.SUMMARY_COLUMNS, RF.DIMENSIONS)
+    summary = RF.tree_summary(RF.tree_files(spark, f"{root}/metrics"), RF.tree_files(spark, f"{root}/meta"))
+    RF.write_table(summary, f"{root}/summary", RF.SUMMARY_COLUMNS, RF.DIMENSIONS)
     s = RF.read_table_tsv(spark, f"{root}/summary", RF.SUMMARY_COLUMNS)
     return s.select(*RF.SUMMARY_COLUMNS[:8], *[F.col(c).try_cast("double").alias(c) for c in _NUM])
 
@@ -204,7 +225,7 @@ def q_metrics_flat(spark, sf):
     text = F.regexp_replace(F.to_json(nested), '"labels":', F.concat(F.lit('"tags":["'), "lang", F.lit('",1],"labels":')))
     path = scratch_path(spark, RF.fresh("metrics-tree"))
     m.select("source", "lang", text.alias("value")).repartition("source", "lang").write.partitionBy("source", "lang").text(path)
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return X.flatten_json(files, "value", ["source", "lang"])
 
 

@@ -91,9 +91,10 @@ class Stages:
     view: DataFrame
 
 
-def stages(docs: DataFrame, p: PrepareParams, add_labels: Callable[[DataFrame], DataFrame] | None = None) -> Stages:
+def stages(docs: DataFrame, p: PrepareParams, add_labels: Callable[[DataFrame], DataFrame] | None = None, counted: bool = False) -> Stages:
     """Run the stage on ``docs`` (``id``, ``text``, ``modality``, ``source``, ``label_raw`` and a
-    ``label`` unless ``add_labels`` attaches it to the narrow rows)."""
+    ``label`` unless ``add_labels`` attaches it to the narrow rows). ``counted``: the labelled
+    rows are read again for counts, so they are written too."""
     rows = with_row_ids(docs)
     on = (p.dedup_on or "none").strip().lower()
     dedups = on not in ("none", "", "no")
@@ -112,7 +113,7 @@ def stages(docs: DataFrame, p: PrepareParams, add_labels: Callable[[DataFrame],
         ok = act.resolve_actors(ok.drop("label"), p.actors, p.actor_view, p.unknown_actors)
     elif p.label_map is not None:
         ok = labels.apply_label_map(ok, labels.label_map_frame(ok.sparkSession, p.label_map), p.unknown_policy, p.other_label)
-    labelled = _written(ok, "labelled")
+    labelled = _written(ok, "labelled") if counted else ok
     view = filters.drop_unlabelled(labelled)
     if dedups:
         view = dedup.keep_first(view, F.col("__k"), "id", "id", row_id="rid")
@@ -158,7 +159,7 @@ def prepare(spark: SparkSession, sf_dir: str, p: PrepareParams | None = None,
 
 
 def driver_stages(spark: SparkSession, sf_dir: str, p: PrepareParams) -> Stages:
-    return stages(document_rows(spark, sf_dir, row_id=True), p, lambda keys: attach_labels(keys, spark, sf_dir, p.label_view))
+    return stages(document_rows(spark, sf_dir, row_id=True), p, lambda keys: attach_labels(keys, spark, sf_dir, p.label_view), counted=True)
 
 
 def view_meta(st: Stages, p: PrepareParams) -> DataFrame:

@@ -1,6 +1,8 @@
 """Experiment files: plan and run tables (TSV), per-run ``metrics.json`` trees, summary and report sinks.
 
-A tree holds one directory per evaluated model,
+Spark writes trees of its own as partitioned text, one file a leaf
+(``corpus_id=.../view=.../family=.../model_id=.../``); trees of other tools are read as well.
+There a tree holds one directory per evaluated model,
 ``<corpus_id>/<view>/<family>/<model_id>/``, with ``metrics.json`` and, optionally, a
 sibling ``meta_eval.json``; files may span lines, and an unreadable one counts as empty.
 """
@@ -61,6 +63,32 @@ def json_files(spark: SparkSession, root: str, name: str) -> DataFrame:
                       F.from_json("value", "map<string,string>").alias("fields"))
 
 
+def write_tree(df: DataFrame, path: str) -> str:
+    """``value`` of each row as a file in the folder of its dimensions, written by the tasks and committed together."""
+    df.select(*DIMENSIONS, "value").repartition(*DIMENSIONS).write.mode("overwrite").partitionBy(*DIMENSIONS).text(path)
+    return path
+
+
+def leaf_of(root):
+    """The folder of a row's dimensions below ``root`` (plain names), as ``tree_files`` gives it."""
+    return bare_path(F.concat_ws("/", root, *[F.concat(F.lit(f"{c}="), F.col(c)) for c in DIMENSIONS]))
+
+
+def tree_files(spark: SparkSession, root: str) -> DataFrame:
+    """Dimensions, ``dir`` and ``fields`` (as in ``json_files``) of every file of a tree that ``write_tree`` wrote."""
+    raw = spark.read.text(root, wholetext=True)
+    here = F.regexp_replace(bare_path(F.col("_metadata.file_path")), r"/[^/]*$", "")
+    return raw.select(*[F.col(c).cast("string").alias(c) for c in DIMENSIONS], here.alias("dir"), F.from_json("value", "map<string,string>").alias("fields"))
+
+
+def tree_summary(metrics: DataFrame, meta: DataFrame) -> DataFrame:
+    """The twelve summary columns as text: each metrics file with the meta file of the same dimensions, if there is one."""
+    e = meta.select(*DIMENSIONS, F.col("fields").alias("e"))
+    j = metrics.withColumnRenamed("fields", "m").join(e, list(DIMENSIONS), "left")
+    field = lambda col, k: F.coalesce(F.col(col)[k], F.lit("")).alias(k)
+    return j.select(*DIMENSIONS, *[field("e", k) for k in SUMMARY_COLUMNS[4:8]], *[field("m", k) for k in SUMMARY_COLUMNS[8:]])
+
+
 def metrics_tree(spark: SparkSession, root: str) -> DataFrame:
     """Metrics left-joined with their sibling meta file: the twelve summary columns as text."""
     m = json_files(spark, root, "metrics.json").withColumnRenamed("fields", "m")

@@ -1,5 +1,7 @@
 """Run tables and metrics trees on hand-made files."""
 
+from pyspark.sql import functions as F
+
 from tessel.operators.metrics import quality_flags
 from tessel.session import scratch_path
 from tessel.sources import runs as R
@@ -33,3 +35,17 @@ def test_flags_only_for_judged_runs(spark):
                                 ("d", "cnn", "success", 0.1, 0.1), ("e", "svm", "success", 0.9, 0.9)], "id string, family string, status string, accuracy double, macro_f1 double")
     got = {r.id: (r.quality_ok, r.quality_flags) for r in quality_flags(df, 0.6, 0.5, "family", ["svm"], "status").collect()}
     assert got == {"a": (False, "low_accuracy,low_macro_f1"), "b": (False, "low_macro_f1"), "c": (None, None), "d": (None, None), "e": (True, "")}
+
+
+def test_tree_written_by_spark(spark):
+    root = scratch_path(spark, R.fresh("tree-test"))
+    rows = [("en", "src1", "baseline", "m1", '{\n "accuracy": 0.5, "per": {"a": 1}\n}'), ("en", "src2", "baseline", "m1", '{"accuracy": '), ("fr", "src1", "svm", "m2", "{}")]
+    cols = "corpus_id string, view string, family string, model_id string, value string"
+    R.write_tree(spark.createDataFrame(rows, cols).repartition(3), f"{root}/metrics")
+    R.write_tree(spark.createDataFrame([("en", "src1", "baseline", "m1", '{"profile": "quick"}')], cols), f"{root}/meta")
+    files = R.tree_files(spark, f"{root}/metrics")
+    got = {(r.corpus_id, r.view): r for r in R.tree_summary(files, R.tree_files(spark, f"{root}/meta")).collect()}
+    assert (got["en", "src1"].accuracy, got["en", "src1"].profile) == ("0.5", "quick")
+    assert (got["en", "src2"].accuracy, got["en", "src2"].profile) == ("", "") and got["fr", "src1"].model_id == "m2"
+    at = spark.createDataFrame(rows, cols).select(R.leaf_of(F.lit(f"{root}/metrics")).alias("dir"))
+    assert sorted(r.dir for r in at.collect()) == sorted(r.dir for r in files.collect())
