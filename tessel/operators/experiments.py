@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions.hashing import order_key
-from tessel.operators.metrics import report_from_confusion, summary_metrics
+from tessel.operators.metrics import confusion, report_from_confusion, summary_metrics
 from tessel.plans.rank import bucketed_rank
 from tessel.session import materialize
 
@@ -64,6 +64,35 @@ def sweep(docs: DataFrame, cells: Sequence[dict], seed: int = 42, label_col: str
                     "precision_macro", "recall_macro", "n_eval"))
 
 
+def sweep_models(docs: DataFrame, cells: Sequence[dict], seed: int = 42, min_df: int = 5, vocab_size: int = 50000, l2: float = 1e-3, steps: int = 60) -> DataFrame:
+    """Linear models of all cells in one shared scan: ``cell, n_train, accuracy, macro_f1, precision_macro, recall_macro, n_eval``. ``docs`` has
+    ``id, text, label``; a cell trains on the first ``train_prop`` of each label in hash order (at most ``cap``), class-weighted, and is judged on the
+    rest. The TF-IDF features are fitted once, on all documents."""
+    from tessel.operators import gradient
+    from tessel.operators import models as ML
+    t = ML.training(docs.select("id", "text", "label"), min_df, vocab_size, use_class_weights=False)
+    d = docs.select("id", "label").withColumn("__h", order_key("id", seed))
+    r = bucketed_rank(d, ["label"], "__h", "id", rank_col="r", n_col="n").drop("__h")
+    n_tr = [F.bround(F.lit(float(c["train_prop"])) * F.col("n"), 0) for c in cells]
+    limit = [F.least(n, F.lit(int(c["cap"]))) if c.get("cap") else n for n, c in zip(n_tr, cells)]
+    r = r.select("id", "label", F.array(*[F.col("r") <= x for x in limit]).alias("trains"), F.array(*[F.col("r") > x for x in n_tr]).alias("judged"))
+    y = F.create_map(*[v for i, name in enumerate(t.labels) for v in (F.lit(name), F.lit(i))])
+    table = ML.written(ML.sparse(t.rows, ["id"]).join(r, "id").select("label", y[F.col("label")].alias("y"), "trains", "judged", "at", "x"), "sweep")
+    # rows of each class in each cell: cells x classes numbers
+    count = table.groupBy("y").agg(*[F.count(F.when(F.col("trains")[i], 1)).alias(f"c{i}") for i in range(len(cells))]).collect()
+    n_of = {(i, row["y"]): row[f"c{i}"] for i in range(len(cells)) for row in count}
+    present = [sum(n > 0 for (i, _), n in n_of.items() if i == k) for k in range(len(cells))]
+    # balanced: every class of a cell has the same sum of weights, and a cell's weights sum to 1
+    per = F.create_map(*[v for k in range(len(t.labels)) for v in (F.lit(k), F.array(*[
+        F.lit(1.0 / (present[i] * n_of[i, k]) if n_of.get((i, k)) else 0.0) for i in range(len(cells))]))])
+    share = F.zip_with("trains", per[F.col("y")], lambda a, b: F.when(a, b).otherwise(0.0))
+    weights = gradient.fit_many(table.select("y", share.alias("share"), "at", "x"), len(cells), len(t.labels), t.size, l2, steps)
+    pred = gradient.predict_many(table, weights, t.labels)
+    summ = summary_metrics(report_from_confusion(confusion(pred, keys=["cell"]), ["cell"]), ["cell"])
+    sizes = docs.sparkSession.createDataFrame([(i, sum(n for (k, _), n in n_of.items() if k == i)) for i in range(len(cells))], "cell int, n_train long")
+    return F.broadcast(sizes).join(summ, "cell", "left")  # one row per cell
+
+
 def learning_curves(results: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:
     """Curve table: per ``keys`` group, numeric points sorted by ``x`` as
     ``"x:y;..."`` and their count. A group holds one point per run."""

@@ -63,6 +63,28 @@ def q_sweep(spark, sf):
     return _sweep(spark, sf)
 
 
+def _sweep_models(spark, sf):
+    docs = D.dedup(filtered_docs(labelled_docs(spark, sf), PrepareParams(), spark), "text")
+    cells = CELLS[:-1]
+    return materialize(X.sweep_models(materialize(docs.select("id", "text", "label")), cells)), cells
+
+
+@query("sweep_models")
+def q_sweep_models(spark, sf):
+    """A linear model in every cell of the sweep, all trained in one shared scan."""
+    s, cells = _sweep_models(spark, sf)
+    plan = spark.createDataFrame([(i, float(c["train_prop"]), c["balance"], int(c["cap"])) for i, c in enumerate(cells)], "cell int, train_prop double, balance string, cap long")
+    return s.join(F.broadcast(plan), "cell").select("cell", "train_prop", "balance", "cap", "n_train", "accuracy", "macro_f1", "precision_macro", "recall_macro", "n_eval")
+
+
+@query("sweep_model_counts", f"""WITH {PREP}, {SWEEP}, e AS (SELECT cell, count(*) AS n_eval FROM x2 WHERE is_job GROUP BY cell)
+SELECT CAST(cell AS INTEGER) AS cell, n_train, n_eval, true AS learned FROM ntrain JOIN e USING (cell)""")
+def q_sweep_model_counts(spark, sf):
+    """What SQL can state of it: the rows each cell learns from and is judged on, and that it learned something."""
+    s, _ = _sweep_models(spark, sf)
+    return s.select("cell", "n_train", "n_eval", (F.col("accuracy") > 0.5).alias("learned"))
+
+
 @query("learning_curve_points", f"""WITH {PREP}, {SWEEP}
 SELECT balance, model, count(*) AS n_points,
        string_agg(printf('%.3f', train_prop) || ':' || printf('%.6f', macro_f1), ';' ORDER BY train_prop, macro_f1) AS points
