@@ -105,25 +105,28 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     links = stored(parents(known), "links")
     turns = stored(known.select("conv_id", "turn").distinct(), "turns")
-    turns = latest_before(turns, turns, ["conv_id"], "turn", "turn", "before").join(links, ["conv_id", "turn"], "left")
+    turns = in_turn_order(turns).join(links, ["conv_id", "turn"], "left")
     turns = stored(turns.withColumn("parent_turn", F.coalesce("linked", "before")), "turns")
-    threaded = stored(turns.join(links.select("conv_id").distinct(), "conv_id", "left_semi"), "threaded")
-    plain = turns.join(links.select("conv_id").distinct(), "conv_id", "left_anti")
-    place = stored(in_turn_order(plain).unionByName(in_reply_order(threaded)), "places")
-    info = turns.join(place, ["conv_id", "turn"]).select("conv_id", "turn", "parent_turn", F.col("linked").isNotNull().alias("quotes"), "position")
+    info = turns
+    if count_rows(links):
+        threaded = stored(turns.join(links.select("conv_id").distinct(), "conv_id", "left_semi"), "threaded")
+        place = stored(in_reply_order(threaded), "places").withColumnRenamed("position", "place")
+        info = turns.join(place, ["conv_id", "turn"], "left").withColumn("position", F.coalesce("place", "position"))
+    info = info.select("conv_id", "turn", "parent_turn", F.col("linked").isNotNull().alias("quotes"), "position")
     out = messages.join(info, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", clean_text().alias("text"), "parent_turn", F.coalesce("quotes", F.lit(False)).alias("quotes"), "position")
     return out.orderBy("conv_id", "position", "role", "text")
 
 
 def in_turn_order(turns: DataFrame) -> DataFrame:
-    """``conv_id, turn, position`` where the order is that of the turns, counted by ranges."""
+    """``conv_id, turn`` with the turn ``before`` and the ``position`` by turn, both within ranges and carried over from earlier ones."""
     t = turns.select("conv_id", "turn").withColumn("range", F.floor(F.col("turn") / RANGE))
-    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = t.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select("conv_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy("turn")) - 1
-    return t.withColumn("inside", inside).join(sizes, ["conv_id", "range"]).select("conv_id", "turn", (F.col("before") + F.col("inside")).alias("position"))
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = t.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last"))
+    ranges = ranges.select("conv_id", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carried"), F.max("last").over(earlier).alias("last"))
+    inside = Window.partitionBy("conv_id", "range").orderBy("turn")
+    t = t.withColumn("near", F.lag("turn").over(inside)).withColumn("inside", F.row_number().over(inside) - 1).join(ranges, ["conv_id", "range"])
+    return t.select("conv_id", "turn", F.coalesce("near", "last").alias("before"), (F.col("carried") + F.col("inside")).alias("position"))
 
 
 def in_reply_order(turns: DataFrame) -> DataFrame:
