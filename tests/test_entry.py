@@ -12,7 +12,7 @@ def test_entry_runs(spark):
 def test_registry_consistent():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert len(q) >= 80
+    assert len(q) >= 130 and len(o) >= 120
 
 
 def test_some_queries_small(spark):

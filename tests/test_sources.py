@@ -1,11 +1,11 @@
 """TEI parsing, cleaning report and actor resolution edge cases."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tessel.operators import actors as AC
 from tessel.operators import dedup as D
+from tessel.session import scratch_path
+from tessel.sources.runs import fresh, write_text
 from tessel.sources.tei import scan_tei
 
 TEI_FIXTURE = """<?xml version="1.0" encoding="utf-8"?>
@@ -28,9 +28,8 @@ TEI_FIXTURE = """<?xml version="1.0" encoding="utf-8"?>
 
 
 def test_tei_scan_fixture(spark):
-    d = tempfile.mkdtemp(prefix="tessel-tei-", dir="/tmp")
-    with open(f"{d}/corpus.xml", "w", encoding="utf-8") as f:
-        f.write(TEI_FIXTURE)
+    d = scratch_path(spark, fresh("tei-test"))
+    write_text(spark, f"{d}/corpus.xml", TEI_FIXTURE)
     rows = {r["id"]: r for r in scan_tei(spark, d, "web1", None).collect() if r["id"]}
     r1 = rows["d1"]
     assert r1["text"] == "H Hello big world & more"
@@ -56,9 +55,8 @@ PREFIXED = """<?xml version="1.0"?>
 
 def test_prefixed_corpus_and_documents_without_ids(spark):
     from tessel.sources.tei import export_kept
-    d = tempfile.mkdtemp(prefix="tessel-tei-", dir="/tmp")
-    with open(f"{d}/corpus.xml", "w", encoding="utf-8") as f:
-        f.write(PREFIXED)
+    d = scratch_path(spark, fresh("tei-test"))
+    write_text(spark, f"{d}/corpus.xml", PREFIXED)
     rows = scan_tei(spark, d, with_record=True).collect()
     assert sorted(r["text"] for r in rows) == ["one", "same", "same"] and not any(r["_corrupt"] for r in rows)
     assert len({r["id"] for r in rows}) == 3
@@ -118,7 +116,7 @@ def test_tsv_roundtrip_keeps_tabs_quotes_newlines(spark):
     rows = [("d1", "a", "a", "web", "web1", 'he said "hi"\tthen\nleft'), ("d2", "b", "b", "web", "web2", "plain"),
             ("d3", "", "x", "web", "web1", "no label"), ("d4", "a", "a", "web", "web1", "  ")]
     df = spark.createDataFrame(rows, "id string, label string, label_raw string, modality string, source string, text string")
-    path = tempfile.mkdtemp(prefix="tessel-tsv-", dir="/tmp") + "/view"
+    path = scratch_path(spark, fresh("tsv-test"))
     back = TSV.read_labelled_tsv(spark, TSV.write_view_tsv(df, path))
     got = {r["id"]: r["text"] for r in back.collect()}
     assert got == {"d1": 'he said "hi"\tthen\nleft', "d2": "plain"}  # empty label / blank text dropped
