@@ -42,11 +42,11 @@ NO_MODEL = 0.5
 SEED = 17
 
 #: Hash buckets of words, and as many of character trigrams.
-BUCKETS = 128
+BUCKETS = 64
 #: A hashed feature counts a quarter of a surface one, so the ridge holds it down sixteen times as much.
 HASHED_WEIGHT = 0.25
 #: Pairs whose differences are held at a time while fitting.
-PAIR_ROWS = 1 << 14
+PAIR_ROWS = 1 << 11
 
 SURFACE = ("log_words", "tiny", "symbols", "symbols_high", "upper", "upper_high", "digits", "pipes", "word_len", "long_words",
             "repeats", "repeats_high", "neighbours", "same_lines", "lines_per_word", "end_marks")
@@ -106,6 +106,11 @@ def preference_pairs(good: np.ndarray, pairs_per_row: int = PAIRS_PER_ROW, seed:
     return left, rng.permutation(right)
 
 
+def product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w in double precision, some rows of a single-precision matrix at a time."""
+    return np.concatenate([x[at:at + PAIR_ROWS].astype(np.float64) @ w for at in range(0, len(x), PAIR_ROWS)] or [np.empty(0)])
+
+
 def bradley_terry(x: np.ndarray, good: np.ndarray, pairs_per_row: int = PAIRS_PER_ROW, ridge: float = 1e-2,
                   seed: int = SEED, steps: int = 30) -> np.ndarray | None:
     """Weights w that maximise sum log sigmoid(w.(x_good - x_bad)) - ridge; None without pairs."""
@@ -116,14 +121,14 @@ def bradley_terry(x: np.ndarray, good: np.ndarray, pairs_per_row: int = PAIRS_PE
     parts = [slice(at, at + PAIR_ROWS) for at in range(0, m, PAIR_ROWS)]
 
     def loss(v: np.ndarray) -> float:
-        s = x @ v
+        s = product(x, v)
         return float(np.logaddexp(0, s[right] - s[left]).mean() + ridge * v @ v / 2)
 
     now = loss(w)
     for _ in range(steps):
         grad, hess = ridge * w, ridge * np.eye(len(w))
         for part in parts:
-            d = x[left[part]] - x[right[part]]
+            d = (x[left[part]] - x[right[part]]).astype(np.float64)
             p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
             grad -= d.T @ p / m
             hess += (d * (p * (1 - p))[:, None]).T @ d / m
@@ -142,12 +147,14 @@ class QualityModel:
     """Score w.x, squashed around the quantile threshold."""
 
     def __init__(self, x: np.ndarray, good: np.ndarray, cut: float = CUT, reject_share: float | None = None):
-        self.mean, self.scale = (x.mean(0), np.maximum(x.std(0), 1e-6)) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
+        self.mean, self.scale = (x.mean(0, np.float64), np.maximum(x.std(0, np.float64), 1e-6)) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
         self.scale[len(SURFACE):] /= HASHED_WEIGHT
-        self.w = bradley_terry((x - self.mean) / self.scale, good)
+        z = x - self.mean.astype(x.dtype)
+        z /= self.scale.astype(x.dtype)
+        self.w = bradley_terry(z, good)
         self.cut, self.threshold, self.slope = cut, 0.0, 1.0
         if self.w is not None:
-            s = np.sort(self.raw(x))
+            s = np.sort(product(z, self.w))
             at = min(len(s) - 1, max(1, round(len(s) * (float((~good).mean()) if reject_share is None else reject_share))))
             self.threshold = float(s[at - 1] + s[at]) / 2
             self.slope = 4.0 / max(1e-6, float(s.std()))
@@ -180,8 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cut:
     # the cut by count holds even if one document comes many times
     rows: pd.DataFrame = found.orderBy(F.xxhash64("doc_id", "good", "x"), "doc_id", "good", "x").limit(sample_rows).toPandas()
     rows = rows.sort_values(["doc_id", "good", "x"])
-    x = np.frombuffer(b"".join(rows["x"]), "<f4").reshape(len(rows), N_FEATURES).astype(np.float64)
-    return QualityModel(x, rows["good"].to_numpy(bool), cut)
+    good = rows["good"].to_numpy(bool)
+    x = np.frombuffer(b"".join(rows.pop("x")), "<f4").reshape(len(good), N_FEATURES)
+    return QualityModel(x, good, cut)
 
 
 def score(docs: DataFrame, model: QualityModel, score_col: str = "quality_score") -> DataFrame:
