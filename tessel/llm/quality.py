@@ -8,9 +8,10 @@ logistic loss on feature differences (ridge, Newton steps). The accepting
 threshold is the quantile of the training scores at the share of bad labels;
 scores are squashed to 0..1 so that the threshold lies at ``cut``.
 
-The fit uses a sample of at most ``sample_rows`` labelled rows (distinct id and label, chosen by the
-hash of the id, then cut by count, so that neither repeated labels nor repeated documents exceed it; ``pairs_per_row`` pairs a row): its feature rows are the only
-thing that reaches the driver. Scoring is one pass over whole texts without a
+The fit uses all labelled rows (distinct id and label). Their feature rows are dealt by hash into chunks of some
+``CHUNK_ROWS``, each written as one row; pairs are made within a chunk (``pairs_per_row`` a row). A Newton step is a pass over the chunks,
+of which only sums reach the driver, and the threshold is the exact quantile of all training scores. (``sample_rows`` fits on a
+sample of that many rows instead, chosen by the hash of the id, then cut by count, on the driver.) Scoring is one pass over whole texts without a
 shuffle.
 
 Defined results: null text is empty; an empty or one-word text has the features
@@ -33,12 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessel.llm.common import arrow_slices, byte_texts, count_rows
+from tessel.llm.common import arrow_slices, byte_texts, count_rows, stored
+from tessel.operators.quantiles import order_statistics
 
-SAMPLE_ROWS = 20_000
+CHUNK_ROWS = 20_000
+#: Rows of each class that a chunk has about, at least, so that all its rows find a pair.
+CHUNK_LEAST = 64
 PAIRS_PER_ROW = 8
 CUT = 0.3
 NO_MODEL = 0.5
+RIDGE = 1e-2
 SEED = 17
 
 #: Hash buckets of words, and as many of character trigrams.
@@ -111,7 +116,7 @@ def product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.concatenate([x[at:at + PAIR_ROWS].astype(np.float64) @ w for at in range(0, len(x), PAIR_ROWS)] or [np.empty(0)])
 
 
-def bradley_terry(x: np.ndarray, good: np.ndarray, pairs_per_row: int = PAIRS_PER_ROW, ridge: float = 1e-2,
+def bradley_terry(x: np.ndarray, good: np.ndarray, pairs_per_row: int = PAIRS_PER_ROW, ridge: float = RIDGE,
                   seed: int = SEED, steps: int = 30) -> np.ndarray | None:
     """Weights w that maximise sum log sigmoid(w.(x_good - x_bad)) - ridge; None without pairs."""
     if good.all() or not good.any():
@@ -169,21 +174,24 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cut: float = CUT) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None, cut: float = CUT) -> QualityModel:
     """Learn from ``labels`` (doc_id, quality) joined with ``docs`` (doc_id, text)."""
     lab = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("quality").cast("int") == 1).alias("good")).dropna().distinct()
-    n = count_rows(lab)
-    share = 1_000_000 if n <= sample_rows else sample_rows * 1_000_000 // n
-    # at most about sample_rows ids, two rows each: a proven bound for the broadcast
-    sample = lab.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < share)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_slices(batches):
             x = pa.array([text_features(t).astype("<f4").tobytes() for t in byte_texts(b.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), x], names=["doc_id", "good", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), x], names=["doc_id", "x"])
 
-    found = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-             .join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id long, good boolean, x binary"))
+    if sample_rows is None:  # features are joined with labels: texts are not shuffled
+        found = stored(texts.mapInArrow(run, "doc_id long, x binary").join(lab, "doc_id"), "quality-features")
+        return fit_chunks(chunked(found), cut)
+    n = count_rows(lab)
+    share = 1_000_000 if n <= sample_rows else sample_rows * 1_000_000 // n
+    # at most about sample_rows ids, two rows each: a proven bound for the broadcast
+    sample = F.broadcast(lab.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < share))
+    found = texts.join(sample, "doc_id", "left_semi").mapInArrow(run, "doc_id long, x binary").join(sample, "doc_id")
     # the cut by count holds even if one document comes many times
     rows: pd.DataFrame = found.orderBy(F.xxhash64("doc_id", "good", "x"), "doc_id", "good", "x").limit(sample_rows).toPandas()
     rows = rows.sort_values(["doc_id", "good", "x"])
@@ -192,6 +200,115 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cut:
     return QualityModel(x, good, cut)
 
 
+def chunked(found: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``chunk, good, x``: the rows of ``found`` (``doc_id, good, x``) in chunks, a row each, labels and features as bytes."""
+    n = {r["good"]: r["n"] for r in found.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chunks = max(1, min(-(-sum(n.values()) // chunk_rows), min(n.get(True, 0), n.get(False, 0)) // CHUNK_LEAST))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, good, x = None, [], []
+
+        def done():
+            if good:
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bytes(good)], pa.binary()), pa.array([b"".join(x)], pa.binary())],
+                                                 names=["chunk", "good", "x"])
+
+        for b in batches:
+            for c, g, v in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if c != now:
+                    yield from done()
+                    now, good, x = c, [], []
+                good.append(g)
+                x.append(v)
+        yield from done()
+
+    # equal rows are numbered, so that copies of one row are dealt as others are
+    copies = found.groupBy("doc_id", "good", "x").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "good", "x", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    at = F.pmod(F.xxhash64("doc_id", "good", "x", "k", F.lit(SEED)), F.lit(chunks)).cast("int")
+    dealt = copies.select(at.alias("chunk"), "doc_id", "good", "x").repartition(chunks, "chunk").sortWithinPartitions("chunk", "doc_id", "good", "x")
+    return stored(dealt.select("chunk", "good", "x").mapInArrow(run, "chunk int, good binary, x binary"), "quality-chunks")
+
+
+def over(chunks: DataFrame, count: int, sums) -> list[np.ndarray]:
+    """The sum over all chunks of each of the ``count`` arrays that ``sums(x, good, chunk)`` returns, added up in the tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for c, g, v in zip(*b.columns):
+                good = np.frombuffer(g.as_buffer(), np.uint8).astype(bool)
+                got = sums(np.frombuffer(v.as_buffer(), "<f4").reshape(len(good), -1), good, c.as_py())
+                total = got if total is None else [a + x for a, x in zip(total, got)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(x, np.float64).tobytes()], pa.binary()) for x in total], names=[f"s{i}" for i in range(len(total))])
+
+    rows = chunks.mapInArrow(run, ", ".join(f"s{i} binary" for i in range(count))).collect()  # a row a task
+    return [sum(np.frombuffer(r[i]) for r in rows) for i in range(count)] if rows else []
+
+
+def fit_chunks(chunks: DataFrame, cut: float = CUT) -> QualityModel:
+    """The model of :class:`QualityModel` over the rows of all ``chunks``, pairs within each; by passes over them."""
+    model = QualityModel(np.empty((0, N_FEATURES), "<f4"), np.empty(0, bool), cut)
+    first = over(chunks, 2, lambda x, good, chunk: [np.array([len(good), good.sum()]), x.sum(0, np.float64)])
+    if not first or not 0 < first[0][1] < first[0][0]:
+        return model
+    n, n_good = (int(v) for v in first[0])
+    mean = first[1] / n
+    squares, = over(chunks, 1, lambda x, good, chunk: [((x - mean) ** 2).sum(0)])
+    model.mean, model.scale = mean, np.maximum(np.sqrt(squares / n), 1e-6)
+    model.scale[len(SURFACE):] /= HASHED_WEIGHT
+    mean4, scale4 = mean.astype("<f4"), model.scale.astype("<f4")
+
+    def at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss, gradient and Hessian."""
+        def part(x, good, chunk):
+            k = len(v)
+            grad, hess, m, lost = np.zeros(k), np.zeros((k, k)), 0, 0.0
+            if good.any() and not good.all():
+                z = (x - mean4) / scale4
+                left, right = preference_pairs(good, seed=SEED + chunk)
+                for lo in range(0, len(left), PAIR_ROWS):
+                    d = (z[left[lo:lo + PAIR_ROWS]] - z[right[lo:lo + PAIR_ROWS]]).astype(np.float64)
+                    s = np.clip(d @ v, -500, 500)
+                    p = 1 / (1 + np.exp(s))
+                    grad -= d.T @ p
+                    hess += (d * (p * (1 - p))[:, None]).T @ d
+                    lost += float(np.logaddexp(0, -s).sum())
+                m = len(left)
+            return [np.array([m, lost]), grad, hess.ravel()]
+
+        (m, lost), grad, hess = over(chunks, 3, part)
+        k = len(v)
+        return lost / m + RIDGE * v @ v / 2, grad / m + RIDGE * v, hess.reshape(k, k) / m + RIDGE * np.eye(k)
+
+    w = np.zeros(N_FEATURES)
+    now, grad, hess = at(w)
+    for _ in range(30):
+        step, rate = np.linalg.solve(hess, grad), 1.0
+        new, grad, hess = at(w - step)
+        while new > now and rate > 1e-6:
+            rate /= 2
+            new, grad, hess = at(w - rate * step)
+        w = w - rate * step
+        if now - new < 1e-10:
+            break
+        now = new
+    model.w = w
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for v in b.column(0):
+                z = (np.frombuffer(v.as_buffer(), "<f4").reshape(-1, len(w)) - mean4) / scale4
+                yield pa.RecordBatch.from_arrays([pa.array(product(z, w))], names=["v"])
+
+    s = stored(chunks.select("x").mapInArrow(scores, "v double"), "quality-scores")
+    k = min(n - 1, max(1, round(n * (1 - n_good / n))))
+    known = order_statistics(s, [k - 1, k])
+    model.threshold = (known[k - 1] + known[k]) / 2
+    model.slope = 4.0 / max(1e-6, float(s.agg(F.stddev_pop("v")).first()[0]))
+    return model
+
+
 def score(docs: DataFrame, model: QualityModel, score_col: str = "quality_score") -> DataFrame:
     """``docs`` with ``score_col`` (double, 0 to 1) appended; other columns as they are."""
     if score_col in docs.columns:

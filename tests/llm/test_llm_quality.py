@@ -110,6 +110,30 @@ def test_the_sample_is_cut_by_count(spark):
     assert seen[0] <= 100
 
 
+def test_the_fit_reads_every_labelled_row(spark, monkeypatch):
+    """The weights, threshold and slope over several chunks are those of one matrix of all rows with the same pairs."""
+    rows = corpus(700, 9)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    sampled = Q.fit(docs, labels, sample_rows=10_000)
+    whole = Q.fit(docs, labels)  # one chunk: the same pairs
+    assert np.allclose(whole.w, sampled.w, atol=1e-4) and abs(whole.threshold - sampled.threshold) < 1e-3
+    assert np.allclose(whole.mean, sampled.mean, atol=1e-6) and np.allclose(whole.scale, sampled.scale, rtol=1e-4)
+    seen, make = [], Q.chunked
+
+    def small(found):
+        seen.append(make(found, 100))
+        return seen[-1]
+    monkeypatch.setattr(Q, "chunked", small)
+    monkeypatch.setattr(Q, "CHUNK_LEAST", 8)
+    many = Q.fit(docs, labels)
+    parts = seen[0].collect()
+    assert len(parts) == 7 and sum(len(r.good) for r in parts) == 700 and sum(len(r.x) for r in parts) == 700 * Q.N_FEATURES * 4
+    s = sorted(many.raw(np.concatenate([np.frombuffer(r.x, "<f4").reshape(-1, Q.N_FEATURES) for r in parts])).tolist())
+    k = round(700 * sum(q == 0 for _, _, q in rows) / 700)
+    assert abs(many.threshold - (s[k - 1] + s[k]) / 2) < 1e-4 and abs(many.slope - 4 / np.std(s)) < 1e-3
+
+
 def test_queries_fold_null_ids_and_types(spark):
     """The registered queries of languages and quality: folds by crc32 of the id, null ids, column types."""
     import zlib
