@@ -3,11 +3,11 @@
 Scan: ``spark.read.text(path, lineSep="</TEI>")`` (or ``</prefix:TEI>``: the first
 document tag tells) splits files into one record per document on any split boundary, so a
 multi-GB corpus file is read by many tasks in parallel; the prolog / corpus wrapper before
-the first ``<TEI`` of a record is cut off, and prefixes that the wrapper declared are declared again. Parse: one Arrow-batched pandas UDF parses each record
-once with the standard-library XML parser (namespace-agnostic) into a struct;
+the first ``<TEI`` of a record is cut off, and prefixes that the wrapper declared are declared again. Parse: each record is parsed
+once with the standard-library XML parser (namespace-agnostic), some MB of an Arrow batch at a time;
 a malformed document sets ``_corrupt`` instead of failing the job.
 Spark's own ``xml`` source infers a schema and loses mixed-content order,
-and ``xpath`` re-parses per call and throws on malformed input, hence the UDF.
+and ``xpath`` re-parses per call and throws on malformed input, hence the function.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, MapType, StringType,
@@ -31,6 +32,10 @@ PARSED = StructType([
     StructField("chars", IntegerType()), StructField("langs", ArrayType(StringType())),
     StructField("head_p_len", IntegerType()), StructField("_corrupt", BooleanType()),
 ])
+ARROW_KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
+               "map<string,array<string>>": pa.map_(pa.string(), pa.list_(pa.string()))}
+#: Bounds of the records that a task parses at a time.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 512
 _MD5_RE = re.compile(r"md5_text=([0-9a-fA-F]{32})")
 _CHARS_RE = re.compile(r"chars=(\d+)")
 _START_RE = re.compile(r"<(?:[A-Za-z_][\w.-]*:)?TEI[\s>]")
@@ -96,16 +101,34 @@ def _parse_one(rec: str | None):
             "chars": chars, "langs": langs, "head_p_len": head_p, "_corrupt": False}
 
 
-@F.pandas_udf(PARSED)
-def parse_tei(records: pd.Series) -> pd.DataFrame:
-    rows = [_parse_one(r) for r in records]
-    cols = {f.name: [None if r is None else r[f.name] for r in rows] for f in PARSED.fields}
-    return pd.DataFrame(cols)
+def _slices(batches):
+    """Batches cut so that a slice has some MB of records (or one longer record): a task holds no more parsed documents than that."""
+    for batch in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+            stop = max(at + 1, min(stop, at + SLICE_ROWS))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
-# Deterministic in fact; flagged otherwise so the record filter below does not
-# become a second parse of every record.
-parse_tei = parse_tei.asNondeterministic()
+def parsed(records: DataFrame, with_record: bool = False) -> DataFrame:
+    """The columns of ``records`` (the first one, the record itself, only if it is asked for) and the fields of ``PARSED``, of those that hold a document."""
+    skip = 0 if with_record else 1
+    names = [*records.columns[skip:], *PARSED.names]
+    kinds = [ARROW_KINDS[f.dataType.simpleString()] for f in PARSED.fields]
+
+    def run(batches):
+        for b in _slices(batches):
+            rows = [_parse_one(r) for r in b.column(0).to_pylist()]
+            found = pa.array([i for i, r in enumerate(rows) if r is not None], pa.int64())
+            rows = [r for r in rows if r is not None]
+            cols = [pa.array([list(r[n].items()) if isinstance(r[n], dict) else r[n] for r in rows], kind) for n, kind in zip(PARSED.names, kinds)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([*(c.take(found) for c in b.columns[skip:]), *cols], names=names)
+        pa.default_memory_pool().release_unused()  # a worker process lives on after its task
+
+    return records.mapInArrow(run, StructType([*records.schema.fields[skip:], *PARSED.fields]))
 
 
 def close_tag(spark: SparkSession, path: str) -> str:
@@ -135,8 +158,7 @@ def scan_tei(spark: SparkSession, path: str, corpus_id: str | None = None,
     else:  # one row per split
         raw = raw.join(F.broadcast(ordinals), ["file", "start"]).withColumn("ordinal", F.col("before") + F.col("at") - F.col("first") + 1)
         raw = raw.select("value", F.concat(F.lit("doc_"), F.col("ordinal").cast("string")).alias("place"), "ordinal")
-    # records without a <TEI> start (wrapper tail) parse to an all-null struct
-    p = raw.select("value", "place", "ordinal", parse_tei("value").alias("d")).where(F.col("d._corrupt").isNotNull()).select("value", "place", "ordinal", "d.*")
+    p = parsed(raw.select("value", "place", "ordinal"), with_record)  # records without a <TEI> start (wrapper tail) hold no document
     first_term = lambda t: F.element_at(F.filter(F.col("terms")[t], lambda x: x != ""), 1)
     record = F.concat(F.regexp_extract("value", r"(?s)(<(?:[A-Za-z_][\w.-]*:)?TEI[\s>].*)", 1), F.lit(end))
     return p.select(
