@@ -21,12 +21,20 @@ from tessel.plans.rank import bucketed_rank, top_k
 from tessel.session import materialize
 
 
+#: Characters of text to a partition while its terms are counted.
+PART_CHARS = 4_000_000
+
+
 def doc_terms(df: DataFrame, id_col: str = "id", text_col: str = "text", n_max: int = 2) -> DataFrame:
     # Cluster documents by id before exploding: the (id, term) aggregation is
     # then local (hash partitioning on id satisfies it), so the text moves once
     # instead of the much larger exploded n-gram rows. Tokens get their own
     # projection (see functions.text.shingles).
-    d = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")).repartition("id")
+    # Its hash table holds the distinct terms of a partition, so partitions get some MB of text each however large the input is.
+    chars = F.col("text_len") if text_col == "text" and "text_len" in df.columns else F.length(text_col)
+    parts = 1 + int(df.agg(F.sum(chars)).first()[0] or 0) // PART_CHARS
+    d = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
+    d = d.repartition(max(parts, min(df.sparkSession.sparkContext.defaultParallelism, 1 + parts * 4)), "id")
     t = d.select("id", word_tokens("__text").alias("__tok"))
     return (t.select("id", F.explode(word_ngrams("__tok", n_max)).alias("term"))
             .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
