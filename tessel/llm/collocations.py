@@ -42,7 +42,7 @@ BLOCK_WORDS = 1 << 19
 #: Words that all open blocks of a task may hold together.
 OPEN_WORDS = 1 << 20
 #: Bytes of text made into Python words at a time.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 TILE = 512
 #: A tile is dense when a block has this many pairs in it.
 DENSE_PAIRS = TILE * TILE // 8
@@ -154,6 +154,7 @@ def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                             yield row(closed)
             if blocks.total >= OPEN_WORDS:
                 yield from (row(c) for c in map(blocks.close, list(blocks.open)) if c)
+            pa.default_memory_pool().release_unused()
         yield from (row(c) for c in map(blocks.close, list(blocks.open)) if c)
 
     src = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''")
