@@ -1,8 +1,8 @@
 """Spark ML estimators on TF-IDF features, trained on the train split and
 evaluated on the job split with the shared confusion-based report.
 
-Features: lower-cased word tokens (>= 2 chars) + bigrams -> CountVectorizer
-(``minDF``, ``vocabSize``) -> IDF -> L2 Normalizer. Spark's IDF is
+Features: lower-cased word tokens (>= 2 chars) + bigrams -> counts of the most
+frequent terms (``min_df``, ``vocab_size``) -> IDF -> L2 Normalizer. Spark's IDF is
 ``ln((n+1)/(df+1))``; the weights are ``tf * (idf + 1)``, as in the relational TF-IDF of
 ``features.py``. Class weights (balanced) enter as
 ``weightCol``; labels are indexed alphabetically.
@@ -14,12 +14,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassificationModel, DecisionTreeClassifier, LinearSVC, LinearSVCModel,
                                        LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel,
                                        RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, HashingTF, IndexToString, NGram, Normalizer,
+from pyspark.ml.feature import (IDF, CountVectorizerModel, ElementwiseProduct, HashingTF, IndexToString, NGram, Normalizer,
                                 RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -31,25 +32,81 @@ from pyspark.sql import functions as F
 from tessel.operators import perceptron
 from tessel.operators.balance import class_weights
 from tessel.operators.metrics import classification_report
+from tessel.plans.rank import top_k
 from tessel.session import scratch_path
 
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
-def tfidf_stages(min_df: int = 5, vocab_size: int = 50000, bigrams: bool = True):
+#: Words that a task numbers at a time, and the pairs of them that it spells out at a time.
+TOKENS_AT_ONCE, PAIRS_AT_ONCE = 1 << 21, 1 << 17
+
+
+def tfidf_stages(bigrams: bool = True):
     tok = RegexTokenizer(inputCol="text", outputCol="__tok", pattern=WORD_PATTERN, gaps=False, toLowercase=True)
     stages = [tok]
-    terms = "__tok"
     if bigrams:
         stages += [NGram(n=2, inputCol="__tok", outputCol="__bi"),
                    SQLTransformer(statement="SELECT *, concat(__tok, __bi) AS __terms FROM __THIS__")]
-        terms = "__terms"
-    return [*stages, CountVectorizer(inputCol=terms, outputCol="__tf", minDF=float(min_df), vocabSize=vocab_size)]
+    return stages
+
+
+def term_counts(tokens: DataFrame, bigrams: bool = True) -> DataFrame:
+    """``term, df, ctf``: documents and occurrences of every word and, with ``bigrams``, every pair of adjacent words of ``tokens`` (``__tok``). A task
+    numbers the words of some documents and counts the numbers, so only terms that differ there become rows."""
+
+    def counted(key: np.ndarray, owner: np.ndarray, docs: int):
+        """Distinct keys with their documents and occurrences, by one sort of (key, document)."""
+        both = np.sort(key * docs + owner)
+        key, new = both // docs, np.flatnonzero(np.diff(both, prepend=-1))
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        return key[first], np.diff(np.searchsorted(new, np.append(first, len(key)))), np.diff(np.append(first, len(key)))
+
+    def rows(term, df, ctf):
+        return pa.RecordBatch.from_arrays([term.cast(pa.string()), pa.array(df, pa.int64()), pa.array(ctf, pa.int64())], names=["term", "df", "ctf"])
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(0)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < len(ends):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOKENS_AT_ONCE, side="right")))
+                words = column.slice(lo, hi - lo).flatten().dictionary_encode()
+                docs = hi - lo
+                owner = np.repeat(np.arange(docs), np.diff(ends[lo:hi], prepend=ends[lo - 1] if lo else 0))
+                lo = hi
+                if not len(words):
+                    continue
+                ids, names = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+                terms, df, ctf = counted(ids, owner, docs)
+                yield rows(names.take(pa.array(terms)), df, ctf)
+                both = np.flatnonzero(owner[1:] == owner[:-1]) if bigrams else []
+                if len(both):
+                    terms, df, ctf = counted(ids[both] * len(names) + ids[both + 1], owner[both], docs)
+                    for at in range(0, len(terms), PAIRS_AT_ONCE):
+                        cut = slice(at, at + PAIRS_AT_ONCE)
+                        first, second = (names.take(pa.array(x)) for x in np.divmod(terms[cut], len(names)))
+                        yield rows(pc.binary_join_element_wise(first, second, " "), df[cut], ctf[cut])
+
+    found = tokens.select("__tok").mapInArrow(run, "term string, df long, ctf long")
+    return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
+
+
+def fit_counts(train: DataFrame, min_df: int = 5, vocab_size: int = 50000, bigrams: bool = True) -> PipelineModel:
+    """``__tf`` = counts of the ``vocab_size`` most frequent terms (ties by term) that ``min_df`` documents of ``train`` have."""
+    stages = tfidf_stages(bigrams)
+    terms = term_counts(stages[0].transform(train.select("text")), bigrams)
+    best = top_k(written(terms.where(F.col("df") >= int(min_df)), "terms"), "ctf", "term", vocab_size)
+    vocabulary = [r.term for r in sorted(best.select("term", "ctf").collect(), key=lambda r: (-r.ctf, r.term))]  # vocab_size at most
+    if not vocabulary:
+        raise ValueError("no term is frequent enough: lower min_df")
+    return PipelineModel(stages=[*stages, CountVectorizerModel.from_vocabulary(vocabulary, "__terms" if bigrams else "__tok", "__tf")])
 
 
 def fit_tfidf(train: DataFrame, min_df: int = 5, vocab_size: int = 50000, bigrams: bool = True) -> PipelineModel:
     """``features`` = L2-normalised ``tf * (idf + 1)``, fitted on ``train``."""
-    counts = Pipeline(stages=tfidf_stages(min_df, vocab_size, bigrams)).fit(train)
+    counts = fit_counts(train, min_df, vocab_size, bigrams)
     idf = IDF(inputCol="__tf", outputCol="__tfidf").fit(counts.transform(train))
     scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="__tf", outputCol="__tfidf")
     return PipelineModel(stages=[*counts.stages, scale, Normalizer(inputCol="__tfidf", outputCol="features", p=2.0)])
@@ -137,7 +194,7 @@ def training(train: DataFrame, min_df: int = 5, vocab_size: int = 50000, use_cla
              also: DataFrame | None = None) -> Training:
     """Two passes read texts: the vocabulary's, and one that writes the counts of ``train`` (id, text, label) and of
     ``also`` (id, text, label: rows to predict); everything else reads that table. ``select_terms``: only the terms of the highest chi-square."""
-    counts = Pipeline(stages=tfidf_stages(min_df, vocab_size)).fit(train)
+    counts = fit_counts(train, min_df, vocab_size)
     both = train.select("id", "text", "label", F.lit("train").alias("__part"))
     if also is not None:
         both = both.unionByName(also.select("id", "text", "label", F.lit("also").alias("__part")))

@@ -138,3 +138,25 @@ def test_a_stored_model_predicts_the_same(spark):
     assert again.labels == model.labels == ["a", "b"]
     a, b = (sorted((r.id, r.y_pred, str(r.scores)) for r in m.scores(v, ["id"]).collect()) for m in (model, again))
     assert a == b and len(a) == 160
+
+
+def test_term_counts_are_those_of_all_documents_and_ties_go_by_term(spark, monkeypatch):
+    texts = ["bb aa bb aa", "aa", "", "x", "cc bb aa dd", "aa bb " * 30, "Éa éa"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(1)
+    ctf, docs = {}, {}
+    for t in texts:
+        w = [x for x in t.lower().split() if len(x) > 1]
+        terms = w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+        for x in terms:
+            ctf[x] = ctf.get(x, 0) + 1
+        for x in set(terms):
+            docs[x] = docs.get(x, 0) + 1
+    for at_once in (3, ML.TOKENS_AT_ONCE):
+        monkeypatch.setattr(ML, "TOKENS_AT_ONCE", at_once)
+        tokens = ML.tfidf_stages()[0].transform(df)
+        assert {r.term: (r.df, r.ctf) for r in ML.term_counts(tokens).collect()} == {x: (docs[x], ctf[x]) for x in ctf}
+    order = sorted((x for x in ctf if docs[x] >= 1), key=lambda x: (-ctf[x], x))
+    assert ML.fit_counts(df, 1, 5).stages[-1].vocabulary == order[:5]
+    assert ML.fit_counts(df, 2, 50).stages[-1].vocabulary == [x for x in order if docs[x] >= 2]
+    with pytest.raises(ValueError):
+        ML.fit_counts(df, 9)
