@@ -160,3 +160,8 @@ def test_term_counts_are_those_of_all_documents_and_ties_go_by_term(spark, monke
     assert ML.fit_counts(df, 2, 50).stages[-1].vocabulary == [x for x in order if docs[x] >= 2]
     with pytest.raises(ValueError):
         ML.fit_counts(df, 9)
+
+
+def test_tree_fits_gather_many_nodes_a_pass_and_walk_no_tree_from_the_root(spark):
+    assert ML.estimator("dtree").getMaxMemoryInMB() == ML.TREE_MB > 256
+    assert ML.estimator("rforest").getCacheNodeIds()
